@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import lsh_forest, piece_codec, quality_classifier, quality_rules, slot_shards, suffix_levels, temperature_mix, url_filter, warc_zst
+from lodestone.llm import image_copies, lsh_forest, piece_codec, quality_classifier, quality_rules, slot_shards, suffix_levels, temperature_mix, url_filter, warc_zst
 from lodestone.llm.common import table
 
 #: The rules that op7 applies.
@@ -31,6 +31,12 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edited copies of every 50th image (the query set), searched among all images."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return image_copies.find_copies(image_copies.draw_media(vectors), image_copies.draw_media(vectors.where("vec_id % 50 = 0"), edit=True))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = slot_shards.shard(table(spark, sf_dir, "documents"), N_SHARDS)
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
@@ -69,7 +75,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents"), with_text=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_suffix_dedup, op4_sharding, op5_quality_classifier, op6_mixing, op7_url_filter, op8_warc, op9_jaccard_join, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_suffix_dedup, op3_image_copies, op4_sharding, op5_quality_classifier, op6_mixing, op7_url_filter, op8_warc, op9_jaccard_join, op10_quality_rules)}
 
 ORACLE_SQL = {
     "op7_url_filter": r"""
