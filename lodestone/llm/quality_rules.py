@@ -26,7 +26,7 @@ class LineRules:
     shout_words: int = 3
     min_terminated_words: int = 6  # longer lines have to end in punctuation
     max_boilerplate_words: int = 14
-    max_lost: float = 0.4
+    max_lost: float = 0.5
     min_words: int = 10
     max_repeat_percent: int = 20
 
@@ -44,7 +44,7 @@ _UPPER[65:91] = True
 _LOWER = np.zeros(256, bool)
 _LOWER[97:123] = True
 _CLOSES = np.zeros(256, bool)
-_CLOSES[list(b".!?:;,)]}\"'>|")] = True
+_CLOSES[list(b".!?:;,)]}\"'>|0123456789")] = True
 _CLOSES[128:] = True  # the last byte of a character outside ASCII, such as a closing quote
 
 
