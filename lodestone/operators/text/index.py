@@ -54,6 +54,15 @@ class FullTextIndex:
         df = df.select(F.col("id").alias("doc"), domain.alias("domain"), F.explode(F.array(*parts)).alias("p")).select("doc", "domain", "p.field", F.posexplode("p.texts").alias("segment", "text"))
         return df.where("text is not null")
 
+    def record_changes(self, before, after) -> None:
+        """Append to the journal the documents whose segments differ between two versions of a graph."""
+        old, new = self.segments(before), self.segments(after)
+        shape = ["doc", "domain", "field", "segment", "text"]
+        changed = new.join(old, shape, "left_anti").select("doc").union(old.join(new, shape, "left_anti").select("doc")).distinct()
+        gone = changed.join(new.select("doc"), "doc", "left_anti")
+        if not changed.isEmpty():
+            self.maintained.record(new.join(changed, "doc", "left_semi"), gone)
+
     def request(self, text: str, options: dict) -> Request:
         if unknown := set(options) - OPTIONS:
             raise SearchError(f"there is no option {sorted(unknown)[0]}")

@@ -154,3 +154,25 @@ def test_maintenance(spark, tmp_path, sample):
     m.record(index.segments(changed).limit(0), deleted=spark.createDataFrame([(2,)], "doc bigint"))
     m.sync()
     assert 2 not in [r["doc"] for r in m.segments().collect()]
+
+
+def test_index_statements(spark, tmp_path, sample):
+    s = Session(spark, tmp_path.as_uri())
+    sample.fulltext.clear()
+    s.register_graph("kb", sample)
+    s.execute("CREATE FULLTEXT GRAPH INDEX t ON kb NODES LABEL (\"Entity\", \"Fault\") (name, summary, tags)")
+    s.execute("CREATE UNIQUE GRAPH INDEX u ON kb NODES LABEL \"Fault\" (name)")
+    assert s.sql("SHOW GRAPH INDEXES ON kb").first()["is_unique"]
+    search = """SEARCH FULLTEXT GRAPH INDEX t ON kb FOR 'tuning' OPTIONS '{"db_type": "d1", "consistency": "%s"}'"""
+    assert s.sql(search % "eventual").count() == 0
+    assert s.sql("ALTER FULLTEXT GRAPH INDEX t ON kb WAIT").first()["status"] == "READY"
+    assert s.sql(search % "eventual").count() == s.sql(search % "strict").count() == 1
+    s.execute("CYPHER kb 'MATCH (n:Fault) SET n.name = \"gone\"'")
+    assert s.sql(search % "eventual").count() == s.sql(search % "strict").count() == 0
+    s.execute("ALTER FULLTEXT GRAPH INDEX t ON kb PAUSE")
+    assert s.sql("ALTER FULLTEXT GRAPH INDEX t ON kb WAIT").first()["status"] == "PAUSED"
+    s.execute("ALTER FULLTEXT GRAPH INDEX t ON kb RESUME; ALTER FULLTEXT GRAPH INDEX t ON kb SYNC")
+    row = s.sql("SHOW FULLTEXT GRAPH INDEXES ON kb").first()
+    assert (row["covered_seq"], row["source_seq"]) == (2, 2)
+    s.execute("DROP FULLTEXT GRAPH INDEX t ON kb; DROP GRAPH INDEX u ON kb")
+    assert s.sql("SHOW FULLTEXT GRAPH INDEXES ON kb").count() == 0
