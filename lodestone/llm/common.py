@@ -29,8 +29,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes in an Arrow batch between the JVM and a Python worker; texts of any length keep to it, but for one row.
+ARROW_BYTES = 12 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver runs it."""
+    """Let Python workers import this package from where the driver runs it, and bound the batches they get."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     known = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(":") if p]

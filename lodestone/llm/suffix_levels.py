@@ -25,10 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import U64, Rolling, materialize, mix64, ship, shuffle_partitions, utf8
+from lodestone.llm.common import U64, Rolling, materialize, mix64, ship, shuffle_partitions, slices, utf8
 
-#: Bytes of text whose windows are anchored at once.
-PIECE = 1 << 20
+#: Bytes of text whose windows are anchored at once, and that make one suffix array.
+PIECE, BATCH = 1 << 19, 6 << 20
 
 
 @dataclass(frozen=True)
@@ -194,21 +194,23 @@ def _runs(docs: DataFrame, cfg: Repeats, buckets: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            data, offsets = utf8(batch.column("text"))
-            doc, tag = np.asarray(batch.column("doc")), np.asarray(batch.column("tag")).astype(np.uint32)
-            array, spans = suffix_array(anchors(data, offsets, doc, tag, cfg))
-            array, crowd = _crowds(array, cfg)
-            cuts = np.searchsorted(array["head"] >> U64(32), (np.arange(buckets + 1, dtype=np.uint64) << U64(32)) // U64(buckets))
-            # Repeats inside the batch are settled and crowds are known as edges; they travel with any bucket.
-            share, deal = (np.linspace(0, len(x["lo"]), buckets + 1).astype(np.int64) for x in (spans, crowd))
-            numbers, blobs, more, crowds = [], [], [], []
-            for b in range(buckets):
-                if cuts[b] < cuts[b + 1] or share[b] < share[b + 1] or deal[b] < deal[b + 1]:
-                    numbers.append(b)
-                    blobs.append(pack(_take(array, slice(cuts[b], cuts[b + 1])), _ENTRY))
-                    more.append(pack(_take(spans, slice(share[b], share[b + 1])), _SPAN))
-                    crowds.append(pack(_take(crowd, slice(deal[b], deal[b + 1])), _ENTRY))
-            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), *[pa.array(x, pa.binary()) for x in (blobs, more, crowds)]], ["bucket", "run", "spans", "crowd"])
+            whole, bounds = utf8(batch.column("text"))
+            docs_, tags = np.asarray(batch.column("doc")), np.asarray(batch.column("tag")).astype(np.uint32)
+            for first, last in slices(bounds, BATCH):
+                data, offsets = whole[bounds[first] : bounds[last]], bounds[first : last + 1] - bounds[first]
+                array, spans = suffix_array(anchors(data, offsets, docs_[first:last], tags[first:last], cfg))
+                array, crowd = _crowds(array, cfg)
+                cuts = np.searchsorted(array["head"] >> U64(32), (np.arange(buckets + 1, dtype=np.uint64) << U64(32)) // U64(buckets))
+                # Repeats inside the batch are settled and crowds are known as edges; they travel with any bucket.
+                share, deal = (np.linspace(0, len(x["lo"]), buckets + 1).astype(np.int64) for x in (spans, crowd))
+                numbers, blobs, more, crowds = [], [], [], []
+                for b in range(buckets):
+                    if cuts[b] < cuts[b + 1] or share[b] < share[b + 1] or deal[b] < deal[b + 1]:
+                        numbers.append(b)
+                        blobs.append(pack(_take(array, slice(cuts[b], cuts[b + 1])), _ENTRY))
+                        more.append(pack(_take(spans, slice(share[b], share[b + 1])), _SPAN))
+                        crowds.append(pack(_take(crowd, slice(deal[b], deal[b + 1])), _ENTRY))
+                yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), *[pa.array(x, pa.binary()) for x in (blobs, more, crowds)]], ["bucket", "run", "spans", "crowd"])
 
     return docs.mapInArrow(run, "bucket int, run binary, spans binary, crowd binary")
 
@@ -235,7 +237,7 @@ def _found(spans: dict, edges: dict, hot: np.ndarray) -> pa.Table:
     return pa.table([*cols, heads, pa.array(np.concatenate([np.zeros(k, bool), hot]))], ["doc", "tag", "lo", "n", "head", "hot"])
 
 
-def _scan(runs: DataFrame, cfg: Repeats) -> DataFrame:
+def _scan(runs: DataFrame, cfg: Repeats, buckets: int) -> DataFrame:
     def bucket(table: pa.Table) -> pa.Table:
         family = Levels()
         crowds = [_empty(_ENTRY)]
@@ -251,7 +253,12 @@ def _scan(runs: DataFrame, cfg: Repeats) -> DataFrame:
         crowd = _cat(crowds)
         return _found(spans, _cat([edges, crowd]), np.concatenate([hot, np.ones(len(crowd["lo"]), bool)]))
 
-    return runs.groupBy("bucket").applyInArrow(bucket, _FOUND)
+    return _by_bucket(runs, buckets).applyInArrow(bucket, _FOUND)
+
+
+def _by_bucket(rows: DataFrame, buckets: int):
+    """Buckets are sized for a task each; a given number keeps adaptive execution from joining them into large ones."""
+    return rows.repartition(buckets, "bucket").groupBy("bucket")
 
 
 # The windows of an edge: w (uint64, of the window's bytes), doc, tag, lo.
@@ -336,7 +343,8 @@ def _edge_texts(joined: DataFrame, cfg: Repeats, buckets: int) -> DataFrame:
         spans.append(_to_spans(others))
         return _found(_cat(spans), _empty(_ENTRY), np.zeros(0, bool))
 
-    return joined.mapInArrow(run, "bucket int, texts binary, places binary, singles binary, done binary").groupBy("bucket").applyInArrow(bucket, _FOUND)
+    dealt = joined.mapInArrow(run, "bucket int, texts binary, places binary, singles binary, done binary")
+    return _by_bucket(dealt, buckets).applyInArrow(bucket, _FOUND)
 
 
 def _apply_spans(joined: DataFrame, key: str, cfg: Repeats, with_text: bool) -> DataFrame:
@@ -392,12 +400,12 @@ def remove_repeats(docs: DataFrame, cfg: Repeats = Repeats(), text: str = "text"
     """
     spark = docs.sparkSession
     ship(spark)
-    buckets = max(64, shuffle_partitions(spark))
+    buckets = max(96, shuffle_partitions(spark))
     body = F.coalesce(F.col(text), F.lit(""))
     with_row = F.struct(*carry) if carry else F.lit(None).cast("boolean")
     rows = docs.select(F.col(key).alias("key"), with_row.alias("carry"), F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("doc"), body.alias("text"))
     rows = rows.withColumn("tag", F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF)))
-    found = materialize(_scan(_runs(rows.select("doc", "tag", "text"), cfg, buckets), cfg), "repeats")
+    found = materialize(_scan(_runs(rows.select("doc", "tag", "text"), cfg, buckets), cfg, buckets), "repeats")
     edges = found.where("head is not null").groupBy("doc", "tag").agg(F.collect_list(F.struct("lo", "n", "head", "hot")).alias("edges"))
     # Repeated rows would double their windows at equal places, which is harmless.
     more = materialize(_edge_texts(rows.select("doc", "tag", "text").join(edges, ["doc", "tag"]).select("doc", "tag", "text", "edges"), cfg, buckets), "edges")
