@@ -106,7 +106,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray, doc: np.ndarray, tag: np.ndar
         lo, hi, anchor, who = start[first], start[last], chosen[first], owner[first]
         shape = ((anchor - lo) * 4096 + hi - lo).astype(np.uint64)
         reach = mix64(rolling.spans(lo, hi + cfg.width) ^ mix64(shape))
-        out.append({"head": heads[anchor], "reach": reach, "doc": doc[who], "tag": tag[who], "lo": lo + at - offsets[who], "n": (hi - lo + 1).astype(np.int32), "hot": np.zeros(len(lo), np.uint8)})
+        # Anchors are the least hashes around, so they are mixed again: ranges of the result hold like shares.
+        out.append({"head": mix64(heads[anchor] + U64(0x632BE59BD9B4E019)), "reach": reach, "doc": doc[who], "tag": tag[who], "lo": lo + at - offsets[who], "n": (hi - lo + 1).astype(np.int32), "hot": np.zeros(len(lo), np.uint8)})
     return _cat(out)
 
 
