@@ -147,8 +147,8 @@ STATEMENTS: dict[str, tuple[str, str]] = {
         "SELECT DISTINCT p_brand AS brand FROM part",
     ),
     "g_union": (
-        "MATCH (n:Nation) WHERE n.name STARTS WITH 'N' RETURN n.name AS name UNION MATCH (r:Region) RETURN r.name AS name",
-        "SELECT n_name AS name FROM nation WHERE starts_with(n_name, 'N') UNION SELECT r_name FROM region",
+        "MATCH (n:Nation) WHERE n.name STARTS WITH 'NATION_1' RETURN n.name AS name UNION MATCH (r:Region) RETURN r.name AS name",
+        "SELECT n_name AS name FROM nation WHERE starts_with(n_name, 'NATION_1') UNION SELECT r_name FROM region",
     ),
     "g_union_all": (
         "MATCH (c:Customer) RETURN c.segment AS x UNION ALL MATCH (p:Part) RETURN p.brand AS x",
@@ -179,12 +179,12 @@ STATEMENTS: dict[str, tuple[str, str]] = {
         "SELECT n_name AS name, lower(n_name) AS a, n_name AS z, 2 AS k, true AS has, CASE WHEN length(n_name) > 3 THEN length(n_name) END AS first_long, true AS some, true AS every, true AS one, true AS no FROM nation",
     ),
     "g_string_preds": (
-        "MATCH (n:Nation) WHERE n.name CONTAINS 'AN' OR n.name ENDS WITH 'A' XOR n.name STARTS WITH 'C' RETURN n.name AS name, toUpper(trim('  a ')) AS t, toInteger('42') AS i, toString(n.size) AS none, coalesce(n.size, 5) AS five",
-        "SELECT n_name AS name, 'A' AS t, 42 AS i, CAST(NULL AS VARCHAR) AS none, 5 AS five FROM nation WHERE contains(n_name, 'AN') OR (ends_with(n_name, 'A') <> starts_with(n_name, 'C'))",
+        "MATCH (n:Nation) WHERE n.name CONTAINS '_1' OR n.name ENDS WITH '0' XOR n.name STARTS WITH 'NATION_2' RETURN n.name AS name, toUpper(trim('  a ')) AS t, toInteger('42') AS i, toString(n.size) AS none, coalesce(n.size, 5) AS five",
+        "SELECT n_name AS name, 'A' AS t, 42 AS i, CAST(NULL AS VARCHAR) AS none, 5 AS five FROM nation WHERE contains(n_name, '_1') OR (ends_with(n_name, '0') <> starts_with(n_name, 'NATION_2'))",
     ),
     "g_case_labels": (
-        "MATCH (x)-[:IN_NATION]->(n:Nation {name: 'CHINA'}) RETURN CASE WHEN x:Customer THEN 'c' WHEN x:Supplier THEN 's' END AS kind, labels(x)[0] AS label, count(*) AS n",
-        "SELECT 'c' AS kind, 'Customer' AS label, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name = 'CHINA' GROUP BY n_name UNION ALL SELECT 's', 'Supplier', count(*) FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_name = 'CHINA' GROUP BY n_name",
+        "MATCH (x)-[:IN_NATION]->(n:Nation {name: 'NATION_3'}) RETURN CASE WHEN x:Customer THEN 'c' WHEN x:Supplier THEN 's' END AS kind, labels(x)[0] AS label, count(*) AS n",
+        "SELECT 'c' AS kind, 'Customer' AS label, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name = 'NATION_3' GROUP BY n_name UNION ALL SELECT 's', 'Supplier', count(*) FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_name = 'NATION_3' GROUP BY n_name",
     ),
     "g_aggregates": (
         "MATCH (:Customer)-[:PLACED]->(o:Order)-[e:CONTAINS]->(:Part) RETURN o.priority AS priority, sum(e.line) AS lines, min(o.total) AS lo, max(o.total) AS hi, count(DISTINCT o) AS orders",
