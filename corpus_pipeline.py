@@ -26,9 +26,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each class of near duplicates stays: the one with the smallest id."""
     found = lsh_forest.near_duplicates(docs, with_keeper=True)
     known = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    kept = found.where("keeper").select(known.alias("id_key"), "text_key").distinct()
-    rows = docs.withColumns({"id_key": known, "text_key": F.xxhash64("text")}).join(kept, ["id_key", "text_key"], "left_semi")
-    return rows.dropDuplicates(["id_key", "text_key"]).select(*docs.columns)
+    kept = found.where("keeper").select(known.alias("__id"), F.col("text_key").alias("__text")).distinct()
+    rows = docs.withColumns({"__id": known, "__text": F.xxhash64("text")}).join(kept, ["__id", "__text"], "left_semi")
+    return rows.dropDuplicates(["__id", "__text"]).select(*docs.columns)
 
 
 def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +41,9 @@ def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document at least once, small sources up to REPETITION times."""
-    return temperature_mix.mix(docs, repetition=REPETITION).select(*docs.columns)
+    own = {c: f"__{k}" for k, c in enumerate(docs.columns) if c.lower() in ("copy", "mix_block", "mix_order")}
+    mixed = temperature_mix.mix(docs.withColumnsRenamed(own), repetition=REPETITION)
+    return mixed.select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -62,8 +62,8 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = warc_zst.round_trip(table(spark, sf_dir, "pages"))
     return rows.select(
-        warc_zst.record_key("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
-        F.when(F.col("refers_to").isNotNull(), warc_zst.record_key("refers_to")).cast("long").alias("refers_to"),
+        warc_zst.record_key("record_id").try_cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.when(F.col("refers_to").isNotNull(), warc_zst.record_key("refers_to")).try_cast("long").alias("refers_to"),
     )
 
 

@@ -78,12 +78,10 @@ def mix(docs: DataFrame, repetition: float | None = 2.0, entropy: float | None =
 
     Every row appears once for each whole pass over its source, and once more if the partial pass reaches it.  Null
     sources form a source of their own; texts that are null or empty have no tokens and follow the passes.  Rows
-    that repeat a key are kept.  Names added here must be free in docs (a clash raises).  Blocks (hashes of the
+    that repeat a key are kept.  Columns of docs with the names added here are replaced.  Blocks (hashes of the
     key) split the largest source into `blocks` parts, and only blocks at a budget's edge are counted row by row.
     """
-    clash = {"copy", "mix_block", "mix_order", "mix_source"} & {c.lower() for c in docs.columns}
-    if clash:
-        raise ValueError(f"columns in the way: {sorted(clash)}")
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("copy", "mix_block", "mix_order")])
     named = F.when(F.col(source).isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col(source).cast("string")))
     block = F.pmod(F.xxhash64(F.col(key)), F.lit(blocks)).cast("int")
     place = _permuted(F.col(key), seed=seed)
@@ -100,10 +98,12 @@ def mix(docs: DataFrame, repetition: float | None = 2.0, entropy: float | None =
     filled = F.sum("n").over(W.partitionBy("mix_source", "mix_block").orderBy("place"))
     cuts = slim.join(edges, ["mix_source", "mix_block"]).withColumn("filled", filled).where("filled <= room").groupBy("mix_source", "mix_block").agg(F.max("place").alias("cut"))
     last = F.when(F.col("room") <= 0, F.lit("")).when(F.col("room") >= F.col("tokens"), F.lit("~")).otherwise(F.coalesce("cut", F.lit("")))
-    dealt = materialize(dealt.join(cuts, ["mix_source", "mix_block"], "left").select("mix_source", "mix_block", "whole", last.alias("last")), "mix-plan")
+    # Names that documents are unlikely to have: the plan is joined to whole rows.
+    kept = ["mix_source", "mix_block", F.col("whole").alias("__whole"), last.alias("__last")]
+    dealt = materialize(dealt.join(cuts, ["mix_source", "mix_block"], "left").select(*kept).withColumnsRenamed({"mix_source": "__source", "mix_block": "__block"}), "mix-plan")
     if dealt.count() <= BROADCAST_ROWS:
         dealt = F.broadcast(dealt)
-    rows = docs.withColumns({"mix_source": named, "mix_block": block}).join(dealt, ["mix_source", "mix_block"])
-    passes = F.col("whole") + (place <= F.col("last")).cast("int")
-    rows = rows.withColumn("copy", F.explode(F.filter(F.sequence(F.lit(0), F.col("whole")), lambda i: i < passes)))
-    return rows.select(*docs.columns, "copy", "mix_block", _permuted(F.col(key), F.col("copy"), seed=seed).alias("mix_order"))
+    rows = docs.withColumns({"__source": named, "__block": block}).join(dealt, ["__source", "__block"])
+    passes = F.col("__whole") + (place <= F.col("__last")).cast("int")
+    rows = rows.withColumn("copy", F.explode(F.filter(F.sequence(F.lit(0), F.col("__whole")), lambda i: i < passes)))
+    return rows.select(*docs.columns, "copy", F.col("__block").alias("mix_block"), _permuted(F.col(key), F.col("copy"), seed=seed).alias("mix_order"))

@@ -241,8 +241,8 @@ def test_mixing(spark):
         per[r["doc_id"]].add(r["copy"])
     assert all(v == set(range(len(v))) for v in per.values())
     assert temperature_mix.mix(docs.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        temperature_mix.mix(docs.withColumn("Copy", F.lit(1)))
+    clash = temperature_mix.mix(docs.withColumns({"Copy": F.lit("x"), "whole": F.lit(1), "last": F.lit("y"), "room": F.lit(2)}), blocks=16)
+    assert clash.count() == len(rows) and "Copy" not in clash.columns and {r["whole"] for r in clash.collect()} == {1}
 
 
 def test_mixing_weights(spark):

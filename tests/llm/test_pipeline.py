@@ -50,11 +50,14 @@ def test_odd_rows(spark):
     rows = [(None, None, None, None, None), (None, None, None, None, None), (1, "", "en", None, 0), (2, "word " * 12 + "and others that follow in one long line of text here.", None, "s", 5), (2, "word " * 12 + "and others that follow in one long line of text here.", None, "s", 5)]
     rows += [(k, f"Sentence {k} has quite some words, all of them plain, and ends with {k * 7} here.", "en", "s", 1) for k in (5, 6, 6)]
     docs = spark.createDataFrame(rows, SCHEMA)
+    docs = docs.withColumns({n: F.lit(n) for n in ("copy", "whole", "last", "text_key", "grp", "size", "keeper", "carry", "kept", "tokens")})
     for empty in (False, True):
         out = docs.limit(0) if empty else docs
-        for _, stage in corpus_pipeline.STAGES:
+        for _, stage in corpus_pipeline.STAGES[:-1]:
             out = stage(spark, out, SF)
-        assert (out.count() == 0) == empty
+            assert out.columns == docs.columns
+        assert (out.count() == 0) == empty and all(r["copy"] == "copy" and r["last"] == "last" for r in out.collect())
+        assert corpus_pipeline.STAGES[-1][1](spark, out, SF).count() == out.count()
 
 
 def test_registered(spark):
