@@ -153,7 +153,7 @@ _CORNER_PA = pa.list_(pa.struct([("x", pa.float32()), ("y", pa.float32()), ("ang
 
 
 def describe(media: DataFrame, settings: Settings = Settings(), key: str = "media_id", image: str = "image") -> DataFrame:
-    """Per row: key, digest (sha256 of the image) and corners. What doesn't decode, null too, has a null digest and no corners."""
+    """Per row: key, digest (128 bits, of the image) and corners. What doesn't decode, null too, has a null digest and no corners."""
     ship(media.sparkSession)
 
     def run(batches):
@@ -172,17 +172,18 @@ def describe(media: DataFrame, settings: Settings = Settings(), key: str = "medi
                     for k, d in zip(own, describer(np.stack([pixels[k] for k in own])), strict=True):
                         keys = describer.keys(d["bits"])
                         corners[k] = [{"x": x, "y": y, "angle": g, "scale": z, "keys": t.tolist()} for x, y, g, z, t in zip(d["x"], d["y"], d["angle"], d["scale"], keys, strict=True)]
-                digests = [hashlib.sha256(x).hexdigest() if p is not None else None for x, p in zip(raw, pixels, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(key), pa.array(digests, pa.string()), pa.array(corners, _CORNER_PA)], [key, "digest", "corners"])
+                digests = [hashlib.blake2b(x, digest_size=16).digest() if p is not None else None for x, p in zip(raw, pixels, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(key), pa.array(digests, pa.binary()), pa.array(corners, _CORNER_PA)], [key, "digest", "corners"])
 
-    return media.select(key, image).mapInArrow(run, f"`{key}` {media.schema[key].dataType.simpleString()}, digest string, corners {_CORNER}")
+    return media.select(key, image).mapInArrow(run, f"`{key}` {media.schema[key].dataType.simpleString()}, digest binary, corners {_CORNER}")
 
 
 def _entries(described: DataFrame, owner: str, prefix: str) -> DataFrame:
     """One row for each corner and table."""
     corner = described.select(owner, F.posexplode("corners").alias(f"{prefix}n", "c"))
-    keyed = corner.select(owner, f"{prefix}n", *[F.col(f"c.{f}").alias(f"{prefix}{f}") for f in ("x", "y", "angle", "scale")], F.posexplode("c.keys").alias("tbl", "code"))
-    return keyed
+    keyed = corner.select(owner, f"{prefix}n", *[F.col(f"c.{f}").alias(f"{prefix}{f}") for f in ("x", "y", "angle", "scale")], F.posexplode("c.keys").alias("tbl", "key"))
+    # Table and key in one number: keys have at most 56 bits.
+    return keyed.withColumn("code", F.shiftleft("key", 7) + F.col("tbl")).drop("tbl", "key")
 
 
 def find_copies(media: DataFrame, queries: DataFrame, settings: Settings = Settings(), key: str = "media_id", image: str = "image") -> DataFrame:
@@ -197,13 +198,15 @@ def find_copies(media: DataFrame, queries: DataFrame, settings: Settings = Setti
     classes = materialize(classes, "media")
     asked = describe(queries, settings, key, image).select(F.col(key).alias("query_id"), "corners")
     left, right = _entries(asked, "query_id", "q"), _entries(classes.select("digest", "corners"), "digest", "m")
-    pairs = left.join(right, ["tbl", "code"])
-    matches = pairs.groupBy("query_id", "digest", "qn", "mn").agg(*[F.first(f"{p}{f}").alias(f"{p}{f}") for p in "qm" for f in ("x", "y", "angle", "scale")])
+    pairs = left.join(right, "code")
     turn = F.pmod(F.col("mangle") - F.col("qangle"), F.lit(2 * np.pi))
     size = F.col("mscale") / F.col("qscale")
     x = F.col("mx") - size * (F.cos(turn) * F.col("qx") - F.sin(turn) * F.col("qy"))
     y = F.col("my") - size * (F.sin(turn) * F.col("qx") + F.cos(turn) * F.col("qy"))
-    votes = matches.select("query_id", "digest", "qn", turn.alias("turn"), size.alias("size"), x.alias("sx"), y.alias("sy"))
+    vote = F.struct("qn", "mn", *[c.cast("float").alias(n) for c, n in ((turn, "turn"), (size, "size"), (x, "sx"), (y, "sy"))])
+    # At most corners x corners votes for a pair of images; most pairs have too few to go on.
+    votes = pairs.select("query_id", "digest", vote.alias("v")).groupBy("query_id", "digest").agg(F.collect_set("v").alias("votes"))
+    votes = votes.where(F.size(F.array_distinct(F.col("votes.qn"))) >= settings.inliers).select("query_id", "digest", F.explode("votes").alias("v")).select("query_id", "digest", "v.*")
     # Bins overlap by half, so no cluster is cut by a border.
     binned = votes
     for half in ("h1", "h2", "h3"):
