@@ -158,6 +158,7 @@ class Levels:
             self.spans.append({k: there[k][earlier] for k, _ in _SPAN})
             for k in ("doc", "tag", "lo"):
                 level[k][at[earlier]] = run[k][earlier]
+            level["hot"][at[same]] |= run["hot"][same]  # a crowd's marker may stand here already
             alive &= ~same
             block, own = level["key"] >> U64(32), run["key"] >> U64(32)
             near = (np.searchsorted(block, own, "right") > np.searchsorted(block, own)) & ~same

@@ -109,6 +109,45 @@ def test_repeats_of_odd_rows(spark):
     assert suffix_levels.remove_repeats(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("crowd_first", [False, True])
+def test_crowds_meet_small_batches(crowd_first):
+    """A batch with 2 reaches of a head and a crowded batch with the same two as its lowest."""
+    cfg = suffix_levels.Repeats(hot_batch=3)
+
+    def batch(reaches, doc):
+        n = len(reaches)
+        return {"head": np.full(n, 9 << 40, np.uint64), "reach": np.array(reaches, np.uint64) << np.uint64(33), "doc": np.full(n, doc), "tag": np.zeros(n, np.uint32), "lo": np.arange(n) * 200, "n": np.ones(n, np.int32), "hot": np.zeros(n, np.uint8)}
+
+    small, _ = suffix_levels.suffix_array(batch([1, 2], 0))
+    marked, crowd = suffix_levels._crowds(suffix_levels.suffix_array(batch([1, 2, 3, 4, 5], 1))[0], cfg)
+    assert len(marked["lo"]) == 2 and len(crowd["lo"]) == 5
+    family = suffix_levels.Levels()
+    for run in (marked, small) if crowd_first else (small, marked):
+        family.add(run)
+    spans, edges = family.finish()
+    assert sorted(spans["doc"]) == [1, 1] and sorted(edges["doc"]) == [0, 0]
+    assert edges["hot"].all()
+
+
+@pytest.mark.parametrize("crowd_first", [False, True])
+def test_repeats_of_crowds_met_before(spark, crowd_first):
+    """Texts share a passage; one partition holds the two lowest reaches of its head, the other these and many more."""
+    draw, cfg = random.Random(12), suffix_levels.Repeats(hot_batch=3)
+    core = prose(draw, 40)[:150]
+    texts = sorted({prose(draw, 30)[:110] + core + prose(draw, 30)[:110] for _ in range(40)})
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    rows = suffix_levels.anchors(data, offsets, np.arange(40), np.zeros(40, np.uint32), cfg)
+    head = Counter(rows["head"].tolist()).most_common(1)[0][0]
+    own = rows["head"] == np.uint64(head)
+    lowest = rows["doc"][own][np.argsort(rows["reach"][own])][:2].tolist()
+    pairs = [(i, texts[k]) for i, k in enumerate(lowest)] + [(10 + k, t) for k, t in enumerate(texts)]
+    parts = [frame(spark, p).coalesce(1) for p in (pairs[:2], pairs[2:])]
+    df = parts[crowd_first].union(parts[not crowd_first])
+    got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"]), bytes(r["kept"])) for r in suffix_levels.remove_repeats(df, cfg).collect())
+    assert got == plain_repeats(pairs)
+
+
 def test_levels_fall_geometrically():
     draw, family = np.random.default_rng(1), suffix_levels.Levels()
     for i in range(40):
