@@ -2,8 +2,9 @@
 
 Corners are taken at several scales; each gets an orientation (intensity centroid) and a binary descriptor of
 orientation-normalised intensity tests.  Descriptors meet in Hamming tables: each table keys a descriptor by a fixed
-subset of its bits, and an equi-join on (table, key) brings near ones together.  Matches of two images then vote for a
-rotation, a scale and a shift; enough votes for one transform make a copy.
+subset of its bits, and an equi-join on (table, key) brings candidates together, of which those stay whose whole
+descriptors differ in few bits.  Matches of two images then vote for a rotation, a scale and a shift; enough votes for
+one transform make a copy.
 
 Images are binary grey maps (PGM, "P5"), the one media format that needs no decoder beyond numpy.
 """
@@ -23,11 +24,12 @@ from lodestone.llm.common import materialize, ship
 
 @dataclass(frozen=True)
 class Settings:
-    corners: int = 24  # per image, the strongest over all scales
-    scales: tuple[float, ...] = (1.0, 0.7)
-    tests: int = 256
-    tables: int = 8
-    key_bits: int = 36
+    corner_area: int = 256  # pixels a corner: each scale keeps its strongest, as many as its area holds
+    scales: tuple[float, ...] = tuple(2 ** (-k / 4) for k in range(5))
+    tests: int = 256  # a multiple of 64
+    tables: int = 4
+    key_bits: int = 20
+    distance: int = 32  # bits in which two descriptors may differ
     radius: int = 7
     inliers: int = 4
     least_response: float = 1e-4  # of intensities in [0, 1]; flat patches have no corners
@@ -134,12 +136,13 @@ class Describer:
 
             bits = sample(self.pairs[:, 0], self.pairs[:, 1]) < sample(self.pairs[:, 2], self.pairs[:, 3]) - 1e-6
             strength = response[i, y, x]
-            for k in range(len(i)):
+            most = -(-a.shape[1] * a.shape[2] // s.corner_area)
+            order = np.lexsort((x, y, -strength, i))
+            rank = np.arange(len(i)) - np.searchsorted(i[order], i[order])
+            for k in order[rank < most]:
                 found[i[k]].append((strength[k], (x[k] + 0.5) / factor, (y[k] + 0.5) / factor, angle[k], 1 / factor, bits[k]))
         out = []
         for own in found:
-            own.sort(key=lambda r: (-r[0], r[1], r[2]))
-            own = own[: s.corners]
             out.append({"x": [r[1] for r in own], "y": [r[2] for r in own], "angle": [r[3] for r in own], "scale": [r[4] for r in own], "bits": np.array([r[5] for r in own], bool).reshape(len(own), s.tests)})
         return out
 
@@ -147,9 +150,13 @@ class Describer:
         """corners x tables: the bits of each table's subset as a number."""
         return np.stack([(bits[:, sub] * (1 << np.arange(len(sub)))).sum(1) for sub in self.subsets], 1).astype(np.int64)
 
+    def words(self, bits: np.ndarray) -> np.ndarray:
+        """corners x (tests / 64): all bits."""
+        return np.packbits(bits, axis=1).view(np.int64)
 
-_CORNER = "array<struct<x:float,y:float,angle:float,scale:float,keys:array<bigint>>>"
-_CORNER_PA = pa.list_(pa.struct([("x", pa.float32()), ("y", pa.float32()), ("angle", pa.float32()), ("scale", pa.float32()), ("keys", pa.list_(pa.int64()))]))
+
+_CORNER = "array<struct<x:float,y:float,angle:float,scale:float,keys:array<bigint>,bits:array<bigint>>>"
+_CORNER_PA = pa.list_(pa.struct([("x", pa.float32()), ("y", pa.float32()), ("angle", pa.float32()), ("scale", pa.float32()), ("keys", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))]))
 
 
 def describe(media: DataFrame, settings: Settings = Settings(), key: str = "media_id", image: str = "image") -> DataFrame:
@@ -170,18 +177,18 @@ def describe(media: DataFrame, settings: Settings = Settings(), key: str = "medi
                         shapes.setdefault(p.shape, []).append(k)
                 for own in shapes.values():
                     for k, d in zip(own, describer(np.stack([pixels[k] for k in own])), strict=True):
-                        keys = describer.keys(d["bits"])
-                        corners[k] = [{"x": x, "y": y, "angle": g, "scale": z, "keys": t.tolist()} for x, y, g, z, t in zip(d["x"], d["y"], d["angle"], d["scale"], keys, strict=True)]
+                        keys, words = describer.keys(d["bits"]), describer.words(d["bits"])
+                        corners[k] = [{"x": x, "y": y, "angle": g, "scale": z, "keys": t.tolist(), "bits": b.tolist()} for x, y, g, z, t, b in zip(d["x"], d["y"], d["angle"], d["scale"], keys, words, strict=True)]
                 digests = [hashlib.blake2b(x, digest_size=16).digest() if p is not None else None for x, p in zip(raw, pixels, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(key), pa.array(digests, pa.binary()), pa.array(corners, _CORNER_PA)], [key, "digest", "corners"])
 
     return media.select(key, image).mapInArrow(run, f"`{key}` {media.schema[key].dataType.simpleString()}, digest binary, corners {_CORNER}")
 
 
-def _entries(described: DataFrame, owner: str, prefix: str) -> DataFrame:
+def _entries(described: DataFrame, owner: str, prefix: str, settings: Settings) -> DataFrame:
     """One row for each corner and table."""
     corner = described.select(owner, F.posexplode("corners").alias(f"{prefix}n", "c"))
-    keyed = corner.select(owner, f"{prefix}n", *[F.col(f"c.{f}").alias(f"{prefix}{f}") for f in ("x", "y", "angle", "scale")], F.posexplode("c.keys").alias("tbl", "key"))
+    keyed = corner.select(owner, f"{prefix}n", *[F.col(f"c.{f}").alias(f"{prefix}{f}") for f in ("x", "y", "angle", "scale")], *[F.col("c.bits")[i].alias(f"{prefix}b{i}") for i in range(settings.tests // 64)], F.posexplode("c.keys").alias("tbl", "key"))
     # Table and key in one number: keys have at most 56 bits.
     return keyed.withColumn("code", F.shiftleft("key", 7) + F.col("tbl")).drop("tbl", "key")
 
@@ -197,8 +204,9 @@ def find_copies(media: DataFrame, queries: DataFrame, settings: Settings = Setti
     classes = described.where("digest is not null").groupBy("digest").agg(F.min(key).alias("media_id"), F.count(F.lit(1)).alias("n_members"), F.first("corners").alias("corners"))
     classes = materialize(classes, "media")
     asked = describe(queries, settings, key, image).select(F.col(key).alias("query_id"), "corners")
-    left, right = _entries(asked, "query_id", "q"), _entries(classes.select("digest", "corners"), "digest", "m")
-    pairs = left.join(right, "code")
+    left, right = _entries(asked, "query_id", "q", settings), _entries(classes.select("digest", "corners"), "digest", "m", settings)
+    apart = sum((F.bit_count(F.col(f"qb{i}").bitwiseXOR(F.col(f"mb{i}"))) for i in range(settings.tests // 64)), F.lit(0))
+    pairs = left.join(right, (left["code"] == right["code"]) & (apart <= settings.distance)).drop("code")
     turn = F.pmod(F.col("mangle") - F.col("qangle"), F.lit(2 * np.pi))
     size = F.col("mscale") / F.col("qscale")
     x = F.col("mx") - size * (F.cos(turn) * F.col("qx") - F.sin(turn) * F.col("qy"))
@@ -212,7 +220,7 @@ def find_copies(media: DataFrame, queries: DataFrame, settings: Settings = Setti
     for half in ("h1", "h2", "h3"):
         binned = binned.withColumn(half, F.explode(F.array(F.lit(0.0), F.lit(0.5))))
     binned = binned.groupBy(
-        "query_id", "digest", "h1", "h2", "h3", F.pmod(F.floor(F.col("turn") / (2 * np.pi / 16) + F.col("h1")), F.lit(16)).alias("bt"), F.round(F.log2("size"), 1).alias("bs"),
+        "query_id", "digest", "h1", "h2", "h3", F.pmod(F.floor(F.col("turn") / (2 * np.pi / 16) + F.col("h1")), F.lit(16)).alias("bt"), F.round(F.log2("size") * 4).alias("bs"),
         F.floor(F.col("sx") / 12 + F.col("h2")).alias("bx"), F.floor(F.col("sy") / 12 + F.col("h3")).alias("by"),
     ).agg(F.count_distinct("qn").alias("inliers"), F.avg(F.sin("turn")).alias("ts"), F.avg(F.cos("turn")).alias("tc"), F.avg("size").alias("size"))
     best = binned.where(F.col("inliers") >= settings.inliers).groupBy("query_id", "digest").agg(F.max_by(F.struct("inliers", "ts", "tc", "size"), F.struct("inliers", "bt", "bs", "bx", "by")).alias("b"))

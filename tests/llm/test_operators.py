@@ -177,6 +177,30 @@ def test_image_copies(spark):
     assert image_copies.decode_pgm(image_copies.encode_pgm(np.arange(6).reshape(2, 3))).tolist() == [[0, 1, 2], [3, 4, 5]]
 
 
+def test_image_copies_resized_turned_noisy(spark):
+    """Recall of edits that change every pixel, on maps of 128 pixels."""
+    side, draw = 128, np.random.default_rng(4)
+    images = image_copies.drawn(draw.normal(size=(60, 64)), image_copies.textures(64, side), side)
+
+    def turned(p, degrees):
+        t, mid = np.deg2rad(degrees), (side - 1) / 2
+        yy, xx = np.mgrid[:side, :side] - mid
+        y, x = mid + yy * np.cos(t) - xx * np.sin(t), mid + yy * np.sin(t) + xx * np.cos(t)
+        y0, x0 = (np.clip(np.floor(v).astype(int), 0, side - 2) for v in (y, x))
+        fy, fx, p = y - y0, x - x0, p.astype(float)
+        low, high = (p[y0 + k, x0] * (1 - fx) + p[y0 + k, x0 + 1] * fx for k in (0, 1))
+        return np.where((np.abs(y - mid) <= mid) & (np.abs(x - mid) <= mid), low * (1 - fy) + high * fy, 128)
+
+    edits = [lambda p: turned(p, 30), lambda p: turned(p, 10), lambda p: p + draw.normal(0, 15, p.shape), lambda p: p.reshape(side // 2, 2, side // 2, 2).mean((1, 3)), lambda p: image_copies._resized(p[None].astype(float), 0.8)[0]]
+    shape = "media_id bigint, image binary"
+    media = spark.createDataFrame([(i, image_copies.encode_pgm(p)) for i, p in enumerate(images)], shape)
+    asked = [(100 * n + i, image_copies.encode_pgm(np.clip(edit(images[i]), 0, 255))) for n, edit in enumerate(edits) for i in range(0, 60, 6)]
+    found = {(r["query_id"], r["media_id"]) for r in image_copies.find_copies(media, spark.createDataFrame(asked, shape)).collect()}
+    for n in range(len(edits)):
+        assert sum((100 * n + i, i) in found for i in range(0, 60, 6)) >= 9
+    assert all(q % 100 == m for q, m in found)
+
+
 # 4
 
 
