@@ -23,7 +23,7 @@ class Request:
     domain: str
     fields: tuple[str, ...]
     channel: str = "terms"
-    limit: int = 20
+    limit: int | None = 20  # None: all matches, in no order
 
     def __post_init__(self):
         if not self.domain:
@@ -32,7 +32,7 @@ class Request:
             raise SearchError("a search takes 1 to 16 fields")
         if self.channel not in ("terms", "phrase", "exact"):
             raise SearchError(f"there is no channel {self.channel}")
-        if not 1 <= self.limit <= 10_000:
+        if self.limit is not None and not 1 <= self.limit <= 10_000:
             raise SearchError("the limit is 1 to 10000")
 
 
@@ -101,7 +101,7 @@ def search(segments: DataFrame, request: Request) -> DataFrame:
     for i in range(len(unique)):
         out = out.where(F.col(f"has{i}") == 1)
     out = out.select("doc", "score", F.col("best.field").alias("best_field"), F.col("best.hits")[0].alias("first_hit"))
-    return out.orderBy(F.desc("score"), F.asc("doc")).limit(request.limit)
+    return out if request.limit is None else out.orderBy(F.desc("score"), F.asc("doc")).limit(request.limit)
 
 
 def _phrase_at(h: Column, terms: list[tuple[str, int]]) -> Column:

@@ -50,8 +50,10 @@ def call(graph, compiler, clause: L.Procedure, state) -> tuple[DataFrame, dict]:
     prefix = compiler.fresh("hit")
     elements = (graph.nodes if kind == "node" else graph.edges).select(*[F.col(f).alias(f"{prefix}__{f}") for f in schema.fields])
     columns = {n: compiler.fresh(n) for n in found.columns}
-    # At most `limit` hits, which the request bounds by 10,000.
-    hits = elements.join(F.broadcast(found.select(*[F.col(n).alias(c) for n, c in columns.items()])), F.col(f"{prefix}__id") == F.col(columns["doc"]))
+    found = found.select(*[F.col(n).alias(c) for n, c in columns.items()])
+    # At most `limit` hits, which the request bounds by 10,000, unless it is null.
+    whole = len(args) == 3 and args[2].get("limit", 0) is None
+    hits = elements.join(found if whole else F.broadcast(found), F.col(f"{prefix}__id") == F.col(columns["doc"]))
     df = compiler.rows(state).join(hits) if state.df is not None or compiler.outer is not None else hits
     scope = {}
     for name, alias in clause.yields:

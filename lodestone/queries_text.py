@@ -99,9 +99,9 @@ def document_graph(spark: SparkSession, sf_dir: str) -> Graph:
 
 
 def t_procedure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Full-text hits inside a graph pattern."""
+    """All full-text hits inside a graph pattern, counted by source."""
     return document_graph(spark, sf_dir).query(
-        "CALL db.index.fulltext.queryNodes('docs', 'all rights reserved', {db_type: 'en', channel: 'phrase', fields: ['text'], limit: 1000}) YIELD node AS d, score "
+        "CALL db.index.fulltext.queryNodes('docs', 'all rights reserved', {db_type: 'en', channel: 'phrase', fields: ['text'], limit: null}) YIELD node AS d, score "
         "MATCH (d)-[:FROM]->(s:Source) RETURN s.name AS source, count(*) AS n"
     )
 

@@ -176,3 +176,12 @@ def test_index_statements(spark, tmp_path, sample):
     assert (row["covered_seq"], row["source_seq"]) == (2, 2)
     s.execute("DROP FULLTEXT GRAPH INDEX t ON kb; DROP GRAPH INDEX u ON kb")
     assert s.sql("SHOW FULLTEXT GRAPH INDEXES ON kb").count() == 0
+
+
+def test_phrase_counts_have_no_limit(spark, tmp_path):
+    """More documents hold the phrase than a ranked search returns."""
+    from lodestone.queries_text import t_procedure
+
+    docs = spark.range(1300).selectExpr("id AS doc_id", "concat('all rights reserved ', id) AS text", "'en' AS lang", "concat('src', id % 2) AS source")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert rows(t_procedure(spark, str(tmp_path))) == [("src0", 650), ("src1", 650)]
