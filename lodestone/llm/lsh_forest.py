@@ -1,9 +1,9 @@
-"""N-gram Jaccard join: MinHash LSH forest, then exact verification.
+"""N-gram Jaccard join: MinHash LSH of fixed prefixes, then exact verification.
 
-A document is its set of distinct five-word shingles; equal sets form one text class from the start.  Each tree of
-the forest sorts the classes by a sequence of MinHash values (a trie of prefixes).  Prefixes are shortened from the
-full depth until the chance that a pair at the threshold shares one in some tree reaches the target recall.  Classes
-that share a prefix are joined to that prefix's smallest class; connected ones form a candidate group, and all pairs
+A document is its set of distinct five-word shingles; equal sets form one text class from the start.  Each tree is a
+sequence of MinHash values, of which a prefix is signed and met by equality (banding).  Its depth is the greatest at
+which the chance that a pair at the threshold shares a prefix in some tree reaches the target recall; it follows from
+the parameters alone, and no trie is kept.  Classes that share a prefix are joined to that prefix's smallest class; connected ones form a candidate group, and all pairs
 of a group are verified exactly, large groups in blocks spread over tasks, so no pair is ever emitted as a row.
 """
 
