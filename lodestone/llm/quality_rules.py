@@ -46,6 +46,10 @@ _LOWER[97:123] = True
 _CLOSES = np.zeros(256, bool)
 _CLOSES[list(b".!?:;,)]}\"'>|0123456789")] = True
 _CLOSES[128:] = True  # the last byte of a character outside ASCII, such as a closing quote
+_ENDS = np.zeros(256, bool)
+_ENDS[list(b".!?")] = True
+_WORD = _UPPER | _LOWER
+_WORD[48:58] = _WORD[128:] = True
 
 
 def _again(group: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,7 +108,10 @@ def judge(data: np.ndarray, offsets: np.ndarray, rules: LineRules) -> tuple[dict
     failed |= (n_words >= rules.shout_words) & (upper >= rules.shout_share * np.maximum(upper + lower, 1)) & (upper > 0)
     last = np.zeros(len(start), np.uint8)
     last[worded] = data[words.end[in_line[1:][worded] - 1] - 1]
-    failed |= (n_words >= rules.min_terminated_words) & ~_CLOSES[last]
+    # A line that holds a whole sentence is prose, however it ends.
+    ended = np.concatenate([[0], np.cumsum(_ENDS[data[words.end - 1]])])
+    sentences = ended[in_line[1:]] - ended[in_line[:-1]]
+    failed |= (n_words >= rules.min_terminated_words) & ~_CLOSES[last] & (sentences == 0)
     failed |= before
     failed &= worded
     low = bytes(data).lower()
@@ -112,7 +119,9 @@ def judge(data: np.ndarray, offsets: np.ndarray, rules: LineRules) -> tuple[dict
         p = low.find(phrase)
         while p >= 0:
             line = int(np.searchsorted(start, p, "right")) - 1
-            if n_words[line] <= rules.max_boilerplate_words and p + len(phrase) <= stop[line]:
+            q = p + len(phrase)
+            inside = (p > start[line] and _WORD[data[p - 1]]) or (q < stop[line] and _WORD[data[q]])
+            if n_words[line] <= rules.max_boilerplate_words and q <= stop[line] and not inside:
                 failed[line] = True
             p = low.find(phrase, p + 1)
 

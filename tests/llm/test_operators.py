@@ -514,3 +514,10 @@ def test_line_rules(spark):
     kept = {r["doc_id"]: r for r in quality_rules.filter_documents(frame(spark, docs).withColumn("n_chars", F.length("text").cast("long"))).collect()}
     assert set(kept) == {k for k, r in rows.items() if r["kept"]} and all(len(r["text"]) == r["n_chars"] for r in kept.values())
     assert quality_rules.apply_rules(frame(spark, [])).count() == 0
+
+
+def test_line_rules_spare_prose(spark):
+    """Several sentences in a line without a last stop, and boilerplate phrases inside words."""
+    docs = [(1, "The river rose in spring. Nobody had seen it so high before. Boats were tied to the old bridge and"), (2, "They share one design in common, empowered by a small team."), (3, "Please share on every page you like, or sign in."), (4, "a long line that runs on and on without any end")]
+    failed = {r["doc_id"]: r["n_failed_lines"] for r in quality_rules.apply_rules(frame(spark, docs)).collect()}
+    assert failed == {1: 0, 2: 0, 3: 1, 4: 1}
