@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import contextlib
+import hashlib
 import tempfile
 import uuid
+import zipfile
 from functools import lru_cache
 from pathlib import Path
 
@@ -33,31 +36,74 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 ARROW_BYTES = 12 << 20
 
 
+_shipped: set[str] = set()
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver runs it, and bound the batches they get."""
+    """Send this package to the Python workers of every machine, once a context, and bound the batches they get."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
-    root = str(Path(__file__).resolve().parents[2])
-    env = spark.sparkContext.environment
-    known = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(":") if p]
-    if root not in known:
-        env["PYTHONPATH"] = ":".join([root, *known])
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parents[1]
+    # A temporary file of the driver alone; the workers get its content through Spark.
+    packed = Path(tempfile.mkdtemp(prefix="lodestone-")) / "lodestone_package.zip"
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as out:
+        for source in sorted(root.rglob("*.py")):
+            out.write(source, source.relative_to(root.parent).as_posix())
+    context.addPyFile(str(packed))
+    _shipped.add(context.applicationId)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only where none is configured."""
+    """The folder that all executors share: spark.checkpoint.dir; where it is unset, a local one if Spark itself is local."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir isn't set: intermediate tables need a folder that all executors share")
         path = Path(tempfile.mkdtemp(prefix="lodestone-")).as_uri()
         spark.conf.set("spark.checkpoint.dir", path)
     return path
 
 
+_written: dict[str, SparkSession] = {}
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write to the shared folder and read back, so that a lost executor costs no recomputation."""
+    """Cut lineage: write to the shared folder and read back, so that a lost executor costs no recomputation.
+
+    The folder stays until discard(), release() or the end of the driver.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
+    _written[path] = spark
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the folder of a materialised table that nothing reads any more."""
+    _delete(getattr(df, "scratch_path", None))
+
+
+def release() -> None:
+    """Delete all scratch folders that this driver wrote; results that still read them must be consumed before."""
+    for path in list(_written):
+        _delete(path)
+
+
+def _delete(path: str | None) -> None:
+    spark = _written.pop(path, None)
+    if spark is None or spark.sparkContext._jsc is None:
+        return
+    with contextlib.suppress(Exception):  # the context may be gone; a folder left over does no harm
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+atexit.register(release)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -101,8 +147,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 BYTE_HASH = mix64(np.arange(1, 257, dtype=np.uint64) * _MULT)
-LOWER_HASH = BYTE_HASH.copy()
-LOWER_HASH[65:91] = BYTE_HASH[97:123]
 
 
 @lru_cache(maxsize=2)
@@ -121,7 +165,11 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Rolling:
-    """Polynomial prefix hashes of a byte buffer; spans(a, b) hashes every [a, b) at once."""
+    """Polynomial prefix hashes of a byte buffer; spans(a, b) hashes every [a, b) at once.
+
+    Modulo 2^64, so for spans of a few hundred bytes only: Thue-Morse strings collide from 1,024 bytes on.  Longer or
+    free spans take span_hashes.
+    """
 
     def __init__(self, data: np.ndarray, byte_hash: np.ndarray = BYTE_HASH):
         up, self.down = powers(len(data) + 1)
@@ -133,6 +181,40 @@ class Rolling:
         return mix64((self.prefix[end] - self.prefix[start]) * self.down[start] + (end - start).astype(np.uint64))
 
 
+#: Spans longer than this are hashed one by one.
+_LONG_SPAN = 512
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    """ASCII letters in lower case."""
+    return _TO_LOWER[data]
+
+
+_TO_LOWER = np.arange(256, dtype=np.uint8)
+_TO_LOWER[65:91] += 32
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the spans [start, end): eight bytes at a time, each step a bijection of the state, so that no
+    family of strings collides by construction, as it does for polynomials modulo 2^64."""
+    size = end - start
+    out = mix64(size.astype(np.uint64) * _MULT + U64(0x51ED270B0A1F39C1))
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,))
+    live = np.flatnonzero((size > 0) & (size <= _LONG_SPAN))
+    at = 0
+    while len(live):
+        left = size[live] - at
+        chunk = eight[start[live] + at] & _KEEP[np.minimum(left, 8)]
+        out[live] = mix64((out[live] ^ mix64(chunk + U64(at + 1))) * _MULT)
+        live = live[left > 8]
+        at += 8
+    for k in np.flatnonzero(size > _LONG_SPAN):
+        out[k] = int.from_bytes(hashlib.blake2b(data[start[k] : end[k]], digest_size=8).digest(), "little")
+    return out
+
+
 class Words:
     """Words of the texts in one slice: start, end (bytes), doc (text number), first (per text, into the words)."""
 

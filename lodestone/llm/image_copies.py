@@ -2,9 +2,13 @@
 
 Corners are taken at several scales; each gets an orientation (intensity centroid) and a binary descriptor of
 orientation-normalised intensity tests.  Descriptors meet in Hamming tables: each table keys a descriptor by a fixed
-subset of its bits, and an equi-join on (table, key) brings candidates together, of which those stay whose whole
-descriptors differ in few bits.  Matches of two images then vote for a rotation, a scale and a shift; enough votes for
-one transform make a copy.
+subset of its bits, and a query asks for its key and all keys at one bit from it.  The equi-join on (table, key) brings
+candidates together, of which those stay whose whole descriptors differ in few bits.  Matches of two images then vote
+for a rotation, a scale and a shift; enough votes for one transform, from corners spread over the image, make a copy.
+
+Every corner counts: an image has as many as its area holds, and none is dropped for being weak.  Stored images are
+described at five sizes from full to half and queries, which are fewer, at thirteen, so that copies from half to
+double size meet an image of their own size within 3 %.
 
 Images are binary grey maps (PGM, "P5"), the one media format that needs no decoder beyond numpy.
 """
@@ -24,15 +28,18 @@ from lodestone.llm.common import materialize, ship
 
 @dataclass(frozen=True)
 class Settings:
-    corner_area: int = 256  # pixels a corner: each scale keeps its strongest, as many as its area holds
-    scales: tuple[float, ...] = tuple(2 ** (-k / 4) for k in range(5))
+    stored_scales: tuple[float, ...] = tuple(2 ** (-k / 4) for k in range(5))
+    asked_scales: tuple[float, ...] = tuple(2 ** (-k / 12) for k in range(13))
+    apart: int = 3  # pixels around a corner without a stronger one
     tests: int = 256  # a multiple of 64
-    tables: int = 4
-    key_bits: int = 20
-    distance: int = 32  # bits in which two descriptors may differ
-    radius: int = 7
+    tables: int = 2
+    key_bits: int = 28
+    distance: int = 36  # bits in which two descriptors may differ
+    radius: int = 10
+    blur: int = 1  # of what the tests compare, beyond the smoothing of the image
     inliers: int = 4
     least_response: float = 1e-4  # of intensities in [0, 1]; flat patches have no corners
+    stack_bytes: int = 4 << 20  # pixels that are described at once
 
     @property
     def margin(self) -> int:
@@ -67,13 +74,18 @@ def _shift(a: np.ndarray, dy: int, dx: int) -> np.ndarray:
 
 
 def _box(a: np.ndarray, r: int) -> np.ndarray:
-    """Means over (2r + 1)^2 squares."""
+    """Means over (2r + 1)^2 squares, edges repeated."""
     for axis in (1, 2):
         pad = [(0, 0)] * 3
-        pad[axis] = (r + 1, r)
-        total = np.cumsum(np.pad(a, pad, mode="edge"), axis=axis, dtype=np.float64)
-        n = a.shape[axis]
-        a = (np.take(total, range(2 * r + 1, 2 * r + 1 + n), axis) - np.take(total, range(n), axis)) / (2 * r + 1)
+        pad[axis] = (r, r)
+        wide, n = np.pad(a, pad, mode="edge"), a.shape[axis]
+        cut = [slice(None)] * 3
+        cut[axis] = slice(0, n)
+        total = wide[tuple(cut)].copy()
+        for k in range(1, 2 * r + 1):
+            cut[axis] = slice(k, k + n)
+            total += wide[tuple(cut)]
+        a = total / np.float32(2 * r + 1)
     return a
 
 
@@ -82,6 +94,7 @@ def _resized(a: np.ndarray, factor: float) -> np.ndarray:
         return a
     h, w = max(1, int(a.shape[1] * factor)), max(1, int(a.shape[2] * factor))
     y, x = (np.arange(h) + 0.5) / factor - 0.5, (np.arange(w) + 0.5) / factor - 0.5
+    y, x = y.astype(a.dtype), x.astype(a.dtype)
     y0, x0 = np.clip(np.floor(y).astype(int), 0, a.shape[1] - 2), np.clip(np.floor(x).astype(int), 0, a.shape[2] - 2)
     fy, fx = np.clip(y - y0, 0, 1)[None, :, None], np.clip(x - x0, 0, 1)[None, None, :]
     top, low = a[:, y0], a[:, y0 + 1]
@@ -92,59 +105,63 @@ class Describer:
     def __init__(self, s: Settings):
         self.s = s
         draw = np.random.default_rng(5)
-        self.pairs = np.clip(draw.normal(0, s.radius / 2.2, (s.tests, 4)), -s.radius + 1, s.radius - 1)
+        ends = draw.normal(0, s.radius / 2.2, (2 * s.tests, 2))
+        ends *= np.minimum(1, s.radius / np.maximum(np.hypot(ends[:, 0], ends[:, 1]), 1e-9))[:, None]  # inside the disc
+        self.pairs = ends.reshape(s.tests, 4).astype(np.float32)
         self.subsets = [np.sort(draw.choice(s.tests, s.key_bits, replace=False)) for _ in range(s.tables)]
         span = np.arange(-s.radius, s.radius + 1)
         self.dy, self.dx = np.meshgrid(span, span, indexing="ij")
-        self.disc = (self.dy**2 + self.dx**2 <= s.radius**2).astype(np.float64)
+        self.disc = (self.dy**2 + self.dx**2 <= s.radius**2).astype(np.float32)
 
-    def __call__(self, images: np.ndarray) -> list[dict]:
-        """For a stack of equally large images: x, y, angle, scale (arrays) and bits (corners x tests) of each."""
+    def __call__(self, images: np.ndarray, scales: tuple[float, ...]) -> dict[str, np.ndarray]:
+        """For a stack of equally large images: image, x, y, angle, scale (one for each corner) and bits (corners x tests)."""
         s = self.s
-        found: list[list] = [[] for _ in images]
-        base = images.astype(np.float64) / 255
+        found: list[dict] = [{"image": np.zeros(0, int), "x": np.zeros(0), "y": np.zeros(0), "angle": np.zeros(0), "scale": np.zeros(0), "bits": np.zeros((0, s.tests), bool)}]
+        base = images.astype(np.float32) / 255
         # Tones are stretched, so that a change of brightness or contrast alters no response.
         low, high = base.min((1, 2), keepdims=True), base.max((1, 2), keepdims=True)
-        base = (base - low) / np.maximum(high - low, 1e-9)
-        for factor in s.scales:
+        base = (base - low) / np.maximum(high - low, np.float32(1e-9))
+        for factor in scales:
             a = _resized(base, factor)
-            if min(a.shape[1:]) <= 2 * s.margin + 2:
+            m = s.margin
+            if min(a.shape[1:]) <= 2 * m + 2:
                 continue
             smooth = _box(a, 1)
             gy, gx = (_shift(smooth, 1, 0) - _shift(smooth, -1, 0)) / 2, (_shift(smooth, 0, 1) - _shift(smooth, 0, -1)) / 2
             xx, yy, xy = _box(gx * gx, 2), _box(gy * gy, 2), _box(gx * gy, 2)
             response = xx * yy - xy * xy - 0.05 * (xx + yy) ** 2
             peak = response >= s.least_response**1.5
-            for dy in (-2, -1, 0, 1, 2):
-                for dx in (-2, -1, 0, 1, 2):
-                    if (dy, dx) != (0, 0):
-                        other = _shift(response, dy, dx)
-                        peak &= response > other if (dy, dx) < (0, 0) else response >= other
-            m = s.margin
             peak[:, :m] = peak[:, -m:] = peak[:, :, :m] = peak[:, :, -m:] = False
             i, y, x = np.nonzero(peak)
-            if not len(i):
-                continue
-            patches = smooth[i[:, None, None], y[:, None, None] + self.dy, x[:, None, None] + self.dx] * self.disc
-            angle = np.arctan2((patches * self.dy).sum((1, 2)), (patches * self.dx).sum((1, 2)))
-            c, n = np.cos(angle)[:, None], np.sin(angle)[:, None]
-            blurred = _box(a, 2)
-
-            def sample(px, py):
-                u, v = px[None] * c - py[None] * n, px[None] * n + py[None] * c
-                return blurred[i[:, None], np.rint(y[:, None] + v).astype(int), np.rint(x[:, None] + u).astype(int)]
-
-            bits = sample(self.pairs[:, 0], self.pairs[:, 1]) < sample(self.pairs[:, 2], self.pairs[:, 3]) - 1e-6
-            strength = response[i, y, x]
-            most = -(-a.shape[1] * a.shape[2] // s.corner_area)
-            order = np.lexsort((x, y, -strength, i))
-            rank = np.arange(len(i)) - np.searchsorted(i[order], i[order])
-            for k in order[rank < most]:
-                found[i[k]].append((strength[k], (x[k] + 0.5) / factor, (y[k] + 0.5) / factor, angle[k], 1 / factor, bits[k]))
-        out = []
-        for own in found:
-            out.append({"x": [r[1] for r in own], "y": [r[2] for r in own], "angle": [r[3] for r in own], "scale": [r[4] for r in own], "bits": np.array([r[5] for r in own], bool).reshape(len(own), s.tests)})
-        return out
+            centre = response[i, y, x]
+            steps = [(dy, dx) for dy in range(-s.apart, s.apart + 1) for dx in range(-s.apart, s.apart + 1) if (dy, dx) != (0, 0)]
+            for dy, dx in sorted(steps, key=lambda d: abs(d[0]) + abs(d[1])):  # near neighbours leave few
+                other = response[i, y + dy, x + dx]
+                top = centre > other if (dy, dx) < (0, 0) else centre >= other
+                i, y, x, centre = i[top], y[top], x[top], centre[top]
+            blurred = _box(smooth, s.blur)
+            for at in range(0, len(i), 4096):
+                found.append(self._corners(smooth, blurred, i[at : at + 4096], y[at : at + 4096], x[at : at + 4096], factor))
+        return {k: np.concatenate([f[k] for f in found]) for k in found[0]}
+
+    def _corners(self, smooth: np.ndarray, blurred: np.ndarray, i: np.ndarray, y: np.ndarray, x: np.ndarray, factor: float) -> dict[str, np.ndarray]:
+        patches = smooth[i[:, None, None], y[:, None, None] + self.dy, x[:, None, None] + self.dx] * self.disc
+        angle = np.arctan2((patches * self.dy).sum((1, 2)), (patches * self.dx).sum((1, 2)))
+        c, n = np.cos(angle).astype(np.float32)[:, None], np.sin(angle).astype(np.float32)[:, None]
+
+        flat, at = blurred.reshape(-1), ((i * blurred.shape[1] + y) * blurred.shape[2] + x)[:, None]
+
+        def sample(px, py):
+            """Bilinear, for turns other than quarter turns."""
+            u, v = px[None] * c - py[None] * n, px[None] * n + py[None] * c
+            u0, v0 = np.floor(u), np.floor(v)
+            fu, fv = u - u0, v - v0
+            k = at + (v0 * blurred.shape[2] + u0).astype(np.int32)
+            top, low = flat[k], flat[k + blurred.shape[2]]
+            return (top + fu * (flat[k + 1] - top)) * (1 - fv) + (low + fu * (flat[k + blurred.shape[2] + 1] - low)) * fv
+
+        bits = sample(self.pairs[:, 0], self.pairs[:, 1]) < sample(self.pairs[:, 2], self.pairs[:, 3]) - 1e-6
+        return {"image": i, "x": (x + 0.5) / factor, "y": (y + 0.5) / factor, "angle": angle, "scale": np.full(len(i), 1 / factor), "bits": bits}
 
     def keys(self, bits: np.ndarray) -> np.ndarray:
         """corners x tables: the bits of each table's subset as a number."""
@@ -156,77 +173,101 @@ class Describer:
 
 
 _CORNER = "array<struct<x:float,y:float,angle:float,scale:float,keys:array<bigint>,bits:array<bigint>>>"
-_CORNER_PA = pa.list_(pa.struct([("x", pa.float32()), ("y", pa.float32()), ("angle", pa.float32()), ("scale", pa.float32()), ("keys", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))]))
 
 
-def describe(media: DataFrame, settings: Settings = Settings(), key: str = "media_id", image: str = "image") -> DataFrame:
+def _lists(values: np.ndarray) -> pa.Array:
+    """Rows of a matrix as lists."""
+    n, width = values.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(values.reshape(-1)))
+
+
+def describe(media: DataFrame, scales: tuple[float, ...], settings: Settings = Settings(), key: str = "media_id", image: str = "image") -> DataFrame:
     """Per row: key, digest (128 bits, of the image) and corners. What doesn't decode, null too, has a null digest and no corners."""
     ship(media.sparkSession)
 
     def run(batches):
         describer = Describer(settings)
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
-                raw = part.column(image).to_pylist()
-                pixels = [decode_pgm(x) for x in raw]
-                corners: list[list] = [[] for _ in raw]
-                shapes: dict[tuple, list[int]] = {}
-                for k, p in enumerate(pixels):
-                    if p is not None:
-                        shapes.setdefault(p.shape, []).append(k)
-                for own in shapes.values():
-                    for k, d in zip(own, describer(np.stack([pixels[k] for k in own])), strict=True):
-                        keys, words = describer.keys(d["bits"]), describer.words(d["bits"])
-                        corners[k] = [{"x": x, "y": y, "angle": g, "scale": z, "keys": t.tolist(), "bits": b.tolist()} for x, y, g, z, t, b in zip(d["x"], d["y"], d["angle"], d["scale"], keys, words, strict=True)]
-                digests = [hashlib.blake2b(x, digest_size=16).digest() if p is not None else None for x, p in zip(raw, pixels, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(key), pa.array(digests, pa.binary()), pa.array(corners, _CORNER_PA)], [key, "digest", "corners"])
+            at = 0
+            while at < batch.num_rows:
+                # As many rows as a stack may hold; a larger image stands alone.
+                raw, pixels, size = [], [], 0
+                while at < batch.num_rows and (not raw or size < settings.stack_bytes):
+                    raw.append(batch.column(image)[at].as_py())
+                    pixels.append(decode_pgm(raw[-1]))
+                    size += 64 if pixels[-1] is None else 16 * pixels[-1].size
+                    at += 1
+                yield _described(batch.column(key).slice(at - len(raw), len(raw)), raw, pixels, describer)
+
+    def _described(keys, raw, pixels, describer):
+        shapes: dict[tuple, list[int]] = {}
+        for k, p in enumerate(pixels):
+            if p is not None:
+                shapes.setdefault(p.shape, []).append(k)
+        parts = [describer(np.stack([pixels[k] for k in own]), scales) | {"row": np.array(own)} for own in shapes.values()]
+        parts = [p | {"row": p["row"][p["image"]]} for p in parts] or [describer(np.zeros((1, 1, 1), np.uint8), scales) | {"row": np.zeros(0, int)}]
+        d = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
+        d = {k: v[np.argsort(d["row"], kind="stable")] for k, v in d.items()}
+        fields = [pa.array(d[f].astype(np.float32)) for f in ("x", "y", "angle", "scale")] + [_lists(describer.keys(d["bits"])), _lists(describer.words(d["bits"]))]
+        corners = pa.StructArray.from_arrays(fields, ["x", "y", "angle", "scale", "keys", "bits"])
+        corners = pa.ListArray.from_arrays(pa.array(np.searchsorted(d["row"], np.arange(len(raw) + 1)).astype(np.int32)), corners)
+        digests = [hashlib.blake2b(x, digest_size=16).digest() if p is not None else None for x, p in zip(raw, pixels, strict=True)]
+        return pa.RecordBatch.from_arrays([keys, pa.array(digests, pa.binary()), corners], [key, "digest", "corners"])
 
     return media.select(key, image).mapInArrow(run, f"`{key}` {media.schema[key].dataType.simpleString()}, digest binary, corners {_CORNER}")
 
 
-def _entries(described: DataFrame, owner: str, prefix: str, settings: Settings) -> DataFrame:
-    """One row for each corner and table."""
+def _entries(described: DataFrame, owner: str, prefix: str, settings: Settings, probes: bool) -> DataFrame:
+    """One row for each corner and table, and with probes for each key at one bit from its own."""
     corner = described.select(owner, F.posexplode("corners").alias(f"{prefix}n", "c"))
     keyed = corner.select(owner, f"{prefix}n", *[F.col(f"c.{f}").alias(f"{prefix}{f}") for f in ("x", "y", "angle", "scale")], *[F.col("c.bits")[i].alias(f"{prefix}b{i}") for i in range(settings.tests // 64)], F.posexplode("c.keys").alias("tbl", "key"))
+    if probes:
+        flips = F.array(*[F.lit(x).cast("long") for x in [0, *[1 << b for b in range(settings.key_bits)]]])
+        keyed = keyed.withColumn("flip", F.explode(flips)).withColumn("key", F.col("key").bitwiseXOR(F.col("flip"))).drop("flip")
     # Table and key in one number: keys have at most 56 bits.
     return keyed.withColumn("code", F.shiftleft("key", 7) + F.col("tbl")).drop("tbl", "key")
 
 
 def find_copies(media: DataFrame, queries: DataFrame, settings: Settings = Settings(), key: str = "media_id", image: str = "image") -> DataFrame:
-    """Pairs of a query and a class of equal images that it is a copy of.
+    """Rows of two kinds: `member`, one for each row of media, and `match`, one for each query and class that it copies.
 
-    query_id, media_id (the class's smallest key), n_members, inliers, rotation (degrees), scale.  Equal images form
-    one class and aren't expanded.  Images that don't decode, are null, too small or flat match nothing.  Rows that
-    repeat a key are members.  Columns other than key and image are ignored.
+    member: media_id and class_id, the smallest key of the rows with an equal image; a row that doesn't decode has a
+    null class.  match: media_id (the query's), class_id, inliers, rotation (degrees), scale.  So equal images aren't
+    expanded in matches, and no link is lost.  Images that are null, too small or flat match nothing.  Rows that
+    repeat a key are members; classes whose keys are all null have a null class_id.  Other columns are ignored.
     """
-    described = describe(media, settings, key, image)
-    classes = described.where("digest is not null").groupBy("digest").agg(F.min(key).alias("media_id"), F.count(F.lit(1)).alias("n_members"), F.first("corners").alias("corners"))
-    classes = materialize(classes, "media")
-    asked = describe(queries, settings, key, image).select(F.col(key).alias("query_id"), "corners")
-    left, right = _entries(asked, "query_id", "q", settings), _entries(classes.select("digest", "corners"), "digest", "m", settings)
+    described = materialize(describe(media, settings.stored_scales, settings, key, image), "media")
+    classes = described.where("digest is not null").groupBy("digest").agg(F.min(key).alias("class_id"), F.first("corners").alias("corners"))
+    classes = materialize(classes, "media-classes")
+    asked = describe(queries, settings.asked_scales, settings, key, image).select(F.col(key).alias("query_id"), "digest", "corners").where("digest is not null")
+    asked = asked.groupBy("query_id", F.col("digest").alias("query_digest")).agg(F.first("corners").alias("corners"))
+    left, right = _entries(asked.select(F.struct("query_id", "query_digest").alias("query"), "corners"), "query", "q", settings, True), _entries(classes.select("digest", "corners"), "digest", "m", settings, False)
     apart = sum((F.bit_count(F.col(f"qb{i}").bitwiseXOR(F.col(f"mb{i}"))) for i in range(settings.tests // 64)), F.lit(0))
     pairs = left.join(right, (left["code"] == right["code"]) & (apart <= settings.distance)).drop("code")
     turn = F.pmod(F.col("mangle") - F.col("qangle"), F.lit(2 * np.pi))
     size = F.col("mscale") / F.col("qscale")
     x = F.col("mx") - size * (F.cos(turn) * F.col("qx") - F.sin(turn) * F.col("qy"))
     y = F.col("my") - size * (F.sin(turn) * F.col("qx") + F.cos(turn) * F.col("qy"))
-    vote = F.struct("qn", "mn", *[c.cast("float").alias(n) for c, n in ((turn, "turn"), (size, "size"), (x, "sx"), (y, "sy"))])
+    vote = F.struct("qn", "mn", *[c.cast("float").alias(n) for c, n in ((turn, "turn"), (size, "size"), (x, "sx"), (y, "sy"), (F.col("mx"), "mx"), (F.col("my"), "my"))])
     # At most corners x corners votes for a pair of images; most pairs have too few to go on.
-    votes = pairs.select("query_id", "digest", vote.alias("v")).groupBy("query_id", "digest").agg(F.collect_set("v").alias("votes"))
-    votes = votes.where(F.size(F.array_distinct(F.col("votes.qn"))) >= settings.inliers).select("query_id", "digest", F.explode("votes").alias("v")).select("query_id", "digest", "v.*")
+    votes = pairs.select("query", "digest", vote.alias("v")).groupBy("query", "digest").agg(F.collect_set("v").alias("votes"))
+    votes = votes.where(F.size(F.array_distinct(F.col("votes.qn"))) >= settings.inliers).select("query", "digest", F.explode("votes").alias("v")).select("query", "digest", "v.*")
     # Bins overlap by half, so no cluster is cut by a border.
     binned = votes
     for half in ("h1", "h2", "h3"):
         binned = binned.withColumn(half, F.explode(F.array(F.lit(0.0), F.lit(0.5))))
+    place = F.struct(F.floor(F.col("mx") / 4), F.floor(F.col("my") / 4))
     binned = binned.groupBy(
-        "query_id", "digest", "h1", "h2", "h3", F.pmod(F.floor(F.col("turn") / (2 * np.pi / 16) + F.col("h1")), F.lit(16)).alias("bt"), F.round(F.log2("size") * 4).alias("bs"),
-        F.floor(F.col("sx") / 12 + F.col("h2")).alias("bx"), F.floor(F.col("sy") / 12 + F.col("h3")).alias("by"),
-    ).agg(F.count_distinct("qn").alias("inliers"), F.avg(F.sin("turn")).alias("ts"), F.avg(F.cos("turn")).alias("tc"), F.avg("size").alias("size"))
-    best = binned.where(F.col("inliers") >= settings.inliers).groupBy("query_id", "digest").agg(F.max_by(F.struct("inliers", "ts", "tc", "size"), F.struct("inliers", "bt", "bs", "bx", "by")).alias("b"))
-    out = best.join(classes.select("digest", "media_id", "n_members"), "digest")
+        "query", "digest", "h1", "h2", "h3", F.pmod(F.floor(F.col("turn") / (2 * np.pi / 12) + F.col("h1")), F.lit(12)).alias("bt"), F.round(F.log2("size") * 2).alias("bs"),
+        F.floor(F.col("sx") / 24 + F.col("h2")).alias("bx"), F.floor(F.col("sy") / 24 + F.col("h3")).alias("by"),
+    ).agg(F.least(F.count_distinct("qn"), F.count_distinct(place)).alias("inliers"), F.avg(F.sin("turn")).alias("ts"), F.avg(F.cos("turn")).alias("tc"), F.avg("size").alias("size"))
+    best = binned.where(F.col("inliers") >= settings.inliers).groupBy("query", "digest").agg(F.max_by(F.struct("inliers", "ts", "tc", "size"), F.struct("inliers", "bt", "bs", "bx", "by")).alias("b"))
+    out = best.join(classes.select("digest", "class_id"), "digest")
     rotation = F.pmod(F.round(F.degrees(F.atan2("b.ts", "b.tc"))), F.lit(360)).cast("int")
-    return out.select("query_id", "media_id", "n_members", F.col("b.inliers").cast("long").alias("inliers"), rotation.alias("rotation"), F.round("b.size", 2).alias("scale"))
+    kind = media.schema[key].dataType.simpleString()
+    matches = out.select(F.lit("match").alias("kind"), F.col("query.query_id").cast(kind).alias("media_id"), "class_id", F.col("b.inliers").cast("long").alias("inliers"), rotation.alias("rotation"), F.round("b.size", 2).alias("scale"))
+    members = described.select(key, "digest").join(classes.select("digest", "class_id"), "digest", "left")
+    return members.select(F.lit("member").alias("kind"), F.col(key).alias("media_id"), "class_id", *[F.lit(None).cast(t).alias(n) for n, t in (("inliers", "long"), ("rotation", "int"), ("scale", "double"))]).union(matches)
 
 
 # The driver's tables hold no media: an embedding is drawn as a grey map, a blend of fixed textures weighted by its
@@ -238,19 +279,44 @@ def textures(n: int, side: int) -> np.ndarray:
     return _box(np.random.default_rng(11).normal(size=(n, side, side)), 1).reshape(n, -1)
 
 
-def drawn(vectors: np.ndarray, patterns: np.ndarray, side: int = 64) -> np.ndarray:
+SIDE = 96
+
+
+def drawn(vectors: np.ndarray, patterns: np.ndarray, side: int = SIDE) -> np.ndarray:
     """A stack of images, one for each row."""
     full = vectors @ patterns[: vectors.shape[1]]
     spread = np.maximum(full.std(1, keepdims=True), 1e-9)
     return np.clip(128 + 55 * (full - full.mean(1, keepdims=True)) / spread, 0, 255).astype(np.uint8).reshape(-1, side, side)
 
 
+def turned(pixels: np.ndarray, degrees: float) -> np.ndarray:
+    """Turned about the centre, bilinear; what comes from outside is grey."""
+    h, w = pixels.shape
+    cos, sin = np.cos(np.deg2rad(degrees)), np.sin(np.deg2rad(degrees))
+    y, x = np.mgrid[:h, :w] - np.array([(h - 1) / 2, (w - 1) / 2])[:, None, None]
+    u, v = cos * x - sin * y + (w - 1) / 2, sin * x + cos * y + (h - 1) / 2
+    u0, v0 = np.clip(np.floor(u).astype(int), 0, w - 2), np.clip(np.floor(v).astype(int), 0, h - 2)
+    fu, fv = np.clip(u - u0, 0, 1), np.clip(v - v0, 0, 1)
+    top = pixels[v0, u0] * (1 - fu) + pixels[v0, u0 + 1] * fu
+    low = pixels[v0 + 1, u0] * (1 - fu) + pixels[v0 + 1, u0 + 1] * fu
+    return np.where((u < 0) | (u > w - 1) | (v < 0) | (v > h - 1), 128.0, top * (1 - fv) + low * fv)
+
+
 def edited(pixels: np.ndarray, seed: int) -> np.ndarray:
-    """A crop of three quarters, turned by a multiple of 90 degrees, in other tones."""
+    """An edit in other tones, by turns: a crop of three quarters turned by a multiple of 90 degrees; a free turn; a
+    smaller size; noise."""
+    kind, k = (seed // 50) % 4, seed // 200
     h, w = pixels.shape
-    y, x = (seed // 50) % 3 * (h // 8), (seed // 150) % 3 * (w // 8)
-    crop = pixels[y : y + h * 3 // 4, x : x + w * 3 // 4]
-    return np.rot90(np.clip(crop * 0.8 + 20, 0, 255), (seed // 50) % 4).astype(np.uint8)
+    if kind == 0:
+        y, x = k % 3 * (h // 8), k // 3 % 3 * (w // 8)
+        out = np.rot90(pixels[y : y + h * 3 // 4, x : x + w * 3 // 4], k % 4)
+    elif kind == 1:
+        out = turned(pixels.astype(float), 7 + 31 * (k % 11))
+    elif kind == 2:
+        out = _resized(pixels[None].astype(float), (0.9, 0.8, 0.75)[k % 3])[0]
+    else:
+        out = pixels + np.random.default_rng(seed).normal(0, 12, pixels.shape)
+    return np.clip(out * 0.8 + 20, 0, 255).astype(np.uint8)
 
 
 def draw_media(vectors: DataFrame, edit: bool = False, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -265,7 +331,7 @@ def draw_media(vectors: DataFrame, edit: bool = False, key: str = "vec_id", vect
                 ids, rows = part.column(key).to_pylist(), part.column(vector).to_pylist()
                 width = max((len(v) for v in rows if v), default=0)
                 if patterns is None or len(patterns) < width:
-                    patterns = textures(max(width, 1), 64)
+                    patterns = textures(max(width, 1), SIDE)
                 full = np.zeros((len(rows), max(width, 1)))
                 for k, v in enumerate(rows):
                     if v:

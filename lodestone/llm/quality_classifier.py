@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import LOWER_HASH, U64, Rolling, Words, mix64, ship, slices, utf8, windows
+from lodestone.llm.common import U64, Words, lowered, mix64, ship, slices, span_hashes, utf8, windows
 
 
 @dataclass(frozen=True)
@@ -61,7 +61,7 @@ def features(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarr
     if not len(words.start):
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(0, np.float64)
-    lower = Rolling(data, LOWER_HASH).spans(words.start, words.end)
+    lower = span_hashes(lowered(data), words.start, words.end)
     shape = mix64(_shapes(data, words).astype(np.uint64) + U64(977))
     docs, slots, values = [], [], []
     for family, (tokens, width) in enumerate(((lower, 1), (lower, 2), (shape, 1), (shape, 2), (shape, 3))):

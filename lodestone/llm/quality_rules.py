@@ -12,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from lodestone.llm.common import SPACE, Rolling, Words, mix64, per_text, ship, slices, utf8, windows
+from lodestone.llm.common import SPACE, Words, mix64, per_text, ship, slices, span_hashes, utf8, windows
 
 
 @dataclass(frozen=True)
@@ -72,8 +72,7 @@ def judge(data: np.ndarray, offsets: np.ndarray, rules: LineRules) -> tuple[dict
     words = Words(data, offsets)
     space = SPACE[data]
     symbol = _SYMBOL[data]
-    rolling = Rolling(data)
-    hashes = rolling.spans(words.start, words.end)
+    hashes = span_hashes(data, words.start, words.end)
 
     grams, at = windows(words, hashes, 5)
     _, twice = _again(words.doc[at], grams)
@@ -98,7 +97,7 @@ def judge(data: np.ndarray, offsets: np.ndarray, rules: LineRules) -> tuple[dict
     n_words = np.diff(in_line)
     worded = n_words > 0
     before = np.zeros(len(start), bool)
-    before[worded], _ = _again(doc[worded], rolling.spans(start[worded], stop[worded]))
+    before[worded], _ = _again(doc[worded], span_hashes(data, start[worded], stop[worded]))
 
     upper, lower = per_text(_UPPER[data], bounds), per_text(_LOWER[data], bounds)
     bars, symbols = per_text(data == 124, bounds), per_text(symbol, bounds)

@@ -165,16 +165,45 @@ def test_image_copies(spark):
     draw = np.random.default_rng(4)
     vectors = [(i, draw.normal(size=64).tolist()) for i in range(120)] + [(500, None), (501, []), (502, [0.0] * 64)]
     vectors += [(600, vectors[0][1]), (600, vectors[0][1])]
-    df = spark.createDataFrame(vectors, "vec_id bigint, embedding array<double>")
+    df = spark.createDataFrame(vectors, "vec_id bigint, embedding array<double>").withColumn("digest", F.lit(1)).withColumn("corners", F.lit("x"))
     media = image_copies.draw_media(df)
     queries = image_copies.draw_media(df.where("vec_id % 10 = 0"), edit=True)
-    got = {(r["query_id"], r["media_id"]): r for r in image_copies.find_copies(media, queries).collect()}
+    rows = image_copies.find_copies(media, queries).collect()
+    got = {(r["media_id"], r["class_id"]) for r in rows if r["kind"] == "match"}
     wanted = {(i, 0 if i == 600 else i) for i in range(0, 120, 10)} | {(600, 0)}
-    assert len(wanted & set(got)) >= 0.9 * len(wanted)
-    assert set(got) - wanted <= {(0, 0)}
-    assert got[0, 0]["n_members"] == 3
+    assert len(wanted & got) >= 0.9 * len(wanted)
+    assert got - wanted <= {(0, 0)}
+    members = Counter((r["media_id"], r["class_id"]) for r in rows if r["kind"] == "member")
+    assert members == Counter({(i, None if i in (500, 501) else 0 if i == 600 else i): 2 if i == 600 else 1 for i, _ in vectors})
     assert image_copies.decode_pgm(b"P5\n2 2\n255\n123") is None and image_copies.decode_pgm(None) is None
     assert image_copies.decode_pgm(image_copies.encode_pgm(np.arange(6).reshape(2, 3))).tolist() == [[0, 1, 2], [3, 4, 5]]
+    empty = df.limit(0)
+    assert image_copies.find_copies(image_copies.draw_media(empty), image_copies.draw_media(empty)).count() == 0
+    assert image_copies.find_copies(media, image_copies.draw_media(empty)).count() == len(vectors)
+
+
+def test_image_copies_against_brute_force(spark):
+    """Links of whole descriptors, all pairs compared: the tables find nearly all images that brute force links, and no other."""
+    draw, s = np.random.default_rng(8), image_copies.Settings()
+    images = image_copies.drawn(draw.normal(size=(40, 64)), image_copies.textures(64, image_copies.SIDE))
+    big = image_copies.drawn(draw.normal(size=(1, 64)), image_copies.textures(64, 400), 400)[0]  # a large image, and a small part of it
+    shape = "media_id bigint, image binary"
+    stored = {i: p for i, p in enumerate(images)} | {900: big}
+    asked = {i: image_copies.edited(images[i], 50 * i) for i in range(40)} | {900: big[250:330, 40:120]}
+    describer, want = image_copies.Describer(s), set()
+    described = {i: describer(p[None], s.stored_scales) for i, p in stored.items()}
+    for q, p in asked.items():
+        own = describer(p[None], s.asked_scales)
+        for m, other in described.items():
+            near = (own["bits"][:, None] != other["bits"][None]).sum(2) <= s.distance
+            turn = np.round((other["angle"][None] - own["angle"][:, None]) / (np.pi / 12)) % 24
+            votes = Counter(t for t, ok in zip(turn.ravel(), near.ravel(), strict=True) if ok)
+            if votes and max(votes.values()) >= 2 * s.inliers:
+                want.add((q, m))
+    frames = [spark.createDataFrame([(i, image_copies.encode_pgm(p)) for i, p in d.items()], shape) for d in (stored, asked)]
+    got = {(r["media_id"], r["class_id"]) for r in image_copies.find_copies(*frames).collect() if r["kind"] == "match"}
+    assert {(i, i) for i in asked} >= got and len(want) >= 36
+    assert len(got & want) >= 0.9 * len(want) and (900, 900) in got
 
 
 def test_image_copies_resized_turned_noisy(spark):
@@ -195,7 +224,7 @@ def test_image_copies_resized_turned_noisy(spark):
     shape = "media_id bigint, image binary"
     media = spark.createDataFrame([(i, image_copies.encode_pgm(p)) for i, p in enumerate(images)], shape)
     asked = [(100 * n + i, image_copies.encode_pgm(np.clip(edit(images[i]), 0, 255))) for n, edit in enumerate(edits) for i in range(0, 60, 6)]
-    found = {(r["query_id"], r["media_id"]) for r in image_copies.find_copies(media, spark.createDataFrame(asked, shape)).collect()}
+    found = {(r["media_id"], r["class_id"]) for r in image_copies.find_copies(media, spark.createDataFrame(asked, shape)).collect() if r["kind"] == "match"}
     for n in range(len(edits)):
         assert sum((100 * n + i, i) in found for i in range(0, 60, 6)) >= 9
     assert all(q % 100 == m for q, m in found)
