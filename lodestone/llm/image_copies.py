@@ -2,12 +2,12 @@
 
 Corners are taken at several scales; each gets an orientation (intensity centroid) and a binary descriptor of
 orientation-normalised intensity tests.  Descriptors meet in Hamming tables: each table keys a descriptor by a fixed
-subset of its bits, and a query asks for its key and all keys at one bit from it.  The equi-join on (table, key) brings
-candidates together, of which those stay whose whole descriptors differ in few bits.  Matches of two images then vote
-for a rotation, a scale and a shift; enough votes for one transform, from corners spread over the image, make a copy.
+subset of its bits, and an equi-join on (table, key) brings candidates together, of which those stay whose whole
+descriptors differ in few bits.  Matches of two images then vote for a rotation, a scale and a shift; enough votes for
+one transform, from corners spread over the image, make a copy.
 
 Every corner counts: an image has as many as its area holds, and none is dropped for being weak.  Stored images are
-described at five sizes from full to half and queries, which are fewer, at thirteen, so that copies from half to
+described at three sizes from full to half and queries, which are fewer, at thirteen, so that copies from half to
 double size meet an image of their own size within 3 %.
 
 Images are binary grey maps (PGM, "P5"), the one media format that needs no decoder beyond numpy.
@@ -28,12 +28,12 @@ from lodestone.llm.common import materialize, ship
 
 @dataclass(frozen=True)
 class Settings:
-    stored_scales: tuple[float, ...] = tuple(2 ** (-k / 4) for k in range(5))
+    stored_scales: tuple[float, ...] = tuple(2 ** (-k / 2) for k in range(3))
     asked_scales: tuple[float, ...] = tuple(2 ** (-k / 12) for k in range(13))
     apart: int = 3  # pixels around a corner without a stronger one
     tests: int = 256  # a multiple of 64
     tables: int = 2
-    key_bits: int = 28
+    key_bits: int = 18
     distance: int = 36  # bits in which two descriptors may differ
     radius: int = 10
     blur: int = 1  # of what the tests compare, beyond the smoothing of the image
@@ -217,13 +217,10 @@ def describe(media: DataFrame, scales: tuple[float, ...], settings: Settings = S
     return media.select(key, image).mapInArrow(run, f"`{key}` {media.schema[key].dataType.simpleString()}, digest binary, corners {_CORNER}")
 
 
-def _entries(described: DataFrame, owner: str, prefix: str, settings: Settings, probes: bool) -> DataFrame:
-    """One row for each corner and table, and with probes for each key at one bit from its own."""
+def _entries(described: DataFrame, owner: str, prefix: str, settings: Settings) -> DataFrame:
+    """One row for each corner and table."""
     corner = described.select(owner, F.posexplode("corners").alias(f"{prefix}n", "c"))
     keyed = corner.select(owner, f"{prefix}n", *[F.col(f"c.{f}").alias(f"{prefix}{f}") for f in ("x", "y", "angle", "scale")], *[F.col("c.bits")[i].alias(f"{prefix}b{i}") for i in range(settings.tests // 64)], F.posexplode("c.keys").alias("tbl", "key"))
-    if probes:
-        flips = F.array(*[F.lit(x).cast("long") for x in [0, *[1 << b for b in range(settings.key_bits)]]])
-        keyed = keyed.withColumn("flip", F.explode(flips)).withColumn("key", F.col("key").bitwiseXOR(F.col("flip"))).drop("flip")
     # Table and key in one number: keys have at most 56 bits.
     return keyed.withColumn("code", F.shiftleft("key", 7) + F.col("tbl")).drop("tbl", "key")
 
@@ -237,11 +234,11 @@ def find_copies(media: DataFrame, queries: DataFrame, settings: Settings = Setti
     repeat a key are members; classes whose keys are all null have a null class_id.  Other columns are ignored.
     """
     described = materialize(describe(media, settings.stored_scales, settings, key, image), "media")
-    classes = described.where("digest is not null").groupBy("digest").agg(F.min(key).alias("class_id"), F.first("corners").alias("corners"))
-    classes = materialize(classes, "media-classes")
+    classes = described.where("digest is not null").groupBy("digest").agg(F.min(key).alias("class_id"))
+    stored = described.where("digest is not null").groupBy("digest").agg(F.first("corners").alias("corners"))
     asked = describe(queries, settings.asked_scales, settings, key, image).select(F.col(key).alias("query_id"), "digest", "corners").where("digest is not null")
     asked = asked.groupBy("query_id", F.col("digest").alias("query_digest")).agg(F.first("corners").alias("corners"))
-    left, right = _entries(asked.select(F.struct("query_id", "query_digest").alias("query"), "corners"), "query", "q", settings, True), _entries(classes.select("digest", "corners"), "digest", "m", settings, False)
+    left, right = _entries(asked.select(F.struct("query_id", "query_digest").alias("query"), "corners"), "query", "q", settings), _entries(stored, "digest", "m", settings)
     apart = sum((F.bit_count(F.col(f"qb{i}").bitwiseXOR(F.col(f"mb{i}"))) for i in range(settings.tests // 64)), F.lit(0))
     pairs = left.join(right, (left["code"] == right["code"]) & (apart <= settings.distance)).drop("code")
     turn = F.pmod(F.col("mangle") - F.col("qangle"), F.lit(2 * np.pi))
