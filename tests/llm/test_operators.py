@@ -49,6 +49,25 @@ def corpus():
     return out + [(500, "ab " * 300), (501, prose(draw, 6000))]
 
 
+def test_hashes_do_not_collide_by_construction():
+    """A Thue-Morse string and its complement, which polynomials modulo 2^64 can't tell apart; and a large vocabulary."""
+    from lodestone.llm.common import span_hashes
+
+    for size in (64, 512, 1024, 4096):
+        bit = np.array([bin(i).count("1") & 1 for i in range(size)], np.uint8)
+        both = np.concatenate([97 + bit, 98 - bit])
+        a, b = span_hashes(both, np.array([0, size]), np.array([size, 2 * size]))
+        assert a != b
+    words = [f"{i:x}" for i in range(200000)] + ["", "a", "a\0", "aa" * 8, "a" * 9, "a" * 700, "a" * 701]
+    ends = np.cumsum([len(w) for w in words])
+    data = np.frombuffer("".join(words).encode(), np.uint8)
+    assert len(np.unique(span_hashes(data, ends - [len(w) for w in words], ends))) == len(set(words))
+    line = "".join("ab"[bin(i).count("1") & 1] for i in range(2048))
+    text = line + "\n" + line.translate(str.maketrans("ab", "ba"))
+    columns, *_ = quality_rules.judge(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]), quality_rules.LineRules())
+    assert columns["n_dup_lines"].tolist() == [0]
+
+
 # 1
 
 
@@ -478,11 +497,44 @@ def test_near_duplicates_of_nothing(spark):
     assert lsh_forest.near_duplicates(frame(spark, [(None, "a b c d e f"), (None, "a b c d e f"), (None, None)])).where("n_links = 1").count() == 2
 
 
-def test_forest_depth():
+def test_forest_depth_is_measured(spark):
+    """Probes at the threshold: the fitted prefix is as long as theory lets it be, and longer where all sets lose little."""
+    draw = random.Random(9)
+    texts = [prose(draw, 200) for _ in range(300)]
+    docs = frame(spark, list(enumerate(texts))).withColumn("text_key", F.xxhash64("text"))
+    rows = [(i, t, lsh_forest.set_key(s), len(s)) for i, t in enumerate(texts) for s in lsh_forest.shingle_sets(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]), 5)]
+    classes = spark.createDataFrame(rows, "doc_id bigint, text string, set_key binary, n_shingles long").select("set_key", "n_shingles", F.struct(F.col("doc_id").alias("key"), F.xxhash64("text").alias("text_key")).alias("place"))
     forest = lsh_forest.Forest()
-    depth = forest.depth()
-    reach = lambda k: 1 - (1 - 0.8**k) ** forest.trees
-    assert reach(depth) >= forest.recall > reach(depth + 1)
+    depth = lsh_forest.fitted_depth(docs, classes, forest, "doc_id", "text")
+    reach = lambda k, j: 1 - (1 - j**k) ** forest.trees
+    assert reach(depth, 0.8) >= 0.995 and reach(depth + 2, 0.8) < forest.recall
+    near = lsh_forest.fitted_depth(docs, classes, lsh_forest.Forest(threshold=(19, 20)), "doc_id", "text")
+    assert near > depth
+    assert lsh_forest.fitted_depth(docs, classes.limit(0), forest, "doc_id", "text") == forest.max_depth
+
+
+def test_large_groups_are_compared_by_trie_node(spark):
+    """A chain of texts, each near the next: one group, few links; and two crowds of like texts."""
+    draw = random.Random(5)
+    words = [f"w{i}" for i in range(400)]
+    pairs = [(i, " ".join(words[3 * i : 3 * i + 90])) for i in range(60)]
+    crowd = [f"c{i}" for i in range(80)]
+    pairs += [(1000 + i, " ".join([*crowd[:60], *draw.sample(crowd[60:], 1), *crowd[61:], "z"])) for i in range(50)]
+    want = plain_links(pairs)
+    for block in (8, 400):
+        got = Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in lsh_forest.near_duplicates(frame(spark, pairs), lsh_forest.Forest(block=block)).collect())
+        assert got == want
+
+
+def test_components_with_a_hub(spark, monkeypatch):
+    from lodestone.llm import components as c
+
+    monkeypatch.setattr(c, "HOT_ROWS", 5)
+    monkeypatch.setattr(c, "HOT_KEYS", 100)
+    edges = [(0, i) for i in range(1, 60)] + [(i, i + 1) for i in range(100, 140)] + [(200, 200), (None, 3), (7, 0)]
+    got = {(r["u"], r["root"]) for r in components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
+    assert got == {(i, 0) for i in range(1, 60)} | {(i, 100) for i in range(101, 141)}
+    assert components(spark.createDataFrame([], "u bigint, v bigint")).count() == 0
 
 
 def test_components(spark):
