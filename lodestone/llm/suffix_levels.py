@@ -11,24 +11,31 @@ the earliest place, and levels of like size merge, so an entry is rewritten a lo
 that share a head but not the reach (the edges of repeats) come back with their text, and their windows are compared
 one by one in the same manner.  The order is by fingerprints of 64 bits rather than by raw bytes: ranges of it are
 even however skewed the text is, and equal strings, which are all that is sought, are adjacent in either order.
+
+SuffixIndex keeps the family in a folder, as versioned tables: a new batch meets the stored levels in the same scan,
+is stored as a level of its own, and stored levels of like size merge.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.llm.common import U64, Rolling, materialize, mix64, ship, shuffle_partitions, slices, utf8
 
-#: Bytes of text whose windows are anchored at once, and that make one suffix array.
-PIECE, BATCH = 1 << 19, 6 << 20
+#: Bytes of text whose windows are anchored at once, and that make one suffix array (more where buckets are many).
+PIECE, BATCH, LARGEST_BATCH = 1 << 19, 6 << 20, 64 << 20
+#: Bytes of text whose entries make a bucket, and the limits to the number of buckets.
+BUCKET_BYTES, BUCKETS = 16 << 20, (96, 200_000)
 
 
 @dataclass(frozen=True)
@@ -39,9 +46,10 @@ class Repeats:
     hot_batch: int = 64  # have their windows dealt out one by one
 
 
-# Entries are columns: fingerprints, doc, tag (the text's hash), lo (start of the first window), n (windows), hot.
-_ENTRY = (("head", np.uint64), ("reach", np.uint64), ("doc", np.int64), ("tag", np.uint32), ("lo", np.int64), ("n", np.int32), ("hot", np.uint8))
-_SPAN = (("doc", np.int64), ("tag", np.uint32), ("lo", np.int64), ("n", np.int32))
+# Entries are columns: fingerprints, batch, doc, tag (the text's hash), lo (start of the first window), n (windows), hot.
+_ENTRY = (("head", np.uint64), ("reach", np.uint64), ("batch", np.int32), ("doc", np.int64), ("tag", np.uint32), ("lo", np.int64), ("n", np.int32), ("hot", np.uint8))
+_SPAN = (("batch", np.int32), ("doc", np.int64), ("tag", np.uint32), ("lo", np.int64), ("n", np.int32))
+_PLACE = ("batch", "doc", "tag", "lo")
 
 
 def _take(rows: dict, at) -> dict:
@@ -84,7 +92,7 @@ def _argmin(values: np.ndarray, width: int) -> np.ndarray:
     return place
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, doc: np.ndarray, tag: np.ndarray, cfg: Repeats) -> dict:
+def anchors(data: np.ndarray, offsets: np.ndarray, doc: np.ndarray, tag: np.ndarray, cfg: Repeats, batch: int = 0) -> dict:
     """Entries of all texts of a buffer. Pieces overlap by width - 1 bytes, so long texts need no more memory than short ones."""
     out = [_empty(_ENTRY)]
     for at in range(0, max(len(data) - cfg.width + 1, 0), PIECE):
@@ -107,26 +115,25 @@ def anchors(data: np.ndarray, offsets: np.ndarray, doc: np.ndarray, tag: np.ndar
         shape = ((anchor - lo) * 4096 + hi - lo).astype(np.uint64)
         reach = mix64(rolling.spans(lo, hi + cfg.width) ^ mix64(shape))
         # Anchors are the least hashes around, so they are mixed again: ranges of the result hold like shares.
-        out.append({"head": mix64(heads[anchor] + U64(0x632BE59BD9B4E019)), "reach": reach, "doc": doc[who], "tag": tag[who], "lo": lo + at - offsets[who], "n": (hi - lo + 1).astype(np.int32), "hot": np.zeros(len(lo), np.uint8)})
+        out.append({"head": mix64(heads[anchor] + U64(0x632BE59BD9B4E019)), "reach": reach, "batch": np.full(len(lo), batch, np.int32), "doc": doc[who], "tag": tag[who], "lo": lo + at - offsets[who], "n": (hi - lo + 1).astype(np.int32), "hot": np.zeros(len(lo), np.uint8)})
     return _cat(out)
 
 
-def _sort_key(rows: dict) -> np.ndarray:
-    return (rows["head"] & U64(0xFFFFFFFF00000000)) | (rows["reach"] >> U64(32))
-
-
 def _later(a: dict, b: dict) -> np.ndarray:
-    """Whether a's places come after b's: by doc, then by the text's hash (rows that share an id), then by start."""
-    return (a["doc"] > b["doc"]) | ((a["doc"] == b["doc"]) & ((a["tag"] > b["tag"]) | ((a["tag"] == b["tag"]) & (a["lo"] > b["lo"]))))
+    """Whether a's places come after b's: by batch, doc, the text's hash (rows that share an id), and start."""
+    out = np.zeros(len(a["lo"]), bool)
+    for k in reversed(_PLACE):
+        out = (a[k] > b[k]) | ((a[k] == b[k]) & out)
+    return out
 
 
 def _same_place(a: dict, b: dict) -> np.ndarray:
-    return (a["doc"] == b["doc"]) & (a["tag"] == b["tag"]) & (a["lo"] == b["lo"])
+    return np.logical_and.reduce([a[k] == b[k] for k in _PLACE])
 
 
 def suffix_array(rows: dict) -> tuple[dict, dict]:
     """Entries in suffix order with one, the earliest, for each (head, reach); and the spans of the others."""
-    order = np.lexsort((rows["lo"], rows["tag"], rows["doc"], rows["reach"], _sort_key(rows)))
+    order = np.lexsort((rows["lo"], rows["tag"], rows["doc"], rows["batch"], rows["reach"], rows["head"]))
     rows = _take(rows, order)
     again = np.zeros(len(order), bool)
     again[1:] = (rows["head"][1:] == rows["head"][:-1]) & (rows["reach"][1:] == rows["reach"][:-1])
@@ -135,72 +142,94 @@ def suffix_array(rows: dict) -> tuple[dict, dict]:
     return _take(rows, ~again), {k: spans[k] for k, _ in _SPAN}
 
 
+def _find(level: dict, head: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """In an array ordered by (head, reach): the range of each head, where its reach would stand in it, and whether it does."""
+    low, high = np.searchsorted(level["head"], head), np.searchsorted(level["head"], head, "right")
+    a, b = low.copy(), high.copy()
+    live = np.flatnonzero(a < b)
+    while len(live):
+        mid = (a[live] + b[live]) // 2
+        less = level["reach"][mid] < reach[live]
+        a[live[less]], b[live[~less]] = mid[less] + 1, mid[~less]
+        live = live[a[live] < b[live]]
+    at = np.where(a < high, a, 0)
+    there = (a < high) & (level["reach"][at] == reach) if len(level["head"]) else np.zeros(len(head), bool)
+    return low, high, at, there
+
+
 class Levels:
-    """The family: suffix arrays whose sizes fall geometrically. Entries are flagged as edges where a head has several reaches."""
+    """The family: suffix arrays whose sizes fall geometrically. Entries are flagged as edges where a head has several reaches.
+
+    Levels that were stored before stay as they are; what is new makes levels of its own.
+    """
 
-    def __init__(self):
+    def __init__(self, stored: list[dict] = ()):
+        self.stored = [{k: v.copy() for k, v in level.items()} | {"edge": np.zeros(len(level["head"]), bool)} for level in stored]
         self.levels: list[dict] = []
         self.spans: list[dict] = []
 
     def add(self, run: dict) -> None:
         """Merge-scan an array (from suffix_array) against every level, then take in what is new."""
-        run = run | {"key": _sort_key(run), "edge": np.zeros(len(run["head"]), bool)}
-        _flag(run)
-        alive = np.ones(len(run["key"]), bool)
-        for level in self.levels:
-            at = np.searchsorted(level["key"], run["key"])
-            at[at == len(level["key"])] = 0
-            there = _take(level, at)
-            same = alive & (there["head"] == run["head"]) & (there["reach"] == run["reach"])
-            later = same & _later(run, there)
+        run = run | {"edge": np.zeros(len(run["head"]), bool)}
+        same = run["head"][1:] == run["head"][:-1]
+        run["edge"][1:] |= same
+        run["edge"][:-1] |= same
+        alive = np.ones(len(run["head"]), bool)
+        for level in [*self.stored, *self.levels]:
+            low, high, at, there = _find(level, run["head"], run["reach"])
+            same = alive & there
+            other = _take(level, at) if len(level["head"]) else run
+            later = same & _later(run, other)
             self.spans.append({k: run[k][later] for k, _ in _SPAN})
-            earlier = same & _later(there, run)
-            self.spans.append({k: there[k][earlier] for k, _ in _SPAN})
-            for k in ("doc", "tag", "lo"):
+            earlier = same & _later(other, run)
+            self.spans.append({k: other[k][earlier] for k, _ in _SPAN})
+            for k in _PLACE:
                 level[k][at[earlier]] = run[k][earlier]
             level["hot"][at[same]] |= run["hot"][same]  # a crowd's marker may stand here already
             alive &= ~same
-            block, own = level["key"] >> U64(32), run["key"] >> U64(32)
-            near = (np.searchsorted(block, own, "right") > np.searchsorted(block, own)) & ~same
+            near = (high > low) & ~there
             run["edge"] |= near
-            theirs = np.unique(own[near])
-            i, j = np.searchsorted(block, theirs), np.searchsorted(block, theirs, "right")
-            mark = np.zeros(len(block) + 1, np.int64)
-            np.add.at(mark, i, 1)
-            np.add.at(mark, j, -1)
+            touched = near | (same & (run["hot"] > 0))
+            mark = np.zeros(len(level["head"]) + 1, np.int64)
+            np.add.at(mark, low[touched], 1)
+            np.add.at(mark, high[touched], -1)
             level["edge"] |= np.cumsum(mark[:-1]) > 0
         run = _take(run, alive)
-        if len(run["key"]):
+        if len(run["head"]):
             self.levels.append(run)
-        while len(self.levels) > 1 and len(self.levels[-2]["key"]) < 2 * len(self.levels[-1]["key"]):
-            both = _cat(self.levels[-2:])
-            self.levels[-2:] = [_take(both, np.argsort(both["key"], kind="stable"))]
+        while len(self.levels) > 1 and len(self.levels[-2]["head"]) < 2 * len(self.levels[-1]["head"]):
+            self.levels[-2:] = [merged(self.levels[-2:])]
 
     def finish(self) -> tuple[dict, dict]:
         """(spans that repeat an earlier place, the earliest entries at edges)."""
-        if not self.levels:
-            return _cat([*self.spans, _empty(_SPAN)]), _empty(_ENTRY)
-        rows = _cat(self.levels)
+        rows = _cat([{k: x[k] for k in (*(n for n, _ in _ENTRY), "edge")} for x in [*self.stored, *self.levels]] or [_empty((*_ENTRY, ("edge", bool)))])
         return _cat([*self.spans, _empty(_SPAN)]), _take({k: rows[k] for k, _ in _ENTRY}, rows["edge"])
 
+    def new_level(self) -> dict:
+        """What the family took in, as one array."""
+        out = merged(self.levels) if self.levels else _empty(_ENTRY)
+        return {k: out[k] for k, _ in _ENTRY}
+
+
+def merged(levels: list[dict]) -> dict:
+    both = _cat(levels)
+    return _take(both, np.lexsort((both["reach"], both["head"])))
 
-def _flag(run: dict) -> None:
-    block = run["key"] >> U64(32)
-    same = block[1:] == block[:-1]
-    run["edge"][1:] |= same
-    run["edge"][:-1] |= same
 
+_RUN = "bucket int, run binary, spans binary, crowd binary"
 
-def _runs(docs: DataFrame, cfg: Repeats, buckets: int) -> DataFrame:
+
+def _runs(docs: DataFrame, cfg: Repeats, buckets: int, batch_number: int) -> DataFrame:
     """(bucket, run, spans): each batch's suffix array cut into ranges of the head's fingerprint."""
+    most = min(LARGEST_BATCH, max(BATCH, buckets * 1024))  # a bucket's share is some 30 entries at least
 
     def run(batches):
         for batch in batches:
             whole, bounds = utf8(batch.column("text"))
             docs_, tags = np.asarray(batch.column("doc")), np.asarray(batch.column("tag")).astype(np.uint32)
-            for first, last in slices(bounds, BATCH):
+            for first, last in slices(bounds, most):
                 data, offsets = whole[bounds[first] : bounds[last]], bounds[first : last + 1] - bounds[first]
-                array, spans = suffix_array(anchors(data, offsets, docs_[first:last], tags[first:last], cfg))
+                array, spans = suffix_array(anchors(data, offsets, docs_[first:last], tags[first:last], cfg, batch_number))
                 array, crowd = _crowds(array, cfg)
                 cuts = np.searchsorted(array["head"] >> U64(32), (np.arange(buckets + 1, dtype=np.uint64) << U64(32)) // U64(buckets))
                 # Repeats inside the batch are settled and crowds are known as edges; they travel with any bucket.
@@ -214,12 +243,12 @@ def _runs(docs: DataFrame, cfg: Repeats, buckets: int) -> DataFrame:
                         crowds.append(pack(_take(crowd, slice(deal[b], deal[b + 1])), _ENTRY))
                 yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), *[pa.array(x, pa.binary()) for x in (blobs, more, crowds)]], ["bucket", "run", "spans", "crowd"])
 
-    return docs.mapInArrow(run, "bucket int, run binary, spans binary, crowd binary")
+    return docs.mapInArrow(run, _RUN)
 
 
 def _crowds(array: dict, cfg: Repeats) -> tuple[dict, dict]:
     """(array, crowd): of a head with more than cfg.hot_batch reaches only two stay, as markers; all are edges for certain."""
-    _, first, place, many = np.unique(array["head"] >> U64(32), return_index=True, return_inverse=True, return_counts=True)
+    _, first, place, many = np.unique(array["head"], return_index=True, return_inverse=True, return_counts=True)
     if not len(many) or many.max() <= cfg.hot_batch:
         return array, _take(array, slice(0, 0))
     hot = (many > cfg.hot_batch)[place]
@@ -227,35 +256,51 @@ def _crowds(array: dict, cfg: Repeats) -> tuple[dict, dict]:
     return _take(array, ~hot | (np.arange(len(hot)) < first[place] + 2)), _take(array, hot)
 
 
-_FOUND = "doc long, tag long, lo long, n int, head long, hot boolean"
+#: hot: 0, 1 for an edge whose windows are dealt out one by one, 2 for one that stands in no level besides.
+_FOUND = "batch int, doc long, tag long, lo long, n int, head long, hot tinyint"
 
 
 def _found(spans: dict, edges: dict, hot: np.ndarray) -> pa.Table:
     """Spans have no head."""
     k = len(spans["lo"])
     none = pa.nulls(k, pa.int64())
-    cols = [pa.array(np.concatenate([spans[c], edges[c]]).astype(t)) for c, t in (("doc", np.int64), ("tag", np.int64), ("lo", np.int64), ("n", np.int32))]
+    cols = [pa.array(np.concatenate([spans[c], edges[c]]).astype(t)) for c, t in (("batch", np.int32), ("doc", np.int64), ("tag", np.int64), ("lo", np.int64), ("n", np.int32))]
     heads = pa.concat_arrays([none, pa.array(edges["head"].view(np.int64))])
-    return pa.table([*cols, heads, pa.array(np.concatenate([np.zeros(k, bool), hot]))], ["doc", "tag", "lo", "n", "head", "hot"])
+    return pa.table([*cols, heads, pa.array(np.concatenate([np.zeros(k, np.int8), hot.astype(np.int8)]))], ["batch", "doc", "tag", "lo", "n", "head", "hot"])
+
 
+def _scan(runs: DataFrame, cfg: Repeats, buckets: int, stored: DataFrame | None = None, store: bool = False) -> DataFrame:
+    """runs, and stored(level, bucket, entries), the levels of earlier batches -> found spans and edges, with store also
+    the new level's entries (in the columns bucket and entries, on rows of their own)."""
 
-def _scan(runs: DataFrame, cfg: Repeats, buckets: int) -> DataFrame:
     def bucket(table: pa.Table) -> pa.Table:
-        family = Levels()
+        blobs: dict[str, list[bytes]] = {c: table.column(c).to_pylist() for c in ("run", "spans", "crowd", "entries")}
+        family = Levels([unpack(x, _ENTRY) for x in blobs["entries"] if x is not None])
         crowds = [_empty(_ENTRY)]
-        for blob, more, crowd in zip(table.column("run"), table.column("spans"), table.column("crowd"), strict=True):
-            family.spans.append(unpack(more.as_py(), _SPAN))
-            family.add(unpack(blob.as_py(), _ENTRY))
-            crowds.append(unpack(crowd.as_py(), _ENTRY))
+        for blob, more, crowd in zip(blobs["run"], blobs["spans"], blobs["crowd"], strict=True):
+            if blob is not None:
+                family.spans.append(unpack(more, _SPAN))
+                family.add(unpack(blob, _ENTRY))
+                crowds.append(unpack(crowd, _ENTRY))
         spans, edges = family.finish()
-        heads, place, many = np.unique(edges["head"] >> U64(32), return_inverse=True, return_counts=True)
+        heads, place, many = np.unique(edges["head"], return_inverse=True, return_counts=True)
         hot = np.zeros(len(place), bool)
         if len(heads):  # a marker makes its head hot wherever it is met
-            hot = ((np.bincount(place, edges["hot"]) > 0) | (many > cfg.hot))[place]
+            hot = ((np.bincount(place, edges["hot"] > 0) > 0) | (many > cfg.hot))[place]
         crowd = _cat(crowds)
-        return _found(spans, _cat([edges, crowd]), np.concatenate([hot, np.ones(len(crowd["lo"]), bool)]))
+        out = _found(spans, _cat([edges, crowd]), np.concatenate([hot.astype(np.int8), np.full(len(crowd["lo"]), 2)]))
+        if not store:
+            return out
+        number = table.column("bucket")[0].as_py()
+        out = out.append_column("bucket", pa.nulls(len(out), pa.int32())).append_column("entries", pa.nulls(len(out), pa.binary()))
+        row = {n: pa.nulls(1, out.schema.field(n).type) for n in out.schema.names} | {"bucket": pa.array([number], pa.int32()), "entries": pa.array([pack(family.new_level(), _ENTRY)], pa.binary())}
+        return pa.concat_tables([out, pa.table(row)])
 
-    return _by_bucket(runs, buckets).applyInArrow(bucket, _FOUND)
+    rows = runs.withColumn("entries", F.lit(None).cast("binary"))
+    if stored is not None:
+        none = [F.lit(None).cast("binary").alias(c) for c in ("run", "spans", "crowd")]
+        rows = rows.union(stored.select("bucket", *none, "entries"))
+    return _by_bucket(rows, buckets).applyInArrow(bucket, _FOUND + ", bucket int, entries binary" * store)
 
 
 def _by_bucket(rows: DataFrame, buckets: int):
@@ -263,8 +308,12 @@ def _by_bucket(rows: DataFrame, buckets: int):
     return rows.repartition(buckets, "bucket").groupBy("bucket")
 
 
-# The windows of an edge: w (uint64, of the window's bytes), doc, tag, lo.
-_WINDOW = (("w", np.uint64), ("doc", np.int64), ("tag", np.uint32), ("lo", np.int64))
+def bucket_count(spark: SparkSession, n_bytes: int) -> int:
+    return max(BUCKETS[0], shuffle_partitions(spark), min(BUCKETS[1], -(-n_bytes // BUCKET_BYTES)))
+
+
+# The windows of an edge: w (of the window's bytes) and their places.
+_WINDOW = (("w", np.uint64), ("batch", np.int32), ("doc", np.int64), ("tag", np.uint32), ("lo", np.int64))
 
 
 def _window_hashes(content: np.ndarray, start: np.ndarray, cfg: Repeats) -> np.ndarray:
@@ -273,7 +322,7 @@ def _window_hashes(content: np.ndarray, start: np.ndarray, cfg: Repeats) -> np.n
 
 def _first_windows(rows: dict) -> tuple[dict, dict]:
     """The earliest place of each distinct window, and the places of the others."""
-    order = np.lexsort((rows["lo"], rows["tag"], rows["doc"], rows["w"]))
+    order = np.lexsort((rows["lo"], rows["tag"], rows["doc"], rows["batch"], rows["w"]))
     rows = _take(rows, order)
     again = np.zeros(len(order), bool)
     again[1:] = rows["w"][1:] == rows["w"][:-1]
@@ -283,19 +332,19 @@ def _first_windows(rows: dict) -> tuple[dict, dict]:
 
 def _to_spans(rows: dict) -> dict:
     """Windows at successive places as one span."""
-    order = np.lexsort((rows["lo"], rows["tag"], rows["doc"]))
-    doc, tag, lo = (rows[k][order] for k in ("doc", "tag", "lo"))
+    order = np.lexsort((rows["lo"], rows["tag"], rows["doc"], rows["batch"]))
+    batch, doc, tag, lo = (rows[k][order] for k in _PLACE)
     new = np.ones(len(lo), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]) | (lo[1:] > lo[:-1] + 1)
+    new[1:] = (batch[1:] != batch[:-1]) | (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]) | (lo[1:] > lo[:-1] + 1)
     at = np.flatnonzero(new)
     last = np.append(at[1:], len(lo)) - 1 if len(at) else at
-    return {"doc": doc[at], "tag": tag[at], "lo": lo[at], "n": (lo[last] - lo[at] + 1).astype(np.int32)}
+    return {"batch": batch[at], "doc": doc[at], "tag": tag[at], "lo": lo[at], "n": (lo[last] - lo[at] + 1).astype(np.int32)}
 
 
 # An edge with its text: kind 0 (all windows of one reach, met by head) or 1 (single windows of hot heads, met by window).
 def _edge_texts(joined: DataFrame, cfg: Repeats, buckets: int) -> DataFrame:
-    """joined(doc, tag, text, edges array<struct<lo, n, head, hot>>) -> (bucket, texts, place, windows)."""
-    kinds = (("head", np.uint64), ("doc", np.int64), ("tag", np.uint32), ("lo", np.int64), ("n", np.int32))
+    """joined(batch, doc, tag, text, edges array<struct<lo, n, head, hot>>) -> found spans."""
+    kinds = (("head", np.uint64), ("batch", np.int32), ("doc", np.int64), ("tag", np.uint32), ("lo", np.int64), ("n", np.int32))
 
     def run(batches):
         for batch in batches:
@@ -306,13 +355,13 @@ def _edge_texts(joined: DataFrame, cfg: Repeats, buckets: int) -> DataFrame:
             who = np.repeat(np.arange(batch.num_rows), many)
             lo, n = (np.asarray(values.field(k)).astype(np.int64) for k in (0, 1))
             head, hot = np.asarray(values.field(2)).view(np.uint64), values.field(3).to_numpy(zero_copy_only=False).astype(bool)
-            doc, tag = np.asarray(batch.column("doc"))[who], np.asarray(batch.column("tag")).astype(np.uint32)[who]
+            number_, doc, tag = np.asarray(batch.column("batch"))[who], np.asarray(batch.column("doc"))[who], np.asarray(batch.column("tag")).astype(np.uint32)[who]
             start, size = offsets[who] + lo, n + cfg.width - 1
             number = ((head >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
             single = _empty(_WINDOW)
             if hot.any():
                 places = np.repeat(start[hot] - np.concatenate([[0], np.cumsum(n[hot])[:-1]]), n[hot]) + np.arange(int(n[hot].sum()))
-                single = {"w": np.concatenate([_window_hashes(data[s : s + z], np.arange(m), cfg) for s, z, m in zip(start[hot], size[hot], n[hot], strict=True)]), "doc": np.repeat(doc[hot], n[hot]), "tag": np.repeat(tag[hot], n[hot]), "lo": places - np.repeat(offsets[who][hot], n[hot])}
+                single = {"w": np.concatenate([_window_hashes(data[s : s + z], np.arange(m), cfg) for s, z, m in zip(start[hot], size[hot], n[hot], strict=True)]), "batch": np.repeat(number_[hot], n[hot]), "doc": np.repeat(doc[hot], n[hot]), "tag": np.repeat(tag[hot], n[hot]), "lo": places - np.repeat(offsets[who][hot], n[hot])}
             single, settled = _first_windows(single)
             settled = _to_spans(settled)
             by_window = (mix64(single["w"]) % U64(buckets)).astype(np.int64)
@@ -324,7 +373,7 @@ def _edge_texts(joined: DataFrame, cfg: Repeats, buckets: int) -> DataFrame:
                     continue
                 numbers.append(b)
                 texts.append(b"".join(data[s : s + z].tobytes() for s, z in zip(start[own], size[own], strict=True)))
-                places.append(pack({"head": head[own], "doc": doc[own], "tag": tag[own], "lo": lo[own], "n": n[own].astype(np.int32)}, kinds))
+                places.append(pack({"head": head[own], "batch": number_[own], "doc": doc[own], "tag": tag[own], "lo": lo[own], "n": n[own].astype(np.int32)}, kinds))
                 singles.append(pack(_take(single, alone), _WINDOW))
                 done.append(pack(settled if not b else _empty(_SPAN), _SPAN))
             yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), *[pa.array(x, pa.binary()) for x in (texts, places, singles, done)]], ["bucket", "texts", "places", "singles", "done"])
@@ -338,12 +387,12 @@ def _edge_texts(joined: DataFrame, cfg: Repeats, buckets: int) -> DataFrame:
                 begin = np.concatenate([[0], np.cumsum(n + cfg.width - 1)[:-1]])
                 step = np.arange(int(n.sum())) - np.repeat(np.concatenate([[0], np.cumsum(n)[:-1]]), n)
                 w = _window_hashes(content, np.repeat(begin, n) + step, cfg)
-                parts.append({"w": w, "doc": np.repeat(own["doc"], n), "tag": np.repeat(own["tag"], n), "lo": np.repeat(own["lo"], n) + step})
+                parts.append({"w": w, "batch": np.repeat(own["batch"], n), "doc": np.repeat(own["doc"], n), "tag": np.repeat(own["tag"], n), "lo": np.repeat(own["lo"], n) + step})
             parts.append(unpack(row["singles"], _WINDOW))
             spans.append(unpack(row["done"], _SPAN))
         _, others = _first_windows(_cat(parts))
         spans.append(_to_spans(others))
-        return _found(_cat(spans), _empty(_ENTRY), np.zeros(0, bool))
+        return _found(_cat(spans), _empty(_ENTRY), np.zeros(0, np.int8))
 
     dealt = joined.mapInArrow(run, "bucket int, texts binary, places binary, singles binary, done binary")
     return _by_bucket(dealt, buckets).applyInArrow(bucket, _FOUND)
@@ -390,28 +439,124 @@ def _apply_spans(joined: DataFrame, key: str, cfg: Repeats, with_text: bool) ->
     return joined.select("key", "carry", "text", "spans").mapInArrow(run, schema)
 
 
+def _numbered(docs: DataFrame, text: str, key: str, carry: list[str] | None) -> DataFrame:
+    """(key, carry, doc, tag, text): doc orders rows, tag tells apart texts that share an id."""
+    with_row = F.struct(*carry) if carry else F.lit(None).cast("boolean")
+    rows = docs.select(F.col(key).alias("key"), with_row.alias("carry"), F.col(key).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    # Rows without a key come first and in the order of a hash, so they differ in doc (negative as no key's is) and tag.
+    loose = F.shiftright(F.xxhash64("text", F.lit(7)), 2) + F.lit(-(1 << 62) - (1 << 61))
+    return rows.withColumns({"doc": F.coalesce("doc", loose), "tag": F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF))})
+
+
+def _repeated(rows: DataFrame, texts: DataFrame, cfg: Repeats, buckets: int, batch: int, stored: DataFrame | None = None, crowds: DataFrame | None = None, store: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(spans(doc, tag, lo, n) of this batch's windows that repeat, found: the scan's table, with the new level if store).
+
+    texts: (batch, doc, tag, text) of all batches, for the edges.
+    """
+    found = materialize(_scan(_runs(rows.select("doc", "tag", "text"), cfg, buckets, batch), cfg, buckets, stored, store), "repeats")
+    edges = found.where("head is not null").select("batch", "doc", "tag", "lo", "n", "head", "hot")
+    if crowds is not None:  # stored crowds stand in no level: they join again where their head is met
+        known = crowds.select("head").distinct().withColumn("known", F.lit(1))
+        again = crowds.join(edges.select("head").distinct(), "head", "left_semi").select(edges.columns)
+        edges = edges.join(known, "head", "left").withColumn("hot", F.greatest("hot", F.col("known").cast("tinyint"))).select(edges.columns).union(again)
+    edges = edges.groupBy("batch", "doc", "tag").agg(F.collect_list(F.struct("lo", "n", "head", "hot")).alias("edges"))
+    # Repeated rows would double their windows at equal places, which is harmless.
+    joined = texts.join(edges, ["batch", "doc", "tag"]).select("batch", "doc", "tag", "text", "edges")
+    more = materialize(_edge_texts(joined, cfg, buckets), "edges")
+    spans = found.where("head is null and lo is not null").select("batch", "doc", "tag", "lo", "n").union(more.select("batch", "doc", "tag", "lo", "n"))
+    return spans.where(F.col("batch") == batch).drop("batch"), found
+
+
+def _shown(rows: DataFrame, spans: DataFrame, key: str, cfg: Repeats, carry: list[str] | None) -> DataFrame:
+    spans = spans.groupBy("doc", "tag").agg(F.collect_list(F.struct("lo", "n")).alias("spans"))
+    out = _apply_spans(rows.join(spans, ["doc", "tag"], "left"), key, cfg, bool(carry))
+    return out if carry else out.drop("carry", "kept_text")
+
+
 def remove_repeats(docs: DataFrame, cfg: Repeats = Repeats(), text: str = "text", key: str = "doc_id", carry: list[str] | None = None) -> DataFrame:
     """Per row: key, n_bytes, n_removed, spans and kept (binary): the text without bytes that lie in a repeated window.
 
     carry: columns of docs to hand through, as a struct of that name; adds kept_text, without characters cut apart.
 
     A window of cfg.width bytes is repeated if the same bytes start earlier: in a smaller key, or earlier in the
-    same text.  Null and short texts have no windows.  A null key is the smallest.  Rows that repeat a key are ordered
-    by their texts' hashes; rows that repeat key and text count as one document and get equal results.  Keys are
-    integers; other columns are ignored.
+    same text.  Null and short texts have no windows.  A null key is smaller than any key; rows with a null key are
+    ordered by their texts' hashes, as are rows that repeat a key; rows that repeat key and text count as one document
+    and get equal results.  Keys are integers from -2^61 on; other columns are ignored.
     """
     spark = docs.sparkSession
     ship(spark)
-    buckets = max(96, shuffle_partitions(spark))
-    body = F.coalesce(F.col(text), F.lit(""))
-    with_row = F.struct(*carry) if carry else F.lit(None).cast("boolean")
-    rows = docs.select(F.col(key).alias("key"), with_row.alias("carry"), F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("doc"), body.alias("text"))
-    rows = rows.withColumn("tag", F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF)))
-    found = materialize(_scan(_runs(rows.select("doc", "tag", "text"), cfg, buckets), cfg, buckets), "repeats")
-    edges = found.where("head is not null").groupBy("doc", "tag").agg(F.collect_list(F.struct("lo", "n", "head", "hot")).alias("edges"))
-    # Repeated rows would double their windows at equal places, which is harmless.
-    more = materialize(_edge_texts(rows.select("doc", "tag", "text").join(edges, ["doc", "tag"]).select("doc", "tag", "text", "edges"), cfg, buckets), "edges")
-    spans = found.where("head is null").select("doc", "tag", "lo", "n").union(more.select("doc", "tag", "lo", "n"))
-    spans = spans.groupBy("doc", "tag").agg(F.collect_list(F.struct("lo", "n")).alias("spans"))
-    out = _apply_spans(rows.join(spans, ["doc", "tag"], "left"), key, cfg, bool(carry))
-    return out if carry else out.drop("carry", "kept_text")
+    n_bytes = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    rows = _numbered(docs, text, key, carry)
+    spans, _ = _repeated(rows, rows.select(F.lit(0).alias("batch"), "doc", "tag", "text"), cfg, bucket_count(spark, n_bytes), 0)
+    return _shown(rows, spans, key, cfg, carry)
+
+
+class SuffixIndex:
+    """A family of levels in a folder: a manifest for each version, suffix arrays by bucket, and the batches' texts.
+
+    A manifest is written whole before it counts, and nothing that it names is changed; a batch that fails leaves the
+    version before.  One writer at a time.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, cfg: Repeats = Repeats(), buckets: int = BUCKETS[0]):
+        """buckets holds for the life of the index: one for each 16 MB or so of the text that it is to reach."""
+        self.spark, self.folder, self.cfg = spark, folder.rstrip("/"), cfg
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        self._fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        self._fs.mkdirs(path)
+        names = sorted(x.getPath().getName() for x in self._fs.listStatus(path))
+        versions = [n for n in names if n.startswith("version-") and n.endswith(".json")]
+        self.state = {"version": 0, "buckets": buckets, "batches": [], "crowds": [], "levels": []}
+        if versions:
+            self.state = json.loads(spark.read.text(f"{self.folder}/{versions[-1]}", wholetext=True).first()[0])
+
+    def _publish(self, state: dict) -> None:
+        state = state | {"version": self.state["version"] + 1}
+        make = self.spark._jvm.org.apache.hadoop.fs.Path
+        draft, final = make(f"{self.folder}/.{uuid.uuid4().hex}"), make(f"{self.folder}/version-{state['version']:06d}.json")
+        out = self._fs.create(draft, False)
+        out.write(bytearray(json.dumps(state).encode()))
+        out.close()
+        if self._fs.exists(final) or not self._fs.rename(draft, final):
+            raise RuntimeError("another writer was faster")
+        self.state = state
+
+    def _level(self, places: list[str]) -> DataFrame:
+        return self.spark.read.schema("bucket int, entries binary").parquet(*places)
+
+    def add(self, docs: DataFrame, text: str = "text", key: str = "doc_id", carry: list[str] | None = None) -> DataFrame:
+        """remove_repeats() for a new batch, whose text comes after all that the index holds; the batch then is part of it."""
+        ship(self.spark)
+        number, buckets = len(self.state["batches"]), self.state["buckets"]
+        rows = _numbered(docs, text, key, carry)
+        place = f"{self.folder}/texts-{number:06d}-{uuid.uuid4().hex}"
+        rows.select(F.lit(number).alias("batch"), "doc", "tag", "text").write.parquet(place)
+        batches = [*self.state["batches"], place]
+        texts = self.spark.read.schema("batch int, doc long, tag long, text string").parquet(*batches)
+        levels = self.state["levels"]
+        stored = self._level([p["place"] for p in levels]) if levels else None
+        crowds = self.spark.read.schema(_FOUND).parquet(*self.state["crowds"]) if self.state["crowds"] else None
+        spans, found = _repeated(rows, texts, self.cfg, buckets, number, stored, crowds, True)
+        new = f"{self.folder}/level-{uuid.uuid4().hex}"
+        found.where("entries is not null").select("bucket", "entries").write.parquet(new)
+        crowd = f"{self.folder}/crowd-{uuid.uuid4().hex}"
+        found.where("hot = 2").select("batch", "doc", "tag", "lo", "n", "head", "hot").write.parquet(crowd)
+        levels = [*levels, {"place": new, "bytes": self._bytes(new)}]
+        while len(levels) > 1 and levels[-2]["bytes"] < 2 * levels[-1]["bytes"]:
+            levels = [*levels[:-2], self._merged(levels[-2:])]
+        self._publish(self.state | {"batches": batches, "crowds": [*self.state["crowds"], crowd], "levels": levels})
+        return _shown(rows, spans, key, self.cfg, carry)
+
+    def _bytes(self, place: str) -> int:
+        return self._fs.getContentSummary(self.spark._jvm.org.apache.hadoop.fs.Path(place)).getLength()
+
+    def _merged(self, pair: list[dict]) -> dict:
+        """Two stored levels as one, bucket by bucket."""
+
+        def bucket(table: pa.Table) -> pa.Table:
+            parts = [unpack(x, _ENTRY) for x in table.column("entries").to_pylist()]
+            return pa.table({"bucket": table.column("bucket").slice(0, 1), "entries": pa.array([pack(merged(parts), _ENTRY)], pa.binary())})
+
+        place = f"{self.folder}/level-{uuid.uuid4().hex}"
+        _by_bucket(self._level([p["place"] for p in pair]), self.state["buckets"]).applyInArrow(bucket, "bucket int, entries binary").write.parquet(place)
+        return {"place": place, "bytes": self._bytes(place)}

@@ -128,6 +128,34 @@ def test_repeats_of_odd_rows(spark):
     assert suffix_levels.remove_repeats(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("hot", [4000, 2])
+def test_batches_meet_stored_levels(spark, corpus, tmp_path, hot):
+    """Batch after batch against brute force over all of them; like levels merge, and a reopened index goes on."""
+    draw = random.Random(21)
+    whole = list(corpus)
+    draw.shuffle(whole)
+    cfg = suffix_levels.Repeats(hot=hot, hot_batch=3 if hot == 2 else 64)
+    folder, done = (tmp_path / "index").as_uri(), []
+    for k in range(5):
+        batch = [(i, t) for i, t in sorted(whole[k * 25 : (k + 1) * 25])]
+        index = suffix_levels.SuffixIndex(spark, folder, cfg, buckets=7)
+        assert index.state["version"] == k and len(index.state["batches"]) == k
+        got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"]), bytes(r["kept"])) for r in index.add(frame(spark, batch).repartition(3)).collect())
+        ordered = [((b, i), t) for b, own in enumerate([*done, batch]) for i, t in own]
+        assert got == sorted((i[1], *rest) for i, *rest in plain_repeats(ordered) if i[0] == k)
+        done.append(batch)
+    sizes = [x["bytes"] for x in index.state["levels"]]
+    assert len(sizes) < 5 and all(a >= 2 * b for a, b in zip(sizes, sizes[1:], strict=False))
+    assert index.add(frame(spark, [])).count() == 0
+
+
+def test_rows_without_a_key_are_apart(spark):
+    draw = random.Random(2)
+    texts = [prose(draw, 60) for _ in range(20)]
+    rows = suffix_levels.remove_repeats(frame(spark, [(None, t) for t in texts] + [(0, texts[3])])).collect()
+    assert sorted(r["n_removed"] for r in rows) == [0] * 20 + [len(texts[3])]
+
+
 @pytest.mark.parametrize("crowd_first", [False, True])
 def test_crowds_meet_small_batches(crowd_first):
     """A batch with 2 reaches of a head and a crowded batch with the same two as its lowest."""
@@ -135,7 +163,7 @@ def test_crowds_meet_small_batches(crowd_first):
 
     def batch(reaches, doc):
         n = len(reaches)
-        return {"head": np.full(n, 9 << 40, np.uint64), "reach": np.array(reaches, np.uint64) << np.uint64(33), "doc": np.full(n, doc), "tag": np.zeros(n, np.uint32), "lo": np.arange(n) * 200, "n": np.ones(n, np.int32), "hot": np.zeros(n, np.uint8)}
+        return {"head": np.full(n, 9 << 40, np.uint64), "reach": np.array(reaches, np.uint64) << np.uint64(33), "batch": np.zeros(n, np.int32), "doc": np.full(n, doc), "tag": np.zeros(n, np.uint32), "lo": np.arange(n) * 200, "n": np.ones(n, np.int32), "hot": np.zeros(n, np.uint8)}
 
     small, _ = suffix_levels.suffix_array(batch([1, 2], 0))
     marked, crowd = suffix_levels._crowds(suffix_levels.suffix_array(batch([1, 2, 3, 4, 5], 1))[0], cfg)
@@ -171,9 +199,9 @@ def test_levels_fall_geometrically():
     draw, family = np.random.default_rng(1), suffix_levels.Levels()
     for i in range(40):
         n = 50
-        rows = {"head": draw.integers(0, 1 << 62, n).astype(np.uint64), "reach": draw.integers(0, 1 << 62, n).astype(np.uint64), "doc": np.full(n, i), "tag": np.zeros(n, np.uint32), "lo": np.arange(n), "n": np.ones(n, np.int32), "hot": np.zeros(n, np.uint8)}
+        rows = {"head": draw.integers(0, 1 << 62, n).astype(np.uint64), "reach": draw.integers(0, 1 << 62, n).astype(np.uint64), "batch": np.zeros(n, np.int32), "doc": np.full(n, i), "tag": np.zeros(n, np.uint32), "lo": np.arange(n), "n": np.ones(n, np.int32), "hot": np.zeros(n, np.uint8)}
         family.add(suffix_levels.suffix_array(rows)[0])
-        sizes = [len(x["key"]) for x in family.levels]
+        sizes = [len(x["head"]) for x in family.levels]
         assert all(a >= 2 * b for a, b in zip(sizes, sizes[1:], strict=False)) and sum(sizes) == n * (i + 1)
 
 
