@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import discard, materialize
 
 #: Keys that are met by broadcast at most, and the rows a key has at least for that.
-HOT_KEYS, HOT_ROWS = 5000, 1000
+HOT_KEYS, HOT_ROWS = 5000, 128
 
 
 def meet(rows: DataFrame, summary: DataFrame, on: list[str], total: int, n: str = "n") -> DataFrame:
