@@ -2,7 +2,11 @@
 
 An archive begins with a skippable frame (magic 0x184D2A5D) that holds the dictionary; every record is a frame of
 its own.  The reader loads the dictionary from the leading frame, decodes one frame at a time, and validates
-headers, lengths and digests.
+headers, lengths and digests; revisits are held against the response that they name.
+
+Records are WARC/1.1: a response's block is an HTTP message with the payload as its body, a revisit's the headers of
+that message alone, whose Content-Length is the payload's.  Archives travel as binary rows, so that any store that
+Spark writes will do; export_archives makes files of them, and read_files reads such files.
 """
 
 from __future__ import annotations
@@ -10,13 +14,15 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+from urllib.parse import quote
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import materialize, ship
+from lodestone.llm.components import HOT_KEYS, HOT_ROWS
 
 DICTIONARY_MAGIC = 0x184D2A5D
 FRAME_MAGIC = 0xFD2FB528
@@ -26,6 +32,9 @@ DICTIONARY_BYTES = 16 << 10
 #: Payloads that a writer task keeps back to train its archive's dictionary, and bytes of each.
 TRAIN_PAYLOADS, TRAIN_BYTES = 200, 4096
 EMPTY_DATE = "1970-01-01T00:00:00Z"
+REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Bytes that the reader gives the decoder at first; what follows a frame in a chunk is read again.
+CHUNK = 1 << 12
 
 
 def payload_digest(payload: bytes) -> str:
@@ -49,7 +58,7 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
         if not colon or not name.strip() or name.lower() in fields:
             raise ValueError(f"bad header: {line!r}")
         fields[name.lower()] = value.strip()
-    for name in ("warc-type", "warc-record-id", "warc-date", "content-length"):
+    for name in ("warc-type", "warc-record-id", "warc-date", "content-length", *(("warc-target-uri", "content-type") if fields.get("warc-type") in ("response", "revisit") else ())):
         if name not in fields:
             raise ValueError(f"no {name}")
     if not fields["content-length"].isdigit():
@@ -60,6 +69,27 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
     return fields, rest[:size]
 
 
+def http_head(size: int) -> bytes:
+    return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
+
+
+def http_message(block: bytes) -> tuple[int, bytes]:
+    """(Content-Length, body) of a block that holds an HTTP message."""
+    head, gap, body = block.partition(b"\r\n\r\n")
+    lines = head.split(b"\r\n")
+    sizes = [x.split(b":", 1)[1].strip() for x in lines[1:] if x.lower().startswith(b"content-length:")]
+    if not gap or not lines[0].startswith(b"HTTP/1.") or len(sizes) != 1 or not sizes[0].isdigit():
+        raise ValueError("the block isn't an HTTP message with a length")
+    return int(sizes[0]), body
+
+
+def target_uri(url: str | None, page) -> str:
+    """The url with what may not stand in a header line or a URI percent-encoded; without a url, a name for the page."""
+    if not url:
+        return f"urn:page:{'' if page is None else page}"
+    return quote(url, safe="!#$%&'()*+,/:;=?@[]~-._")
+
+
 def trained(samples: list[bytes]) -> bytes:
     """A dictionary, or none where the samples are too few to train one."""
     try:
@@ -94,47 +124,60 @@ def read_archive(archive: bytes):
             continue
         if magic != FRAME_MAGIC:
             raise ValueError("neither a Zstandard nor a skippable frame")
-        frame = reader.decompressobj()
-        out = frame.decompress(view[at:])
-        if not frame.eof:
-            raise ValueError("a frame is cut short")
-        at = len(view) - len(frame.unused_data)
-        yield out
-
-
-def plan_records(pages: DataFrame, payload: str = "html", key: str = "page_id") -> DataFrame:
-    """pages with payload (null: empty) and keeper: of rows with equal payloads the one with the largest key.
-
-    Only digests and keys are grouped (partial maxima before the shuffle), never payloads.  A null key is never the
-    keeper unless all are null.
+        # Chunks grow with the frame, so what is copied stays in proportion to it, not to the archive.
+        frame, parts, chunk = reader.decompressobj(), [], CHUNK
+        while not frame.eof:
+            if at >= len(view):
+                raise ValueError("a frame is cut short")
+            parts.append(frame.decompress(view[at : at + chunk]))
+            at += min(chunk, len(view) - at) - len(frame.unused_data)
+            chunk *= 2
+        yield b"".join(parts)
+
+
+def plan_records(pages: DataFrame, payload: str = "html", key: str = "page_id", url: str = "url") -> DataFrame:
+    """page, url, payload (null: empty) and keeper: of rows with equal payloads the one with the largest key.
+
+    Only digests and keys are grouped (partial maxima before the shuffle), never payloads.  Payloads that very many
+    rows share are met by broadcast, and their rows are dealt out by key, so no task gets them all.  A null key is
+    never the keeper unless all are null.
     """
     body = F.coalesce(F.col(payload), F.lit("")).cast("binary")
-    rows = pages.select(F.col(key), body.alias("payload"), F.sha1(body).alias("digest"))
-    keepers = rows.groupBy("digest").agg(F.max(key).alias("keeper"))
-    return rows.join(keepers, "digest").select(key, "payload", "keeper")
-
-
-def write_pages(pages: DataFrame, payload: str = "html", key: str = "page_id") -> DataFrame:
+    target = F.col(url) if url in pages.columns else F.lit(None)
+    rows = pages.select(F.col(key).alias("page"), target.cast("string").alias("url"), body.alias("payload"), F.sha1(body).alias("digest"))
+    keepers = materialize(rows.groupBy("digest").agg(F.max("page").alias("keeper"), F.count(F.lit(1)).alias("n")), "warc-keepers")
+    bound = max(HOT_ROWS, (keepers.agg(F.sum("n")).first()[0] or 0) // HOT_KEYS)
+    hot, cool = keepers.where(F.col("n") > bound), keepers.where(F.col("n") <= bound)
+    rows = rows.join(F.broadcast(hot.select("digest", F.col("keeper").alias("hot_keeper"), F.lit(True).alias("is_hot"))), "digest", "left")
+    spread = F.when(F.col("is_hot"), F.concat(F.lit("hot-"), F.xxhash64("page", "url").cast("string"))).otherwise(F.col("digest"))
+    rows = rows.withColumn("place", spread).join(cool.select(F.col("digest").alias("place"), "keeper"), "place", "left")
+    return rows.select("page", "url", "payload", F.when(F.col("is_hot"), F.col("hot_keeper")).otherwise(F.col("keeper")).alias("keeper"))
+
+
+def write_pages(pages: DataFrame, payload: str = "html", key: str = "page_id", url: str = "url") -> DataFrame:
     """Archives (archive binary, n_records int) with one record per row: response, or revisit of the keeper's.
 
-    A revisit carries the digest and length of the payload but not the payload.  Rows that repeat a key and payload
-    are all responses if that key is the keeper.
+    A revisit carries the digest and the length of the payload but not the payload.  Rows that repeat a key and
+    payload are all responses if that key is the keeper.  Rows with a null key have records of an empty page name.
+    A url that is null, or the lack of such a column, leaves the page's name as the target.
     """
     ship(pages.sparkSession)
 
     def run(batches):
         dictionary, kept, held, size = None, [], [], 0
         for batch in batches:
-            for page, body, keeper in zip(*(batch.column(c).to_pylist() for c in (key, "payload", "keeper")), strict=True):
+            for at in range(batch.num_rows):
+                page, target, body, keeper = (batch.column(c)[at].as_py() for c in ("page", "url", "payload", "keeper"))
                 if dictionary is None:
                     kept.append(body[:TRAIN_BYTES])
                     if len(kept) == TRAIN_PAYLOADS:
                         dictionary = trained(kept)
                 revisit = keeper is not None and page != keeper
-                fields = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", f"<urn:page:{'' if page is None else page}>"), ("WARC-Date", EMPTY_DATE), ("WARC-Payload-Digest", f"sha1:{payload_digest(body)}")]
+                fields = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", f"<urn:page:{'' if page is None else page}>"), ("WARC-Date", EMPTY_DATE)]
+                fields += [("WARC-Target-URI", target_uri(target, page)), ("WARC-Payload-Digest", f"sha1:{payload_digest(body)}"), ("Content-Type", "application/http; msgtype=response")]
                 if revisit:
-                    fields += [("WARC-Refers-To", f"<urn:page:{keeper}>"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Payload-Length", str(len(body)))]
-                held.append(build_record(fields, b"" if revisit else body))
+                    fields += [("WARC-Refers-To", f"<urn:page:{keeper}>"), ("WARC-Refers-To-Date", EMPTY_DATE), ("WARC-Profile", REVISIT_PROFILE)]
+                held.append(build_record(fields, http_head(len(body)) + (b"" if revisit else body)))
                 size += len(held[-1])
                 if size >= ARCHIVE_BYTES:
                     dictionary = trained(kept) if dictionary is None else dictionary
@@ -146,14 +189,45 @@ def write_pages(pages: DataFrame, payload: str = "html", key: str = "page_id") -
     def _row(held, dictionary):
         return pa.RecordBatch.from_arrays([pa.array([write_archive(held, dictionary)], pa.binary()), pa.array([len(held)], pa.int32())], ["archive", "n_records"])
 
-    return plan_records(pages, payload, key).mapInArrow(run, "archive binary, n_records int")
+    return plan_records(pages, payload, key, url).mapInArrow(run, "archive binary, n_records int")
+
+
+def export_archives(archives: DataFrame, folder: str) -> DataFrame:
+    """Each archive as a file NAME.warc.zst of folder, a URI that the executors can write; (file, n_records, n_bytes).
+
+    Written by the tasks that hold the archives.  A name is the archive's digest, so a task that runs again writes
+    the same file again.
+    """
+    ship(archives.sparkSession)
+
+    def run(batches):
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        for batch in batches:
+            names, sizes = [], []
+            for archive in batch.column("archive"):
+                data = archive.as_py()
+                names.append(f"{hashlib.sha256(data).hexdigest()[:32]}.warc.zst")
+                sizes.append(len(data))
+                with store.open_output_stream(f"{root}/{names[-1]}", compression=None) as out:  # not packed once more for its name
+                    out.write(data)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), batch.column("n_records"), pa.array(sizes, pa.int64())], ["file", "n_records", "n_bytes"])
+
+    return archives.select("archive", "n_records").mapInArrow(run, "file string, n_records int, n_bytes long")
+
+
+def read_files(spark: SparkSession, folder: str) -> DataFrame:
+    """read_records() of the .warc.zst files of a folder."""
+    return read_records(spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select(F.col("content").alias("archive")))
 
 
 def read_records(archives: DataFrame) -> DataFrame:
-    """Per record: record_type, record_id, refers_to, payload_digest, payload_bytes and payload (null for revisits)."""
+    """Per record: record_type, record_id, target_uri, refers_to, payload_digest, payload_bytes and payload (null for revisits)."""
     ship(archives.sparkSession)
-    names = ["record_type", "record_id", "refers_to", "payload_digest", "payload_bytes", "payload"]
-    kinds = [pa.string()] * 4 + [pa.int64(), pa.binary()]
+    names = ["record_type", "record_id", "target_uri", "refers_to", "payload_digest", "payload_bytes", "payload"]
+    kinds = [pa.string()] * 5 + [pa.int64(), pa.binary()]
 
     def run(batches):
         for batch in batches:
@@ -162,10 +236,12 @@ def read_records(archives: DataFrame) -> DataFrame:
                 for raw in read_archive(archive.as_py()):
                     fields, block = parse_record(raw)
                     kind, digest = fields["warc-type"], fields.get("warc-payload-digest", "").removeprefix("sha1:")
-                    if kind == "response" and digest != payload_digest(block):
-                        raise ValueError("a payload doesn't match its digest")
-                    length = int(fields["warc-payload-length"]) if kind == "revisit" else len(block)
-                    rows.append((kind, fields["warc-record-id"], fields.get("warc-refers-to"), digest, length, None if kind == "revisit" else block))
+                    length, body = http_message(block)
+                    if kind == "response" and (digest != payload_digest(body) or length != len(body)):
+                        raise ValueError("a payload doesn't match its digest or length")
+                    if kind == "revisit" and (body or fields.get("warc-profile") != REVISIT_PROFILE or "warc-refers-to" not in fields):
+                        raise ValueError("a revisit with a body, of another profile or of nothing")
+                    rows.append((kind, fields["warc-record-id"], fields["warc-target-uri"], fields.get("warc-refers-to"), digest, length, None if kind == "revisit" else body))
                     size += len(block)
                     if size >= ARCHIVE_BYTES:
                         yield _rows(rows)
@@ -176,12 +252,29 @@ def read_records(archives: DataFrame) -> DataFrame:
         columns = list(zip(*rows, strict=True)) or [()] * len(names)
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    return archives.mapInArrow(run, "record_type string, record_id string, refers_to string, payload_digest string, payload_bytes long, payload binary")
+    return archives.mapInArrow(run, "record_type string, record_id string, target_uri string, refers_to string, payload_digest string, payload_bytes long, payload binary")
+
 
+def check_revisits(records: DataFrame) -> None:
+    """Raises ValueError where revisits of a payload name another record than its response, or have another length.
 
-def round_trip(pages: DataFrame, payload: str = "html", key: str = "page_id") -> DataFrame:
-    """Write the archives to the shared folder, as rows of binary, and read every record back."""
-    return read_records(materialize(write_pages(pages, payload, key), "warc"))
+    One row for each digest, from partial aggregates; a count comes back.
+    """
+    of = lambda kind, c: F.when(F.col("record_type") == kind, F.col(c))
+    one = records.groupBy("payload_digest").agg(
+        F.min(of("response", "record_id")).alias("r"), F.min(of("revisit", "refers_to")).alias("low"), F.max(of("revisit", "refers_to")).alias("high"),
+        F.min("payload_bytes").alias("short"), F.max("payload_bytes").alias("long"), F.max(of("response", "record_id")).alias("last"),
+    )
+    wrong = one.where("low is not null and (r is null or low <> high or low <> r or r <> last or short <> long)").count()
+    if wrong:
+        raise ValueError(f"revisits of {wrong} payloads don't match a response")
+
+
+def round_trip(pages: DataFrame, payload: str = "html", key: str = "page_id", url: str = "url") -> DataFrame:
+    """Write the archives to the shared folder, read every record back and hold revisits against responses; without payloads."""
+    records = materialize(read_records(materialize(write_pages(pages, payload, key, url), "warc")).drop("payload"), "warc-records")
+    check_revisits(records)
+    return records
 
 
 def record_key(column: str) -> F.Column:
