@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import ship
 
 MARK = "▁"
-#: Entries after which a task starts a new table, so that its memory stays bounded; results don't depend on it.
-TABLE_ENTRIES = 400_000
+#: Characters of all chunks after which a task starts a new table, so that its memory stays bounded (about 30 bytes a
+#: character at most), and the length from which a chunk is segmented each time it is met and not kept.  Results depend on neither.
+TABLE_CHARACTERS, LONG_CHUNK = 4_000_000, 512
 
 
 def marked_words(text: str) -> list[str]:
@@ -63,10 +64,15 @@ class ChunkTable:
         self.index: dict[str, int] = {}
         self.ids: list[list[int]] = []
         self.text: list[str] = []
+        self.characters = 0
 
     def _trailing(self, run: int) -> list[int]:
         return self.piece.encode(" " * (run - 1)) if run > 1 else [self.piece.piece_to_id(MARK)]
 
+    def segmented(self, chunk: str) -> tuple[list[int], str]:
+        ids = self._trailing(len(chunk) - 2) if chunk.startswith("\0s ") else self.piece.encode(chunk)
+        return ids, " " + self.piece.decode(ids)
+
     def add(self, chunks: list[str]) -> None:
         new = [c for c in dict.fromkeys(chunks) if c not in self.index]
         plain = [c for c in new if not c.startswith("\0s ")]
@@ -78,6 +84,7 @@ class ChunkTable:
 
     def _put(self, chunk: str, ids: list[int]) -> None:
         self.index[chunk] = len(self.ids)
+        self.characters += len(chunk)
         self.ids.append(ids)
         self.text.append(" " + self.piece.decode(ids))
 
@@ -89,18 +96,20 @@ def _encode_batches(model_file: str, text: str, keep: list[str]):
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 docs = [marked_words(t or "") for t in part.column(text).to_pylist()]
-                if len(table.index) > TABLE_ENTRIES:
+                if table.characters > TABLE_CHARACTERS:
                     table.clear()
-                table.add([c for d in docs for c in d])
+                table.add([c for d in docs for c in d if len(c) < LONG_CHUNK])
                 index, ids, shown = table.index, table.ids, table.text
                 flat, sizes, decoded = [], np.zeros(len(docs) + 1, np.int64), []
                 for k, doc in enumerate(docs):
-                    places = [index[c] for c in doc]
-                    before = len(flat)
-                    for p in places:
-                        flat += ids[p]
+                    before, words = len(flat), []
+                    for c in doc:
+                        p = index.get(c)
+                        own, word = (ids[p], shown[p]) if p is not None else table.segmented(c)
+                        flat += own
+                        words.append(word)
                     sizes[k + 1] = sizes[k] + len(flat) - before
-                    decoded.append("".join([shown[p] for p in places])[1:])
+                    decoded.append("".join(words)[1:])
                 arrays = [part.column(c) for c in keep]
                 lists = pa.ListArray.from_arrays(pa.array(sizes.astype(np.int32)), pa.array(np.array(flat, np.int32)))
                 yield pa.RecordBatch.from_arrays([*arrays, lists, pa.array(decoded, pa.string())], schema=pa.schema([*[part.schema.field(c) for c in keep], pa.field("ids", lists.type), pa.field("decoded", pa.string())]))
