@@ -5,6 +5,7 @@ Base counts (words, symbols, duplicate lines, repeated five-word windows) are ex
 
 from __future__ import annotations
 
+import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,11 +32,14 @@ class LineRules:
     max_repeat_percent: int = 20
 
 
-#: Phrases that mark a short line as boilerplate, compared in lower case.
-BOILERPLATE = (
-    b"all rights reserved", b"released under the", b"licensed under", b"terms of use", b"terms of service", b"privacy policy",
-    b"cookie policy", b"accept cookies", b"click here", b"sign in", b"log in to", b"subscribe to", b"share on", b"powered by", b"skip to content",
-)
+#: Phrases that mark a short line as boilerplate, as whole words in lower case, by language.
+BOILERPLATE = {
+    "en": ("all rights reserved", "released under the", "licensed under", "terms of use", "terms of service", "privacy policy", "cookie policy", "accept cookies", "click here", "sign in", "log in to", "subscribe to", "share on", "powered by", "skip to content"),
+    "de": ("alle rechte vorbehalten", "lizenziert unter", "nutzungsbedingungen", "datenschutzerklärung", "cookies akzeptieren", "hier klicken", "jetzt anmelden", "newsletter abonnieren", "zum inhalt springen"),
+    "fr": ("tous droits réservés", "sous licence", "conditions d'utilisation", "politique de confidentialité", "accepter les cookies", "cliquez ici", "se connecter", "abonnez-vous", "aller au contenu"),
+    "es": ("todos los derechos reservados", "bajo la licencia", "condiciones de uso", "política de privacidad", "aceptar cookies", "haga clic aquí", "iniciar sesión", "suscríbete", "saltar al contenido"),
+}
+_PHRASES = [p.encode() for own in BOILERPLATE.values() for p in own]
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -43,15 +47,39 @@ _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
 _LOWER = np.zeros(256, bool)
 _LOWER[97:123] = True
-_CLOSES = np.zeros(256, bool)
-_CLOSES[list(b".!?:;,)]}\"'>|0123456789")] = True
-_CLOSES[128:] = True  # the last byte of a character outside ASCII, such as a closing quote
-_ENDS = np.zeros(256, bool)
-_ENDS[list(b".!?")] = True
+_SENTENCE_ENDS = ".!?\u2026\u3002\uff01\uff0e\uff1f\u061f\u06d4\u0964"
 _WORD = _UPPER | _LOWER
 _WORD[48:58] = _WORD[128:] = True
 
 
+def _last_characters(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Code points of the UTF-8 characters that end at ends."""
+    at = ends - 1
+    code, shift, live = data[at].astype(np.int64), np.zeros(len(at), np.int64), np.flatnonzero(data[at] >= 128)
+    code[live] &= 0x3F
+    for _ in range(3):  # up to three bytes of the form 10xxxxxx stand before the last
+        at[live] -= 1
+        shift[live] += 6
+        byte = data[np.maximum(at[live], 0)].astype(np.int64)
+        follows = (byte & 0xC0) == 0x80
+        size = np.where(byte >= 0xF0, 0x07, np.where(byte >= 0xE0, 0x0F, 0x1F))
+        code[live] |= np.where(follows, byte & 0x3F, byte & size) << shift[live]
+        live = live[follows]
+    return code
+
+
+def _by_character(codes: np.ndarray, test) -> np.ndarray:
+    """test, of each distinct character once."""
+    distinct, place = np.unique(codes, return_inverse=True)
+    return np.array([test(chr(c)) for c in distinct], bool)[place]
+
+
+def _closes(character: str) -> bool:
+    """Whether a line may end so: in punctuation of any script but an opening bracket, in a digit, or in a symbol."""
+    kind = unicodedata.category(character)
+    return kind[0] in "PNS" and kind != "Ps"
+
+
 def _again(group: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(seen before, seen twice or more) of each value inside its group, in order of place."""
     key = mix64(value ^ mix64(group.astype(np.uint64) + np.uint64(1)))
@@ -105,16 +133,16 @@ def judge(data: np.ndarray, offsets: np.ndarray, rules: LineRules) -> tuple[dict
     failed = (bars >= rules.min_bars) & (bars >= rules.bars_per_word * many)
     failed |= (symbols - bars) >= rules.symbols_per_word * many
     failed |= (n_words >= rules.shout_words) & (upper >= rules.shout_share * np.maximum(upper + lower, 1)) & (upper > 0)
-    last = np.zeros(len(start), np.uint8)
-    last[worded] = data[words.end[in_line[1:][worded] - 1] - 1]
     # A line that holds a whole sentence is prose, however it ends.
-    ended = np.concatenate([[0], np.cumsum(_ENDS[data[words.end - 1]])])
+    closing = _last_characters(data, words.end)
+    ended = np.concatenate([[0], np.cumsum(_by_character(closing, _SENTENCE_ENDS.__contains__))])
     sentences = ended[in_line[1:]] - ended[in_line[:-1]]
-    failed |= (n_words >= rules.min_terminated_words) & ~_CLOSES[last] & (sentences == 0)
+    long = np.flatnonzero((n_words >= rules.min_terminated_words) & (sentences == 0))
+    failed[long[~_by_character(closing[in_line[1:][long] - 1], _closes)]] = True
     failed |= before
     failed &= worded
     low = bytes(data).lower()
-    for phrase in BOILERPLATE:
+    for phrase in _PHRASES:
         p = low.find(phrase)
         while p >= 0:
             line = int(np.searchsorted(start, p, "right")) - 1
@@ -137,10 +165,10 @@ def judge(data: np.ndarray, offsets: np.ndarray, rules: LineRules) -> tuple[dict
         "n_symbols": per_text(symbol, offsets),
         "n_dup_lines": per_text(before, by_doc),
         "n_repeat_words": again,
-        "n_failed_lines": per_text(failed, by_doc),
-        "lost_bytes": lost,
         "base_failed": base_failed,
         "kept": ~base_failed & (lost <= rules.max_lost * whole),
+        "n_failed_lines": per_text(failed, by_doc),
+        "lost_bytes": lost,
     }
     assert all(len(v) == n_docs for v in columns.values())
     return columns, start, end, failed
@@ -171,7 +199,7 @@ def apply_rules(docs: DataFrame, rules: LineRules = LineRules(), text: str = "te
     """
     ship(docs.sparkSession)
     docs = docs.select(key, text)
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_failed_lines", "lost_bytes", "base_failed", "kept"]
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_failed_lines", "lost_bytes"]
 
     def run(batches):
         for batch in batches:
