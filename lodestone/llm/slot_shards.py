@@ -1,21 +1,27 @@
 """Sharding over fixed virtual slots.
 
-Records hash into thousands of slots; bytes are summed per slot; a versioned slot-to-shard map places the slots so
-that shards are near equal in bytes.  Rebalancing edits the map: it moves the fewest slots that bring the loads
-back into bounds, and a new version is stored.  Only DataFrame expressions touch records; what reaches the driver
-is one sum per slot, whose number is a fixed parameter.
+Records hash into thousands of slots by their text, so that equal texts stay together; bytes are summed per slot; a
+versioned slot-to-shard map is stored, and edited where shards are to be near equal in bytes: rebalancing moves slots
+from the heaviest shard to the lightest until the loads are within bounds, and a new version is stored.  A text whose
+copies outweigh a fixed part of a shard is dealt out by key, since no map could balance it.  Only DataFrame
+expressions touch records; what reaches the driver is one sum per slot, whose number is a fixed parameter.
 """
 
 from __future__ import annotations
 
 import heapq
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from lodestone.llm.common import materialize, shared_dir
+
 SLOTS = 4096
+#: Copies of a text are split if they have more than this part of a shard, and the excess of a shard that rebalancing leaves.
+PARTS, TOLERANCE = 64, 0.0002
 
 
 @dataclass
@@ -27,6 +33,11 @@ class SlotMap:
     shard_of: list[int]
     edits: list[tuple[int, int, int]] = field(default_factory=list)
 
+    @classmethod
+    def even(cls, n_shards: int, slots: int = SLOTS) -> SlotMap:
+        """Version 1, before any load is known: slots are dealt in turn."""
+        return cls(1, n_shards, [s % n_shards for s in range(slots)])
+
     @classmethod
     def balanced(cls, loads: dict[int, int], n_shards: int, slots: int = SLOTS) -> SlotMap:
         """Version 1: the heaviest slot first, each to the lightest shard (ties: the lower number)."""
@@ -80,7 +91,7 @@ class SlotMap:
         return slots.select(F.lit(self.version).alias("version"), F.lit(self.n_shards).alias("n_shards"), "slot", self.column(F.col("slot")).alias("shard"))
 
     def save(self, spark: SparkSession, path: str) -> None:
-        self.frame(spark).write.mode("overwrite").parquet(f"{path}/version={self.version:06d}")
+        self.frame(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/version={self.version:06d}")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, version: int) -> SlotMap:
@@ -92,34 +103,62 @@ def record_size(text: str = "text") -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long")
 
 
-def slot_of(key: str = "doc_id", slots: int = SLOTS) -> Column:
-    return F.pmod(F.xxhash64(F.col(key)), F.lit(slots)).cast("int")
+def slotted(docs: DataFrame, n_shards: int, slots: int, key: str, text: str) -> DataFrame:
+    """key, size, text_crc32, virtual_slot of every row.
 
+    Texts whose copies have more than 1 / PARTS of a shard's mean bytes together, so n_shards * PARTS texts at most,
+    are broadcast as hashes; their rows go to slots by key and text, all others by text.
+    """
+    digest = F.xxhash64(F.coalesce(text, F.lit("")))
+    rows = docs.select(F.col(key), record_size(text).alias("size"), F.coalesce(F.crc32(F.col(text).cast("binary")), F.lit(0)).cast("long").alias("text_crc32"), digest.alias("text_hash"))
+    sums = materialize(rows.groupBy("text_hash").agg(F.sum("size").alias("bytes")), "text-bytes")
+    total = sums.agg(F.sum("bytes")).first()[0] or 0
+    heavy = sums.where(F.col("bytes") > total / (n_shards * PARTS)).select("text_hash", F.lit(True).alias("heavy"))
+    rows = rows.join(F.broadcast(heavy), "text_hash", "left")
+    hashed = F.when(F.col("heavy"), F.xxhash64(F.col("text_hash"), F.col(key))).otherwise(F.col("text_hash"))
+    return rows.select(key, "size", "text_crc32", F.pmod(F.xxhash64(hashed), F.lit(slots)).cast("int").alias("virtual_slot"))
 
-def slot_loads(records: DataFrame, size: Column, key: str = "doc_id", slots: int = SLOTS) -> dict[int, int]:
+
+def slot_loads(rows: DataFrame) -> dict[int, int]:
     """Bytes per slot: summed before the shuffle, so what moves is at most one row per slot and task."""
-    sums = records.groupBy(slot_of(key, slots).alias("slot")).agg(F.sum(size).alias("bytes"))
-    return {r["slot"]: r["bytes"] for r in sums.collect()}
+    return {r["virtual_slot"]: r["bytes"] for r in rows.groupBy("virtual_slot").agg(F.sum("size").alias("bytes")).collect()}
 
 
-def shard(docs: DataFrame, n_shards: int, slots: int = SLOTS, key: str = "doc_id", text: str = "text", slot_map: SlotMap | None = None) -> tuple[DataFrame, SlotMap]:
+def shard(docs: DataFrame, n_shards: int, slots: int = SLOTS, key: str = "doc_id", text: str = "text", folder: str | None = None) -> tuple[DataFrame, SlotMap]:
     """Per row: key, size, text_crc32, virtual_slot, shard and slot (the row's place in its shard, gapless from 0).
 
-    Law `bytes`: shards are near equal in summed size.  Null texts count 8 bytes and crc 0; rows that repeat a key
-    share its virtual slot; rows with a null key share one.  Other columns are ignored; no rows give no rows.
+    Law `bytes`: shards are near equal in summed size.  folder holds the versions of the map: the newest is read (or
+    an even one stored), edited for these rows, stored as the next version and read again to place the rows; without
+    it, a folder of this call's own is used.  Equal texts share a shard, unless their copies outweigh 1 / PARTS of a
+    shard; then they are split by key.  Null texts count 8 bytes and crc 0 and are equal to empty ones.  Rows that
+    repeat key and text share a slot.  Other columns are ignored, whatever their names; no rows give no rows.
     Places are counted inside virtual slots and shifted by the sizes of the slots before, so that no task ever
     holds a whole shard.
     """
-    size = record_size(text)
-    if slot_map is None:
-        slot_map = SlotMap.balanced(slot_loads(docs, size, key, slots), n_shards, slots)
-    vslot = slot_of(key, slots)
-    rows = docs.select(F.col(key), size.alias("size"), F.coalesce(F.crc32(F.col(text).cast("binary")), F.lit(0)).cast("long").alias("text_crc32"), vslot.alias("virtual_slot"))
+    spark = docs.sparkSession
+    folder = folder or f"{shared_dir(spark)}/lodestone/slot-map-{uuid.uuid4().hex}"
+    rows = slotted(docs, n_shards, slots, key, text)
+    newest = newest_version(spark, folder)
+    if not newest:
+        SlotMap.even(n_shards, slots).save(spark, folder)
+    old = SlotMap.load(spark, folder, newest or 1)
+    edited = old.rebalanced(slot_loads(rows), n_shards, TOLERANCE)
+    edited.save(spark, folder)
+    slot_map = SlotMap.load(spark, folder, edited.version)
+    slot_map.edits = edited.edits
     rows = rows.withColumn("shard", slot_map.column(F.col("virtual_slot")))
-    counts = docs.groupBy(vslot.alias("virtual_slot")).agg(F.count(F.lit(1)).alias("n")).withColumn("shard", slot_map.column(F.col("virtual_slot")))
+    counts = rows.groupBy("virtual_slot").agg(F.count(F.lit(1)).alias("n")).withColumn("shard", slot_map.column(F.col("virtual_slot")))
     # One row per virtual slot: at most `slots` rows, whatever the input, so both the window and the broadcast are bounded.
     before = W.partitionBy("shard").orderBy("virtual_slot").rowsBetween(W.unboundedPreceding, -1)
     shifts = counts.select("virtual_slot", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
     inside = F.row_number().over(W.partitionBy("virtual_slot").orderBy(key, "text_crc32", "size"))
     out = rows.withColumn("inside", inside).join(F.broadcast(shifts), "virtual_slot")
     return out.select(key, "size", "text_crc32", "virtual_slot", "shard", (F.col("shift") + F.col("inside") - 1).cast("long").alias("slot")), slot_map
+
+
+def newest_version(spark: SparkSession, folder: str) -> int:
+    """The greatest version that a folder of maps holds; 0 for none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in store.listStatus(path)] if store.exists(path) else []
+    return max((int(n.removeprefix("version=")) for n in names if n.startswith("version=")), default=0)
