@@ -118,19 +118,24 @@ class Ftrl:
         self.nb += gb * gb
 
 
-def fit(texts: list[tuple[str, int]], settings: Settings = Settings()) -> tuple[np.ndarray, float]:
-    """Weights and bias from (text, label) rows; deterministic for a given list."""
-    rows, labels = [], np.array([y for _, y in texts], float)
-    for k in range(0, len(texts), 200):
-        data, offsets = utf8(pa.array([t for t, _ in texts[k : k + 200]], pa.string()))
-        for a, b in slices(offsets):
-            doc, slot, value = features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], settings.bits)
-            order = np.argsort(doc, kind="stable")
-            cuts = np.searchsorted(doc[order], np.arange(b - a + 1))
-            for i in range(b - a):
-                own = order[cuts[i] : cuts[i + 1]]
-                unique, place = np.unique(slot[own], return_inverse=True)
-                rows.append((unique.astype(np.int32), np.bincount(place, value[own], len(unique)).astype(np.float32)))
+Row = tuple[np.ndarray, np.ndarray]
+
+
+def sparse_rows(data: np.ndarray, offsets: np.ndarray, settings: Settings) -> list[Row]:
+    """(slots, values) of each text of a slice, slots distinct and in order."""
+    doc, slot, value = features(data, offsets, settings.bits)
+    order = np.argsort(doc, kind="stable")
+    cuts = np.searchsorted(doc[order], np.arange(len(offsets)))
+    out = []
+    for i in range(len(offsets) - 1):
+        own = order[cuts[i] : cuts[i + 1]]
+        unique, place = np.unique(slot[own], return_inverse=True)
+        out.append((unique.astype(np.int32), np.bincount(place, value[own], len(unique)).astype(np.float32)))
+    return out
+
+
+def fit(rows: list[Row], labels: np.ndarray, settings: Settings = Settings()) -> tuple[np.ndarray, float]:
+    """Weights and bias from sparse rows and labels; deterministic for a given list."""
     model = Ftrl(settings)
     share = labels.mean() if len(labels) else 0.5
     cost = np.where(labels == 1, 0.5 / max(share, 1e-9), 0.5 / max(1 - share, 1e-9))
@@ -147,21 +152,32 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), l
     """Fit on at most settings.max_rows labelled rows, half of each label, those whose keys hash lowest.
 
     Labels other than 0 and 1, null keys and keys with two labels don't count; without rows of both labels the
-    weights are 0 and every score is 0.5.
+    weights are 0 and every score is 0.5.  Null and empty texts are rows without n-grams.
     """
     ship(docs.sparkSession)
     one = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(key).agg(F.min(label).alias("y"), F.max(label).alias("y2")).where("y = y2")
     half = settings.max_rows // 2
     picked = [one.where(F.col("y") == y).orderBy(F.xxhash64(key), key).limit(half).select(F.col(key).alias("k"), "y") for y in (0, 1)]
-    # Bounded by max_rows, whatever the input.
-    sample = docs.select(F.col(key).alias("k"), text).join(F.broadcast(picked[0].union(picked[1])), "k").dropDuplicates(["k"])
+    # Bounded by max_rows, whatever the input; of rows that repeat a key the smallest text counts.
+    sample = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("x")).join(F.broadcast(picked[0].union(picked[1])), "k").groupBy("k", "y").agg(F.min("x").alias("x"))
+
+    def extract(batches):
+        for batch in batches:
+            data, offsets = utf8(batch.column("x"))
+            for a, b in slices(offsets):
+                rows = sparse_rows(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], settings)
+                part = batch.slice(a, b - a)
+                packed = [pa.array([r[k].tobytes() for r in rows], pa.binary()) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([part.column("k"), part.column("y"), *packed], ["k", "y", "slots", "weights"])
 
     def run(batches):
-        texts = sorted((k, t or "", int(y)) for b in batches for k, t, y in zip(*(b.column(c).to_pylist() for c in ("k", text, "y")), strict=True))
-        weights, bias = fit([(t, y) for _, t, y in texts], settings)
+        rows = sorted((k, int(y), s, v) for b in batches for k, y, s, v in zip(*(b.column(c).to_pylist() for c in ("k", "y", "slots", "weights")), strict=True))
+        weights, bias = fit([(np.frombuffer(s, np.int32), np.frombuffer(v, np.float32)) for _, _, s, v in rows], np.array([y for _, y, _, _ in rows], float), settings)
         yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([bias])], ["weights", "bias"])
 
-    row = sample.select("k", text, "y").repartition(1).mapInArrow(run, "weights binary, bias double").first()
+    # Texts become sparse rows where they are; one task gets max_rows of these, of at most 2^bits slots each.
+    kinds = f"k {sample.schema['k'].dataType.simpleString()}, y {sample.schema['y'].dataType.simpleString()}, slots binary, weights binary"
+    row = sample.mapInArrow(extract, kinds).repartition(1).mapInArrow(run, "weights binary, bias double").first()
     return np.frombuffer(row["weights"], np.float32), row["bias"]
 
 
