@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import hashlib
+import itertools
 import tempfile
 import uuid
 import zipfile
@@ -106,6 +107,12 @@ def _delete(path: str | None) -> None:
 atexit.register(release)
 
 
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """Names that no column of docs has, in any case."""
+    used = {c.lower() for c in docs.columns}
+    return [next(x for k in itertools.count() if (x := f"{n}_{k}").lower() not in used) for n in names]
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
