@@ -6,6 +6,8 @@ import json
 import math
 import random
 import re
+import struct
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -14,6 +16,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import sentencepiece
+import xxhash
 import zstandard
 from pyspark.sql import functions as F
 
@@ -84,7 +87,7 @@ def test_pieces(spark, corpus):
 
 
 def test_piece_table_is_bounded(monkeypatch, corpus):
-    monkeypatch.setattr(piece_codec, "TABLE_ENTRIES", 10)
+    monkeypatch.setattr(piece_codec, "TABLE_CHARACTERS", 60)
     run = piece_codec._encode_batches(MODEL, "text", ["doc_id"])
     batch = pa.RecordBatch.from_pydict({"doc_id": [i for i, _ in corpus], "text": [t for _, t in corpus]})
     piece = sentencepiece.SentencePieceProcessor(model_file=MODEL)
@@ -92,6 +95,18 @@ def test_piece_table_is_bounded(monkeypatch, corpus):
     assert got == [piece.encode(t) for _, t in corpus] * 2
 
 
+def test_pieces_of_long_chunks(spark, monkeypatch):
+    """Chunks too long for the table, and a table that is started anew all the time."""
+    monkeypatch.setattr(piece_codec, "TABLE_CHARACTERS", 20)
+    monkeypatch.setattr(piece_codec, "LONG_CHUNK", 6)
+    piece = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    texts = ["x" * 5000 + " y", "abcdefghij klmnop abcdefghij", "a" + " " * 40, " " * 30, "ab cd " * 50]
+    run = piece_codec._encode_batches(MODEL, "text", ["doc_id"])
+    out = [b for b in run([pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "text"])])]
+    got = [(ids, shown) for b in out for ids, shown in zip(b.column("ids").to_pylist(), b.column("decoded").to_pylist(), strict=True)]
+    assert got == [(piece.encode(t), piece.decode(piece.encode(t))) for t in texts]
+
+
 # 2
 
 
@@ -289,10 +304,50 @@ def test_shards(spark, corpus):
     for r in rows:
         by[r["shard"]].append(r["slot"])
     assert all(sorted(v) == list(range(len(v))) for v in by.values())
-    assert used.version == 1 and all(used.shard_of[r["virtual_slot"]] == r["shard"] for r in rows)
+    assert used.version == 2 and all(used.shard_of[r["virtual_slot"]] == r["shard"] for r in rows)
     assert slot_shards.shard(frame(spark, []), 5)[0].count() == 0
 
 
+def spark_hash(data: bytes, seed: int = 42) -> int:
+    """xxhash64 of Spark as a signed number."""
+    x = xxhash.xxh64_intdigest(data, seed)
+    return x - (1 << 64) if x >> 63 else x
+
+
+def test_shards_against_brute_force(spark, tmp_path):
+    """Equal texts stay together unless they outweigh their part; loads are near equal; the stored map places every row."""
+    draw = random.Random(17)
+    pairs = [(i, prose(draw, draw.randrange(5, 60))) for i in range(1500)] + [(2000 + i, "small group") for i in range(3)] + [(3000 + i, "a large group of copies " * 8) for i in range(700)]
+    docs, folder = frame(spark, pairs).withColumns({"virtual_slot": F.lit("x"), "heavy": F.lit(1), "size": F.lit("y"), "shard": F.lit(2)}), tmp_path.as_uri()
+    df, used = slot_shards.shard(docs, 6, slots=512, folder=folder)
+    rows = df.collect()
+    text, total = dict(pairs), sum(len(t.encode()) + 8 for _, t in pairs)
+    weight = Counter()
+    for _, t in pairs:
+        weight[t] += len(t.encode()) + 8
+    for r in rows:
+        t = text[r["doc_id"]]
+        heavy = weight[t] > total / (6 * slot_shards.PARTS)
+        h = spark_hash(t.encode())
+        if heavy:
+            h = spark_hash(struct.pack("<q", r["doc_id"]), spark_hash(struct.pack("<q", h)) & (1 << 64) - 1)
+        assert r["virtual_slot"] == spark_hash(struct.pack("<q", h)) % 512
+    together = defaultdict(set)
+    for r in rows:
+        together[text[r["doc_id"]]].add(r["shard"])
+    assert all(len(v) == 1 for t, v in together.items() if weight[t] <= total / (6 * slot_shards.PARTS)) and len(together["a large group of copies " * 8]) == 6
+    loads = Counter()
+    for r in rows:
+        loads[r["shard"]] += r["size"]
+    assert len(loads) == 6 and max(loads.values()) <= 1.01 * total / 6 and min(loads.values()) >= 0.99 * total / 6
+    assert slot_shards.newest_version(spark, folder) == used.version == 2
+    # Other rows later: the map goes on from the stored version, and few slots move.
+    more, third = slot_shards.shard(frame(spark, [*pairs, *[(5000 + i, prose(draw, 30)) for i in range(300)]]), 6, slots=512, folder=folder)
+    assert third.version == 3 and len({s for s, _, _ in third.edits}) < 256
+    moved = {s for s in range(512) if third.shard_of[s] != used.shard_of[s]}
+    assert moved <= {s for s, _, _ in third.edits} and more.count() == len(pairs) + 300
+
+
 def test_slot_maps(spark, tmp_path):
     draw = random.Random(5)
     loads = {s: draw.randrange(1, 1000) for s in range(512)}
@@ -330,6 +385,51 @@ def test_classifier(spark):
     assert {r["score"] for r in quality_classifier.score(docs, empty, settings).collect()} == {0.5}
 
 
+def test_classifier_of_odd_rows(spark):
+    """Repeated keys, empty and very long texts: the model and the scores don't depend on how rows lie."""
+    draw = random.Random(16)
+    good = [(i, prose(draw, 40).capitalize() + ".") for i in range(40)]
+    bad = [(100 + i, "| # " * 20) for i in range(40)]
+    long = (300, prose(draw, 150000))
+    pairs = [*good, *bad, (0, "| # " * 20), (100, good[3][1]), (1, None), (2, ""), long, (None, good[5][1])]
+    labels = spark.createDataFrame([(i, int(i < 100)) for i, _ in [*good, *bad]], "doc_id bigint, quality int")
+    settings = quality_classifier.Settings(bits=12)
+    models = [quality_classifier.train(frame(spark, own).repartition(n), labels, settings) for own, n in ((pairs, 1), (pairs[::-1], 5))]
+    assert np.array_equal(models[0][0], models[1][0]) and models[0][1] == models[1][1]
+    scores = [Counter((r["doc_id"], round(r["score"], 9)) for r in quality_classifier.score(frame(spark, own), models[0], settings).collect()) for own in (pairs, pairs[::-1])]
+    assert scores[0] == scores[1] and sum(scores[0].values()) == len(pairs)
+    assert quality_classifier.score(frame(spark, []), models[0], settings).count() == 0
+
+
+def test_scores_against_a_plain_dot_product(spark):
+    """Sparse rows against the features one by one, and FTRL against a scalar version."""
+    texts = ["The cat sat, on the mat! $5", "a a a a a a b a a a a a", "", "é É x"]
+    settings = quality_classifier.Settings(bits=10, epochs=2, batch=1)
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
+    rows, labels = quality_classifier.sparse_rows(data, offsets, settings), np.array([1.0, 0.0, 1.0, 0.0])
+    assert [round(float(v.sum())) for _, v in rows] == [6, 6, 0, 5] and len(rows[2][0]) == 0
+    weights, bias = quality_classifier.fit(rows, labels, settings)
+    z, n = defaultdict(float), defaultdict(float)
+
+    def w(k):
+        if abs(z[k]) <= settings.l1:
+            return 0.0
+        return -(z[k] - math.copysign(settings.l1, z[k])) / ((settings.beta + math.sqrt(n[k])) / settings.alpha + settings.l2)
+
+    draw = np.random.default_rng(settings.seed)
+    for _ in range(2):
+        for i in draw.permutation(4):
+            own = dict(zip(rows[i][0].tolist(), rows[i][1].tolist(), strict=True)) | {"bias": 1.0}
+            now = {k: w(k) for k in own}
+            error = 1 / (1 + math.exp(-sum(now[k] * x for k, x in own.items()))) - labels[i]
+            for k, x in own.items():
+                g = error * x
+                z[k] += g - (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / settings.alpha * now[k]
+                n[k] += g * g
+    assert abs(bias - w("bias")) < 1e-9 and all(abs(weights[k] - w(k)) < 1e-6 for k in range(1024))
+
+
 def test_classifier_holds_out(spark):
     """On the driver's rows, rows that weren't learned from."""
     from lodestone.llm import queries
@@ -384,6 +484,60 @@ def test_mixing(spark):
     assert clash.count() == len(rows) and "Copy" not in clash.columns and {r["whole"] for r in clash.collect()} == {1}
 
 
+def plain_copies(pairs, repetition, n_blocks):
+    """How often each row of (id, source, text) is read: whole passes, then blocks in permuted order until the budget,
+    the last of them cut at a row."""
+    size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t)) for i, _, t in pairs}
+    tokens = Counter()
+    for i, s, _ in pairs:
+        tokens[s] += size[i]
+    times = plain_mix(tokens, repetition)
+    order = lambda *parts: hashlib.md5("|".join(["mix", *map(str, parts)]).encode()).hexdigest()
+    want = Counter()
+    for s, x in tokens.items():
+        budget = math.floor(round(times[s] * x, 3))
+        room, blocks = budget - budget // x * x, defaultdict(list)
+        for i, own, _ in pairs:
+            if own == s:
+                want[i] += budget // x
+                blocks[spark_hash(struct.pack("<q", i)) % n_blocks].append(i)
+        for b in sorted(blocks, key=lambda b: (order("+" + s, b), b)):
+            filled = 0
+            for i in sorted(blocks[b], key=order):
+                filled += size[i]
+                if filled <= room:
+                    want[i] += 1
+            room = max(0, room - filled)
+    return want
+
+
+def test_mixing_against_brute_force(spark):
+    draw = random.Random(23)
+    pairs = [(i, draw.choice("aaaaaabbc"), prose(draw, draw.randrange(0, 30))) for i in range(500)]
+    docs = spark.createDataFrame([(i, t, "en", s, 0) for i, s, t in pairs], SCHEMA).withColumns({c: F.lit(7) for c in ("of_0", "OF_1", "at_0", "passes_0", "cut_0", "__source", "mix_source")})
+    got = Counter(r["doc_id"] for r in temperature_mix.mix(docs, repetition=2.5, blocks=8).collect())
+    want = plain_copies(pairs, 2.5, 8)
+    assert got == want
+
+
+def test_mixing_many_sources(spark):
+    """The entropy target over thousands of sources, against a bisection over all of them."""
+    sizes = [(f"s{k}", 1 + (k * k) % 9973) for k in range(3000)]
+    row = temperature_mix.weights(spark.createDataFrame(sizes, "source string, tokens bigint"), repetition=None, entropy=0.97).first()
+    total = sum(x for _, x in sizes)
+
+    def entropy(a):
+        p = [(x / total) ** a for _, x in sizes]
+        z = sum(p)
+        return -sum(q / z * math.log(q / z) for q in p)
+
+    low, high = 0.0, 1.0
+    for _ in range(40):
+        mid = (low + high) / 2
+        low, high = (low, mid) if entropy(mid) <= 0.97 * math.log(len(sizes)) else (mid, high)
+    assert abs(row["exponent"] - high) < 3e-6
+
+
 def test_mixing_weights(spark):
     totals = spark.createDataFrame([("a", 1000), ("b", 100), ("c", 10)], "source string, tokens bigint")
     rows = {r["source"]: r for r in temperature_mix.weights(totals, repetition=None, entropy=0.9).collect()}
@@ -424,6 +578,15 @@ def test_urls(spark):
     assert got == {i: plain_verdict(u, URL_RULES) for i, u in enumerate(urls)}
 
 
+def test_long_urls(spark):
+    from lodestone.llm.queries import URL_RULES
+
+    urls = ["http://m.example.com/en/" + "x" * (2 << 20), "http://b.net/" + "é/" * (1 << 20), "http://" + "a." * 20000 + "com/", "u" * (1 << 20)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    assert {r["page_id"]: tuple(r)[1:] for r in url_filter.filter_urls(df, URL_RULES).collect()} == {i: plain_verdict(u, URL_RULES) for i, u in enumerate(urls)}
+    assert url_filter.filter_urls(df.limit(0), URL_RULES).count() == 0
+
+
 def test_globs():
     patterns = ["*.ex?mple.com/**", "a*b*c", "**/wp-*/x", "lit\\*eral", "", "**"] + ["p" * 70 + "*"]
     texts = ["m.example.com/a/b", "example.com/", "aXXbYc", "a/bc", "abc", "q/r/wp-admin/x", "lit*eral", "literal", "", "p" * 70 + "tail", "p" * 69]
@@ -451,10 +614,19 @@ def test_globs():
 # 8
 
 
-def test_archives(spark):
+def test_archives(spark, tmp_path):
     pairs = [(i, f"<html>{'page ' * (i % 9)}{i % 9}</html>") for i in range(300)] + [(1000, None), (1001, ""), (1002, "é\r\n\r\nWARC/1.1"), (5, pytest.__name__)]
     df = spark.createDataFrame(pairs, "page_id bigint, html string").withColumn("payload", F.lit("clash")).repartition(3)
-    rows = warc_zst.round_trip(df).select(warc_zst.record_key("record_id").cast("long").alias("i"), "*").collect()
+    df = df.withColumn("url", F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("http://a.example/ü \n?q="), "page_id")))
+    archives = warc_zst.write_pages(df)
+    folder = (tmp_path / "files").as_uri()
+    files = warc_zst.export_archives(archives, folder).collect()
+    assert sum(r["n_records"] for r in files) == len(pairs) and all(r["file"].endswith(".warc.zst") for r in files)
+    rows = warc_zst.read_files(spark, folder).select(warc_zst.record_key("record_id").cast("long").alias("i"), "*").collect()
+    trip = warc_zst.round_trip(df).collect()
+    plain = lambda r: (r["record_type"], r["record_id"], r["target_uri"], r["refers_to"], r["payload_digest"], r["payload_bytes"])
+    assert Counter(map(plain, rows)) == Counter(map(plain, trip))
+    assert {r["target_uri"] for r in rows if r["i"] in (6, 7)} == {"http://a.example/%C3%BC%20%0A?q=6", "urn:page:7"}
     keeper = {}
     for i, h in pairs:
         keeper[h or ""] = max(i, keeper.get(h or "", -1))
@@ -468,8 +640,29 @@ def test_archives(spark):
     assert warc_zst.round_trip(df.limit(0)).count() == 0
 
 
+def test_archives_of_odd_rows(spark, monkeypatch):
+    """Null keys, very long and very common payloads, no url column."""
+    monkeypatch.setattr(warc_zst, "HOT_ROWS", 4)
+    long = "x" * (9 << 20)
+    pairs = [(None, "a"), (None, "a"), (None, "b"), (1, "a"), (2, long), (3, long), *[(k, "") for k in range(10, 40)]]
+    rows = warc_zst.round_trip(spark.createDataFrame(pairs, "page_id bigint, html string")).collect()
+    got = Counter((r["record_id"][10:-1], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in rows)
+    want = Counter({("", 1, "revisit", "<urn:page:1>"): 2, ("", 1, "response", None): 1, ("1", 1, "response", None): 1, ("2", len(long), "revisit", "<urn:page:3>"): 1, ("3", len(long), "response", None): 1})
+    want += Counter((str(k), 0, "response" if k == 39 else "revisit", None if k == 39 else "<urn:page:39>") for k in range(10, 40))
+    assert got == want
+
+
+def test_revisits_are_held_against_responses(spark):
+    shape = "record_type string, record_id string, refers_to string, payload_digest string, payload_bytes long"
+    good = [("response", "<a>", None, "D", 3), ("revisit", "<b>", "<a>", "D", 3), ("response", "<c>", None, "E", 3)]
+    warc_zst.check_revisits(spark.createDataFrame(good, shape))
+    for bad in (("revisit", "<x>", "<c>", "D", 3), ("revisit", "<x>", "<a>", "D", 4), ("revisit", "<x>", "<a>", "F", 3)):
+        with pytest.raises(ValueError):
+            warc_zst.check_revisits(spark.createDataFrame([*good, bad], shape))
+
+
 def test_archive_format():
-    record = warc_zst.build_record([("WARC-Type", "response"), ("WARC-Record-ID", "<x>"), ("WARC-Date", "2020-01-01T00:00:00Z")], b"body")
+    record = warc_zst.build_record([("WARC-Type", "response"), ("WARC-Record-ID", "<x>"), ("WARC-Date", "2020-01-01T00:00:00Z"), ("WARC-Target-URI", "http://a/"), ("Content-Type", "application/http; msgtype=response")], b"body")
     samples = [json.dumps({"k": i, "text": "words and words " * (i % 5)}).encode() for i in range(400)]
     for dictionary in (b"", warc_zst.trained(samples)):
         archive = warc_zst.write_archive([record, record], dictionary)
@@ -479,7 +672,7 @@ def test_archive_format():
             list(warc_zst.read_archive(archive[:-3]))
     assert list(warc_zst.read_archive(zstandard.compress(record))) == [record]
     assert warc_zst.parse_record(record)[1] == b"body"
-    for bad in (record[:-1], record.replace(b"WARC/1.1", b"WARC/9"), record.replace(b"Content-Length: 4", b"Content-Length: 5"), record.replace(b"WARC-Type", b"WARC-Record-ID"), record.replace(b"WARC-Date: 2020-01-01T00:00:00Z\r\n", b"")):
+    for bad in (record[:-1], record.replace(b"WARC/1.1", b"WARC/9"), record.replace(b"Content-Length: 4", b"Content-Length: 5"), record.replace(b"WARC-Type", b"WARC-Record-ID"), record.replace(b"WARC-Date: 2020-01-01T00:00:00Z\r\n", b""), record.replace(b"WARC-Target-URI: http://a/\r\n", b"")):
         with pytest.raises(ValueError):
             warc_zst.parse_record(bad)
 
@@ -630,3 +823,45 @@ def test_line_rules_spare_prose(spark):
     docs = [(1, "The river rose in spring. Nobody had seen it so high before. Boats were tied to the old bridge and"), (2, "They share one design in common, empowered by a small team."), (3, "Please share on every page you like, or sign in."), (4, "a long line that runs on and on without any end")]
     failed = {r["doc_id"]: r["n_failed_lines"] for r in quality_rules.apply_rules(frame(spark, docs)).collect()}
     assert failed == {1: 0, 2: 0, 3: 1, 4: 1}
+
+
+def plain_line_fails(line, before):
+    """The line rules, one by one, on a line with words."""
+    rules, words = quality_rules.LineRules(), re.findall(r"[^\x20\x09-\x0D]+", line)
+    letters, upper = len(re.findall("[A-Za-z]", line)), len(re.findall("[A-Z]", line))
+    bars, symbols = line.count("|"), len(re.findall(r"[#*$%&<>]", line))
+    if line in before or bars >= max(rules.min_bars, rules.bars_per_word * len(words)) or symbols >= rules.symbols_per_word * len(words):
+        return True
+    if len(words) >= rules.shout_words and upper and upper >= rules.shout_share * letters:
+        return True
+    if len(words) >= rules.min_terminated_words and not any(w[-1] in quality_rules._SENTENCE_ENDS for w in words):
+        kind = unicodedata.category(words[-1][-1])
+        if kind[0] not in "PNS" or kind == "Ps":
+            return True
+    phrases = [p for own in quality_rules.BOILERPLATE.values() for p in own]
+    low = re.sub("[A-Z]", lambda m: m[0].lower(), line)
+    return len(words) <= rules.max_boilerplate_words and any(re.search(rf"(?<![A-Za-z0-9\u0080-\U0010ffff]){re.escape(p)}(?![A-Za-z0-9\u0080-\U0010ffff])", low) for p in phrases)
+
+
+def plain_clean(text):
+    """(text without failing lines, their number, their bytes, whether the document stays)."""
+    lines, failed, lost, whole, stay = text.split("\n"), 0, 0, 0, []
+    for k, line in enumerate(lines):
+        size = len(re.sub(r"[\x20\x09-\x0D]", "", line).encode())
+        bad = size > 0 and plain_line_fails(line, lines[:k])
+        failed, lost, whole = failed + bad, lost + size * bad, whole + size
+        stay += [] if bad else [line]
+    return "\n".join(stay), failed, lost, not plain_rules(text)[-1] and 2 * lost <= whole
+
+
+def test_line_rules_against_brute_force(spark):
+    draw = random.Random(15)
+    parts = ["tous", "droits", "réservés", "Tous droits réservés", "sign in", "design in", "sign", "|", "| |", "##", "$9", "ABC", "DEF", "GHI", "word", "mots", "été", "漢字。", "end.", "so?", "(", "bye»", "año", "12", "x…", "Politique de confidentialité", "hier klicken"]
+    docs = []
+    for i in range(300):
+        lines = [draw.choice([" ", "  ", "\t"]).join(draw.choice(parts) for _ in range(draw.randrange(0, 12))) for _ in range(draw.randrange(1, 9))]
+        docs.append((i, "\n".join([*lines, *draw.sample(lines, draw.randrange(0, 2))])))
+    rows = {r["doc_id"]: r for r in quality_rules.apply_rules(frame(spark, docs)).collect()}
+    for i, t in docs:
+        cleaned, failed, lost, kept = plain_clean(t)
+        assert (rows[i]["n_failed_lines"], rows[i]["lost_bytes"], rows[i]["kept"], rows[i]["cleaned"]) == (failed, lost, kept, cleaned), t

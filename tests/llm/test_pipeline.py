@@ -1,15 +1,16 @@
 """The corpus pipeline: every stage does its work on all rows of its predecessor."""
 
 import hashlib
+from collections import Counter
 
 import pytest
 import public_tokenizers
 import sentencepiece
 from pyspark.sql import functions as F
-from test_operators import SCHEMA, plain_repeats  # noqa: F401
+from test_operators import SCHEMA, plain_clean, plain_copies, plain_links, plain_repeats
 
 import corpus_pipeline
-from lodestone.llm import lsh_forest, quality_rules, queries
+from lodestone.llm import queries, temperature_mix
 
 SF = "/root/testdata/sf0.001"
 
@@ -31,13 +32,14 @@ def test_columns(stages):
 
 def test_each_stage(spark, stages):
     docs, cleaned, single, cut, mixed, tokens = stages
-    rules = {r["doc_id"]: r for r in quality_rules.apply_rules(docs).collect()}
-    assert {r["doc_id"]: r["text"] for r in cleaned.collect()} == {k: r["cleaned"] for k, r in rules.items() if r["kept"]}
-    kept = {r["doc_id"] for r in single.collect()}
-    assert kept == {r["doc_id"] for r in lsh_forest.near_duplicates(cleaned).where("doc_id = class_id").collect()}
+    ruled = {r["doc_id"]: plain_clean(r["text"] or "") for r in docs.collect()}
+    assert {r["doc_id"]: r["text"] for r in cleaned.collect()} == {i: text for i, (text, _, _, kept) in ruled.items() if kept}
+    classes = plain_links([(r["doc_id"], r["text"]) for r in cleaned.collect()])
+    assert {r["doc_id"] for r in single.collect()} == {i for i, least, _ in classes if i == least}
     want = {i: k.decode("utf-8", "ignore") for i, _, _, _, k in plain_repeats([(r["doc_id"], r["text"]) for r in single.collect()])}
     assert {r["doc_id"]: r["text"] for r in cut.collect()} == {i: t for i, t in want.items() if t}
-    assert {r["doc_id"] for r in mixed.collect()} == {r["doc_id"] for r in cut.collect()}
+    rows = [(r["doc_id"], r["source"], r["text"]) for r in cut.collect()]
+    assert Counter(r["doc_id"] for r in mixed.collect()) == plain_copies(rows, corpus_pipeline.REPETITION, temperature_mix.BLOCKS)
     piece = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     texts = {r["doc_id"]: r["text"] for r in mixed.collect()}
     for r in tokens.collect():
