@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import lsh_forest, piece_codec, quality_rules, suffix_levels, temperature_mix
-from lodestone.llm.common import materialize, table
+from lodestone.llm.common import fresh, materialize, table
 
 #: No source is read more than so many times.
 REPETITION = 1.5
@@ -24,11 +24,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates stays: the one with the smallest id."""
+    own_id, own_text = fresh(docs, "own_id", "own_text")
     found = lsh_forest.near_duplicates(docs, with_keeper=True)
     known = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    kept = found.where("keeper").select(known.alias("__id"), F.col("text_key").alias("__text")).distinct()
-    rows = docs.withColumns({"__id": known, "__text": F.xxhash64("text")}).join(kept, ["__id", "__text"], "left_semi")
-    return rows.dropDuplicates(["__id", "__text"]).select(*docs.columns)
+    kept = found.where("keeper").select(known.alias(own_id), F.col("text_key").alias(own_text)).distinct()
+    rows = docs.withColumns({own_id: known, own_text: F.xxhash64("text")}).join(kept, [own_id, own_text], "left_semi")
+    return rows.dropDuplicates([own_id, own_text]).select(*docs.columns)
 
 
 def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +42,7 @@ def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document at least once, small sources up to REPETITION times."""
-    own = {c: f"__{k}" for k, c in enumerate(docs.columns) if c.lower() in ("copy", "mix_block", "mix_order")}
+    own = {c: fresh(docs, c)[0] for c in docs.columns if c.lower() in ("copy", "mix_block", "mix_order")}
     mixed = temperature_mix.mix(docs.withColumnsRenamed(own), repetition=REPETITION)
     return mixed.select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])
 
