@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import threading
 import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,9 +17,10 @@ from lodestone.operators.graph.compiler import Compiler, State
 from lodestone.operators.graph.language import GraphError
 from lodestone.operators.graph.values import ElementSchema, Value
 from lodestone.operators.graph.writes import Writer, is_write
+from lodestone.sources.scratch import cut
 
 #: Limits that a request may tighten; going beyond one is an error, never a shorter answer.
-LIMITS = {"max_rows": 10_000, "max_depth": 16, "max_millis": 60_000}
+LIMITS = {"max_rows": 10_000, "max_depth": 16, "max_millis": 60_000, "max_expansions": 100_000, "max_nodes": 100_000, "max_edges": 500_000, "max_text_bytes": 100 << 20}
 
 
 def _kind(of: T.DataType):
@@ -79,12 +82,40 @@ class Graph:
         """Rows of a reading query, lazily. elements: nodes and edges as handles (graph, kind, id) rather than whole."""
         budget = self._budget(budgets)
         _check_depth(L.parse(text), budget["max_depth"])
-        state = self.compile(text, parameters, session)
-        columns = []
-        for n, v in state.scope.items():
-            columns.append(self._shown(v, elements).alias(n))
-        rows = state.df.select(*columns)
-        return self._within(rows, budget["max_rows"]) if budgets and "max_rows" in budgets else rows
+        if not set(budgets or {}) - {"max_depth"}:
+            return self._rows(self.compile(text, parameters, session), elements)
+        return _timed(self.spark, budget["max_millis"], lambda: self._bounded(text, parameters, budgets, session, elements))
+
+    def _rows(self, state: State, elements: bool) -> DataFrame:
+        return state.df.select(*[self._shown(v, elements).alias(n) for n, v in state.scope.items()])
+
+    def _bounded(self, text: str, parameters: dict | None, budgets: dict, session, elements: bool) -> DataFrame:
+        """The rows, computed, if every budget that is asked for holds: of the graph's size, the rows of all MATCHes
+        together, the result's rows and the bytes of its texts."""
+        for name, df in (("max_nodes", self.nodes), ("max_edges", self.edges)):
+            if name in budgets:
+                self._within(df, budgets[name], name[4:])
+        query = L.parse(text)
+        if is_write(query):
+            raise GraphError("this query writes")
+        compiler = Compiler(self, parameters, session)
+        compiler.expanded = [] if "max_expansions" in budgets else None
+        state = compiler.run(query)
+        left = budgets.get("max_expansions", 0)
+        for df in compiler.expanded or []:
+            left -= df.limit(left + 1).count()
+            if left < 0:
+                raise GraphError(f"the budget of {budgets['max_expansions']} expansions is exceeded")
+        rows = self._rows(state, elements)
+        if "max_rows" in budgets:
+            rows = self._within(rows, budgets["max_rows"], "rows")
+        rows = cut(rows, "bounded")
+        texts = [F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) for f in rows.schema.fields if isinstance(f.dataType, T.StringType)]
+        if "max_text_bytes" in budgets and texts:
+            size = rows.agg(F.sum(sum(texts[1:], texts[0]))).first()[0] or 0
+            if size > budgets["max_text_bytes"]:
+                raise GraphError(f"the budget of {budgets['max_text_bytes']} text bytes is exceeded")
+        return rows
 
     def _shown(self, v: Value, elements: bool):
         if v.kind in ("node", "edge"):
@@ -104,10 +135,10 @@ class Graph:
         return LIMITS | request
 
     @staticmethod
-    def _within(rows: DataFrame, most: int) -> DataFrame:
+    def _within(rows: DataFrame, most: int, of: str) -> DataFrame:
         """An error if there are more rows; one more than the limit is enough to tell."""
         if rows.limit(most + 1).count() > most:
-            raise GraphError(f"the budget of {most} rows is exceeded")
+            raise GraphError(f"the budget of {most} {of} is exceeded")
         return rows
 
     def profile(self, rows: DataFrame) -> DataFrame:
@@ -122,8 +153,12 @@ class Graph:
 
     def write(self, text: str, parameters: dict | None = None, budgets: dict | None = None) -> tuple[Graph, int]:
         """The graph after a writing query, and the number of affected elements; this graph stays as it is."""
-        self._budget(budgets)
-        return Writer(self, parameters or {}).run(L.parse(text))
+        budget = self._budget(budgets)
+        for name, df in (("max_nodes", self.nodes), ("max_edges", self.edges)):
+            if budgets and name in budgets:
+                self._within(df, budget[name], name[4:])
+        write = lambda: Writer(self, parameters or {}).run(L.parse(text))
+        return _timed(self.spark, budget["max_millis"], write) if budgets and "max_millis" in budgets else write()
 
     # Indexes and procedures
 
@@ -170,6 +205,34 @@ class Graph:
         return cls(spark.read.parquet(f"{folder}/nodes"), spark.read.parquet(f"{folder}/edges"))
 
 
+def _timed(spark: SparkSession, millis: int, work):
+    """work(), whose Spark jobs are ended once the time is up."""
+    tag, fired = f"budget-{uuid.uuid4().hex}", threading.Event()
+
+    def stop() -> None:
+        fired.set()
+        spark.interruptTag(tag)
+
+    begun, timer = time.monotonic(), threading.Timer(millis / 1000, stop)
+    timer.daemon = True
+    spark.addTag(tag)
+    timer.start()
+    try:
+        out = work()
+    except GraphError:
+        raise
+    except Exception as e:
+        if fired.is_set():
+            raise GraphError(f"the budget of {millis} ms is exceeded") from e
+        raise
+    finally:
+        timer.cancel()
+        spark.removeTag(tag)
+    if time.monotonic() - begun > millis / 1000:
+        raise GraphError(f"the budget of {millis} ms is exceeded")
+    return out
+
+
 def _check_depth(query: L.GraphQuery, most: int) -> None:
     for clause in query.clauses:
         if isinstance(clause, L.Match):

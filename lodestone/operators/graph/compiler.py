@@ -40,6 +40,7 @@ class Compiler:
         self.numbers = itertools.count()
         self.carried: list[str] = []  # columns of the rows that a correlated query belongs to
         self.outer: DataFrame | None = None
+        self.expanded: list[DataFrame] | None = None  # the rows of each MATCH, where a budget asks for them
 
     def fresh(self, stem: str) -> str:
         return f"{stem}_{next(self.numbers)}"
@@ -88,7 +89,10 @@ class Compiler:
 
     def clause(self, clause, state: State) -> State:
         if isinstance(clause, L.Match):
-            return self.optional(clause, state) if clause.optional else self.match(clause, state)
+            state = self.optional(clause, state) if clause.optional else self.match(clause, state)
+            if self.expanded is not None and self.outer is None:
+                self.expanded.append(state.df)
+            return state
         if isinstance(clause, L.Unwind):
             return self.unwind(clause, state)
         if isinstance(clause, L.Project):

@@ -6,6 +6,9 @@ step is written out, so ids are given once; an error leaves the old graph untouc
 
 from __future__ import annotations
 
+import dataclasses
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -129,17 +132,58 @@ class Writer:
     def merge(self, clause: L.Merge, compiler: Compiler, state: State) -> State:
         """Match or create, row by row: rows with equal keys create once, and the later ones of them match."""
         pattern = clause.pattern
-        if len(pattern.edges) > 1:
-            raise GraphError("MERGE takes one node or one relationship")
         df = state.df.withColumn("merge_row", F.monotonically_increasing_id())
         state = State(cut(df, "merge"), state.scope)
         if not pattern.edges:
             return self.merge_element(pattern.nodes[0], clause, compiler, state)
-        for node in pattern.nodes:
-            if node.var not in state.scope:
-                raise GraphError("MERGE of a relationship needs bound ends")
+        if len(pattern.edges) > 1 or any(node.var not in state.scope for node in pattern.nodes):
+            return self.merge_path(clause, compiler, state)
         return self.merge_element(pattern.edges[0], clause, compiler, state, [state.scope[n.var] for n in pattern.nodes])
 
+    def merge_path(self, clause: L.Merge, compiler: Compiler, state: State) -> State:
+        """A whole path matches, or is created as a whole but for its bound nodes.
+
+        Of rows without a match the first of each key (bound ends and property values) creates; then every such row
+        matches what is there.  Rows that matched before see none of the new elements.
+        """
+        if any(len(e.types) != 1 or e.high is not None for e in clause.pattern.edges):
+            raise GraphError("MERGE needs relationships of one type")
+        named = {k: tuple(x if x.var else replace(x, var=compiler.fresh("merged")) for x in getattr(clause.pattern, k)) for k in ("nodes", "edges")}
+        pattern, given = replace(clause.pattern, **named), dict(state.scope)
+        keys = {f"mk_{k}": given[n.var].get("id") for k, n in enumerate(pattern.nodes) if n.var in given}
+        for k, part in enumerate((*pattern.nodes, *pattern.edges)):
+            keys |= {f"mk_{k}_{n}": _storable(compiler.value(e, given)) for n, e in part.props}
+        df = cut(state.df.withColumns(keys), "merge") if keys else state.df
+        if keys and not df.where(" or ".join(f"`{k}` is null" for k in keys)).isEmpty():
+            raise GraphError("MERGE on a null property")
+        compiler.graph = self.graph
+        met = cut(compiler.match(L.Match([pattern]), State(df, given)).df.select("merge_row").distinct(), "merge")
+        first = {"node": self.next_id(self.graph.nodes), "edge": self.next_id(self.graph.edges)}
+        turn = F.row_number().over(W.partitionBy(*keys or [F.lit(1)]).orderBy("merge_row"))
+        makers = cut(df.join(met, "merge_row", "left_anti").withColumn("mk_turn", turn).where("mk_turn = 1").drop("mk_turn"), "merge")
+        made = replace(pattern, nodes=tuple(replace(n, labels=(), props=()) if n.var in given else n for n in pattern.nodes), edges=tuple(replace(e, direction="out") if e.direction == "both" else e for e in pattern.edges))
+        self.create(made, compiler, State(makers, given))
+        flagged = df.join(met.withColumn("mk_met", F.lit(True)), "merge_row", "left").join(makers.select("merge_row", F.lit(True).alias("mk_maker")), "merge_row", "left")
+        flagged = cut(flagged, "merge")
+
+        def bound() -> State:
+            compiler.graph = self.graph
+            out = compiler.match(L.Match([pattern]), State(flagged, given))
+            new = F.lit(False)
+            for x in (*pattern.nodes, *pattern.edges):
+                if x.var not in given:
+                    v = out.scope[x.var]
+                    new = new | (v.get("id") >= first[v.kind])
+            return State(cut(out.df.where(F.col("mk_met").isNull() | ~new), "merge"), out.scope)
+
+        for made_here, sets in ((True, clause.on_create), (False, clause.on_match)):
+            if sets:
+                now = bound()
+                self.change(list(sets), compiler, State(now.df.where(F.col("mk_maker").isNotNull() == made_here), now.scope))
+        out = bound()
+        own = {x.var for k in ("nodes", "edges") for x in getattr(clause.pattern, k)}
+        return State(out.df.drop("merge_row", "mk_met", "mk_maker", *keys), {n: v for n, v in out.scope.items() if n in given or n in own})
+
     def merge_element(self, wanted, clause: L.Merge, compiler: Compiler, state: State, ends: list | None = None) -> State:
         is_edge = ends is not None
         schema = self.graph.edge_schema if is_edge else self.graph.node_schema
@@ -162,10 +206,10 @@ class Writer:
         shown = there.select(*[F.col(f).alias(f"x__{f}") for f in schema.fields])
         test = F.lit(True)
         if is_edge:
-            ahead = (F.col("x__src") == F.col("mk_src")) & (F.col("x__dst") == F.col("mk_dst"))
-            back = (F.col("x__src") == F.col("mk_dst")) & (F.col("x__dst") == F.col("mk_src"))
-            test = test & (ahead | back if wanted.direction == "both" else ahead)
-            shown = shown.where(F.col("x__type") == wanted.types[0])
+            shown = shown.where(F.col("x__type") == wanted.types[0]).withColumns({"x_from": F.col("x__src"), "x_to": F.col("x__dst")})
+            if wanted.direction == "both":  # either way round, a loop once
+                shown = shown.union(shown.where("x__src <> x__dst").withColumns({"x_from": F.col("x__dst"), "x_to": F.col("x__src")}))
+            test = test & (F.col("x_from") == F.col("mk_src")) & (F.col("x_to") == F.col("mk_dst"))
         else:
             for label in wanted.labels:
                 shown = shown.where(F.array_contains("x__labels", label))
@@ -211,9 +255,11 @@ class Writer:
             if not sets:
                 continue
             picked = rows.where(F.col("created") == flag)
-            # Rows that match one element change it one after another.
-            turns = picked.withColumn("turn", F.row_number().over(W.partitionBy("target").orderBy("merge_row")))
-            turns = cut(turns, "turns")
+            # Rows that match one element change it one after another; if no value depends on the element, the last one decides.
+            alone = not any(_mentions(item[3:], wanted.var) for item in sets)
+            order = F.col("merge_row").desc() if alone else F.col("merge_row")
+            turns = picked.withColumn("turn", F.row_number().over(W.partitionBy("target").orderBy(order)))
+            turns = cut(turns.where("turn = 1") if alone else turns, "turns")
             for turn in range(1, (turns.agg(F.max("turn")).first()[0] or 0) + 1):
                 one = bound(turns.where(F.col("turn") == turn).drop("turn"))
                 self.change(list(sets), compiler, self.settled(one, compiler))
@@ -289,7 +335,7 @@ class Writer:
             ends = gone.withColumnRenamed("id", "gone")
             if clause.detach:
                 kept_edges = kept_edges.join(ends, F.col("src") == F.col("gone"), "left_anti").join(ends, F.col("dst") == F.col("gone"), "left_anti")
-            elif not kept_edges.join(ends, (F.col("src") == F.col("gone")) | (F.col("dst") == F.col("gone")), "left_semi").isEmpty():
+            elif any(not kept_edges.join(ends, F.col(end) == F.col("gone"), "left_semi").isEmpty() for end in ("src", "dst")):
                 raise GraphError("a node with relationships needs DETACH DELETE")
             kept_nodes = kept_nodes.join(gone, "id", "left_anti")
             self.affected += gone.count()
@@ -298,6 +344,15 @@ class Writer:
         self.graph = self.graph.replaced(cut(kept_nodes.select(*self.graph.nodes.columns), "nodes"), cut(kept_edges.select(*self.graph.edges.columns), "edges"))
 
 
+def _mentions(node, var: str | None) -> bool:
+    """Whether an expression names a variable."""
+    if isinstance(node, (list, tuple)):
+        return any(_mentions(x, var) for x in node)
+    if dataclasses.is_dataclass(node):
+        return any(_mentions(getattr(node, f.name), var) for f in dataclasses.fields(node))
+    return var is not None and node == var
+
+
 def _storable(v: V.Value):
     """A key column that equal property values share."""
     if v.kind == "num":

@@ -11,14 +11,15 @@ from lodestone.operators.graph.language import GraphError
 
 
 @pytest.fixture(scope="module")
-def faults(spark):
+def harbour(spark):
+    """Ships, berths and a crane; berth 12 is a number, another ship's a word."""
     nodes = [
-        (1, ["Fault", "Entity"], {"db_type": 2123, "name": "IO high"}),
-        (2, ["Knowledge"], {"name": "buffer pool", "tags": ["IO", "memory"]}),
-        (3, ["Parameter"], {"name": "innodb_buffer_pool_size"}),
-        (4, ["Fault"], {"db_type": "mysql", "name": "IO high"}),
+        (1, ["Vessel", "Guest"], {"berth": 12, "name": "Marlin"}),
+        (2, ["Crane"], {"name": "north crane", "lifts": ["steel", "timber"]}),
+        (3, ["Depot"], {"name": "yard seven"}),
+        (4, ["Vessel"], {"berth": "roads", "name": "Marlin"}),
     ]
-    edges = [(1, 1, 2, "CAUSES", {"weight": 2}), (2, 1, 2, "CAUSES", {"weight": 3}), (3, 2, 3, "RELATED", {}), (4, 3, 1, "BACK", {}), (5, 1, 1, "SELF", {})]
+    edges = [(1, 1, 2, "UNLOADS", {"tons": 2}), (2, 1, 2, "UNLOADS", {"tons": 3}), (3, 2, 3, "FEEDS", {}), (4, 3, 1, "SUPPLIES", {}), (5, 1, 1, "TURNS", {})]
     return Graph.from_json(spark, nodes, edges)
 
 
@@ -26,37 +27,37 @@ def one(df):
     return tuple(df.first())
 
 
-def test_patterns(faults):
-    q = faults.query
-    assert q("MATCH (f {db_type: 2123})-[r:CAUSES]-(k) RETURN id(r) AS r").count() == 2
-    assert one(q("MATCH (f {db_type: 2123})-[r:SELF]-(f) RETURN count(*) AS n")) == (1,)
-    got = rows(q("MATCH (f:Fault) OPTIONAL MATCH (f)-[r:CAUSES]->(k) WHERE r.weight > 2 RETURN id(f) AS f, count(r) AS n, size(collect(k.name)) AS c"))
+def test_patterns(harbour):
+    q = harbour.query
+    assert q("MATCH (v {berth: 12})-[r:UNLOADS]-(c) RETURN id(r) AS r").count() == 2
+    assert one(q("MATCH (v {berth: 12})-[r:TURNS]-(v) RETURN count(*) AS n")) == (1,)
+    got = rows(q("MATCH (v:Vessel) OPTIONAL MATCH (v)-[r:UNLOADS]->(c) WHERE r.tons > 2 RETURN id(v) AS v, count(r) AS n, size(collect(c.name)) AS c"))
     assert got == [(1, 1, 1), (4, 0, 0)]
-    assert rows(q("MATCH p = (f {db_type: 2123})-[:CAUSES|RELATED*2..2]->(x:Parameter) RETURN length(p) AS n")) == [(2,), (2,)]
-    assert rows(q("MATCH p = shortestPath((f {db_type: 2123})-[*..4]->(x:Parameter)) RETURN length(p) AS n, relationships(p) AS e")) == [(2, [1, 3])]
+    assert rows(q("MATCH p = (v {berth: 12})-[:UNLOADS|FEEDS*2..2]->(d:Depot) RETURN length(p) AS n")) == [(2,), (2,)]
+    assert rows(q("MATCH p = shortestPath((v {berth: 12})-[*..4]->(d:Depot)) RETURN length(p) AS n, relationships(p) AS e")) == [(2, [1, 3])]
     assert one(q("RETURN 9007199254740993 + 1 AS n")) == (9007199254740994,)
-    assert one(q("MATCH (x:Absent) RETURN count(*) AS n, collect(x.name) AS c")) == (0, [])
+    assert one(q("MATCH (x:Lighthouse) RETURN count(*) AS n, collect(x.name) AS c")) == (0, [])
 
 
-def test_lists_and_exists(faults):
-    q = faults.query
-    assert one(q("RETURN [x IN ['a', 'fault'] WHERE size(x) > 1 | x] AS l")) == (["fault"],)
-    assert one(q("RETURN toInteger(reduce(s = 0, x IN [1, 2, 3] | s + x)) AS n")) == (6,)
-    assert rows(q("MATCH (f:Fault) WHERE NOT EXISTS { (f)-[:CAUSES]->() } RETURN f.db_type AS t")) == [("mysql",)]
-    assert q("RETURN 1 AS x UNION RETURN 1 AS x").count() == 1
-    assert q("RETURN 1 AS x UNION ALL RETURN 1 AS x").count() == 2
+def test_lists_and_exists(harbour):
+    q = harbour.query
+    assert one(q("RETURN [w IN ['tug', 'x', 'barge'] WHERE size(w) > 2 | w] AS l")) == (["tug", "barge"],)
+    assert one(q("RETURN toInteger(reduce(t = 10, x IN [4, 5] | t + x)) AS n")) == (19,)
+    assert rows(q("MATCH (v:Vessel) WHERE NOT EXISTS { (v)-[:UNLOADS]->() } RETURN v.berth AS b")) == [("roads",)]
+    assert q("RETURN 7 AS x UNION RETURN 7 AS x").count() == 1
+    assert q("RETURN 7 AS x UNION ALL RETURN 7 AS x").count() == 2
 
 
-def test_three_valued(faults):
-    q = faults.query
-    assert one(q("RETURN 1 IN [2, null] AS a, 1 IN [1, null] AS b, null = 1 AS c, any(x IN [null, 1] WHERE x = 2) AS d, all(x IN [] WHERE x = 1) AS e")) == (None, True, None, None, True)
-    assert one(q("RETURN [1, 2, 3][-1] AS a, [1, 2, 3][5] AS b, [1, 2, 3][0..2] AS c, [1, 2, 3][2..1] AS d, head([]) AS e")) == (3, None, [1, 2], [], None)
-    assert one(q("MATCH (f {db_type: 'mysql'}) RETURN f.db_type = 2123 AS a, f.none = 1 AS b, f.db_type IS NOT NULL AS c")) == (False, None, True)
+def test_three_valued(harbour):
+    q = harbour.query
+    assert one(q("RETURN 5 IN [6, null] AS a, 5 IN [5, null] AS b, null = 5 AS c, any(x IN [null, 5] WHERE x = 6) AS d, all(x IN [] WHERE x = 5) AS e")) == (None, True, None, None, True)
+    assert one(q("RETURN [4, 5, 6][-1] AS a, [4, 5, 6][5] AS b, [4, 5, 6][0..2] AS c, [4, 5, 6][2..1] AS d, head([]) AS e")) == (6, None, [4, 5], [], None)
+    assert one(q("MATCH (v {berth: 'roads'}) RETURN v.berth = 12 AS a, v.none = 1 AS b, v.berth IS NOT NULL AS c")) == (False, None, True)
 
 
-def test_functions(faults):
-    got = one(faults.query("MATCH (f {db_type: 2123})-[r:RELATED|SELF]->() RETURN labels(f) AS l, type(r) AS t, keys(f) AS k, start_id(r) AS s, elementId(f) AS e, toString(f.db_type) AS d, toInteger('x') AS n, toInteger(-1.7) AS m"))
-    assert got == (["Entity", "Fault"], "SELF", ["db_type", "name"], 1, "1:g1:n:1", "2123", None, -1)
+def test_functions(harbour):
+    got = one(harbour.query("MATCH (v {berth: 12})-[r:FEEDS|TURNS]->() RETURN labels(v) AS l, type(r) AS t, keys(v) AS k, start_id(r) AS s, elementId(v) AS e, toString(v.berth) AS d, toInteger('x') AS n, toInteger(-1.7) AS m"))
+    assert got == (["Guest", "Vessel"], "TURNS", ["berth", "name"], 1, "1:g1:n:1", "12", None, -1)
 
 
 @pytest.mark.parametrize(
@@ -67,17 +68,26 @@ def test_functions(faults):
         "MATCH (a) CALL (a) { MATCH (a) } RETURN a", "MATCH (a) CALL (a) { RETURN 1 AS a } RETURN a", "RETURN 1 AS a UNION RETURN 1 AS b", "MATCH (a) SET a.x += 1", "MATCH (a) RETURN a.k AS k, a.name + count(*) AS x", "FOREACH (x IN [1] | CREATE (a))", "RETURN 'a' < 1 AS x",
     ],
 )
-def test_rejections(faults, text):
+def test_rejections(harbour, text):
     with pytest.raises(GraphError):
-        faults.query(text).collect()
+        harbour.query(text).collect()
 
 
-def test_budgets(faults):
+def test_budgets(harbour):
     with pytest.raises(GraphError, match="budget"):
-        faults.query("MATCH (a) RETURN a.name AS n", budgets={"max_rows": 2})
+        harbour.query("MATCH (a) RETURN a.name AS n", budgets={"max_rows": 2})
     with pytest.raises(GraphError, match="tighten"):
-        faults.query("MATCH (a) RETURN a.name AS n", budgets={"max_rows": 10**9})
-    assert faults.query("MATCH (a) RETURN a.name AS n", budgets={"max_rows": 4}).count() == 4
+        harbour.query("MATCH (a) RETURN a.name AS n", budgets={"max_rows": 10**9})
+    assert harbour.query("MATCH (a) RETURN a.name AS n", budgets={"max_rows": 4}).count() == 4
+    q = "MATCH (a)-[e]->(b) RETURN b.name AS n"
+    for good, bad in (({"max_nodes": 4}, {"max_nodes": 3}), ({"max_edges": 5}, {"max_edges": 4}), ({"max_expansions": 5}, {"max_expansions": 4}), ({"max_text_bytes": 44}, {"max_text_bytes": 43})):
+        assert harbour.query(q, budgets=good).count() == 5
+        with pytest.raises(GraphError, match="budget"):
+            harbour.query(q, budgets=bad)
+    with pytest.raises(GraphError, match="budget of 1 ms"):
+        harbour.query("MATCH (a)-[e]->(b), (c)-[f]->(d) RETURN count(*) AS n", budgets={"max_millis": 1})
+    with pytest.raises(GraphError, match="budget"):
+        harbour.write("CREATE (:X)", budgets={"max_nodes": 3})
 
 
 def trails(edges, start, low, high, both):
@@ -128,6 +138,70 @@ def test_merge(spark):
         g.write("MERGE (n:K {k: null})")
 
 
+def test_merge_paths(spark):
+    """Whole paths: one that is there matches, of equal ones the first is created and the others match it."""
+    g = Graph.from_json(spark, [(1, ["City"], {"name": "Ghent"}), (2, ["River"], {"name": "Lys"})], [(1, 1, 2, "ON", {})])
+    after, n = g.write("UNWIND ['Ghent', 'Namur', 'Namur'] AS c MERGE (x:City {name: c})-[:ON]->(r:River {name: 'Lys'}) ON CREATE SET x.new = true ON MATCH SET x.seen = 1")
+    got = rows(after.query("MATCH (x:City)-[:ON]->(r:River) RETURN id(r) AS r, x.name AS c, x.new AS n, x.seen AS s"))
+    assert sorted(r[1:] for r in got) == [("Ghent", None, "1"), ("Namur", "true", "1")] and after.nodes.count() == 4
+    again, n = after.write("MATCH (x:City {name: 'Ghent'}) MERGE (x)-[:ON]->(:River {name: 'Leie'})-[:INTO]->(:Sea {name: 'North'}) MERGE (x)-[:ON]->(:River {name: 'Leie'})-[:INTO]->(:Sea {name: 'North'})")
+    assert (again.nodes.count(), again.edges.count()) == (6, 4)
+    both, _ = again.write("MATCH (s:Sea) MERGE (s)-[:INTO]-(r:River) SET r.mouth = s.name")
+    assert both.edges.count() == 4 and rows(both.query("MATCH (r:River) WHERE r.mouth = 'North' RETURN r.name AS n")) == [("Leie",)]
+    with pytest.raises(GraphError, match="null"):
+        g.write("MERGE (:City {name: null})-[:ON]->(:River)")
+    many, _ = Graph.empty(spark).write("UNWIND [1, 1, 1, 1, 1, 1, 1, 1] AS k MERGE (n:K {k: k}) ON MATCH SET n.last = 'x'")
+    assert rows(many.query("MATCH (n:K) RETURN n.k AS k, n.last AS l")) == [("1", "x")]
+
+
+def test_graphs_are_stored_and_obey_transactions(spark, tmp_path):
+    from lodestone.plans.lexer import SqlError
+    from lodestone.session import Session
+
+    s = Session(spark, tmp_path.as_uri())
+    s.execute("CREATE GRAPH docks")
+    s.execute("CYPHER docks 'CREATE (:Dock {name: \"east\"})'")
+    count = "SELECT n FROM GRAPH_TABLE(docks, 'MATCH (d:Dock) RETURN count(*) AS n' COLUMNS (n INTEGER))"
+    s.execute("BEGIN; CYPHER docks 'CREATE (:Dock {name: \"west\"})'")
+    assert s.sql(count).first()[0] == 2
+    assert Session(spark, tmp_path.as_uri()).sql(count).first()[0] == 1
+    s.execute("ROLLBACK")
+    assert s.sql(count).first()[0] == 1
+    s.execute("BEGIN; CYPHER docks 'CREATE (:Dock {name: \"west\"})'; CYPHER docks 'MATCH (d:Dock {name: \"east\"}) SET d.open = true'; COMMIT")
+    s.execute("CREATE UNIQUE GRAPH INDEX u ON docks NODES LABEL \"Dock\" (name)")
+    s.execute("CREATE FULLTEXT GRAPH INDEX t ON docks NODES LABEL (\"Dock\") (name)")
+    again = Session(spark, tmp_path.as_uri())
+    assert rows(again.sql("SHOW GRAPHS").select("graph_name")) == [("docks",)] and again.sql(count).first()[0] == 2
+    assert again.sql("SHOW GRAPH INDEXES ON docks").count() == 1 and again.sql("SHOW FULLTEXT GRAPH INDEXES ON docks").count() == 1
+    with pytest.raises(GraphError, match="unique"):
+        again.execute("CYPHER docks 'CREATE (:Dock {name: \"west\"})'")
+    with pytest.raises(SqlError, match="transaction"):
+        again.execute("BEGIN; CREATE GRAPH other")
+    again.execute("ROLLBACK; DROP GRAPH docks")
+    assert Session(spark, tmp_path.as_uri()).sql("SHOW GRAPHS").count() == 0
+    # A registered graph, which isn't stored, is rolled back too; two writers of one version don't both win.
+    s = Session(spark, tmp_path.as_uri())
+    s.register_graph("loose", Graph.empty(spark))
+    s.execute("BEGIN; CYPHER loose 'CREATE (:A)'; ROLLBACK")
+    assert s.graph("loose").nodes.count() == 0
+    s.execute("CREATE GRAPH twice")
+    a, b = Session(spark, tmp_path.as_uri()), Session(spark, tmp_path.as_uri())
+    a.execute("CYPHER twice 'CREATE (:A)'")
+    with pytest.raises(RuntimeError):
+        b.execute("CYPHER twice 'CREATE (:B)'")
+
+
+def test_graph_table_budgets(spark, harbour):
+    from lodestone.session import Session
+
+    s = Session(spark)
+    s.register_graph("h", harbour)
+    text = "SELECT n FROM GRAPH_TABLE(h, 'MATCH (a)-[e]->(b) RETURN id(a) AS n' BUDGETS '{\"max_expansions\": %d}' COLUMNS (n INTEGER))"
+    assert s.sql(text % 5).count() == 5
+    with pytest.raises(GraphError, match="expansions"):
+        s.sql(text % 4)
+
+
 def test_deletes(spark):
     g = Graph.from_json(spark, [(1, ["A"], {}), (2, ["A"], {}), (3, ["B"], {})], [(1, 1, 2, "T", {})])
     with pytest.raises(GraphError, match="DETACH"):
@@ -147,13 +221,13 @@ def test_unique_property_index(spark):
     g.write("CREATE (:E)")
 
 
-def test_snapshot(spark, faults, tmp_path):
-    faults.save(tmp_path.as_uri())
+def test_snapshot(spark, harbour, tmp_path):
+    harbour.save(tmp_path.as_uri())
     again = Graph.load(spark, tmp_path.as_uri())
     assert (again.nodes.count(), again.edges.count()) == (4, 5)
-    faults.save(tmp_path.as_uri() + "/empty", definition_only=True)
+    harbour.save(tmp_path.as_uri() + "/empty", definition_only=True)
     assert Graph.load(spark, tmp_path.as_uri() + "/empty").nodes.count() == 0
 
 
-def test_profile(faults):
-    assert faults.profile(faults.query("MATCH (a)-[e]->(b) RETURN id(a) AS a")).first()["n_rows"] == 5
+def test_profile(harbour):
+    assert harbour.profile(harbour.query("MATCH (a)-[e]->(b) RETURN id(a) AS a")).first()["n_rows"] == 5
