@@ -31,28 +31,37 @@ def runs(text: Column) -> Column:
     return F.when(~F.exists(found, lambda r: r["cjk"]), plain).otherwise(F.aggregate(found, start, step, lambda t: t["out"]))
 
 
-def tokens(text: Column, channel: str) -> Column:
-    """array<struct<term, at>> of one channel."""
-    if channel not in CHANNELS:
-        raise ValueError(f"no channel {channel}")
+#: The bit of each channel in a token's set of channels.
+BIT = {c: 1 << k for k, c in enumerate(CHANNELS)}
+
+
+def channel_tokens(text: Column) -> Column:
+    """array<struct<term, at, channels>> of all channels: a token that several share stands once, with their bits."""
 
-    def single(r):
-        return F.array(F.struct(r["run"].alias("term"), r["at"].alias("at")))
+    def single(r, channels):
+        return F.array(F.struct(r["run"].alias("term"), r["at"].alias("at"), F.lit(channels).alias("channels")))
 
-    def grams(r, n):
+    def grams(r, n, channels):
         last = F.char_length(r["run"]) - n
-        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.struct(F.substring(r["run"], i + 1, F.lit(n)).alias("term"), (r["at"] + i).cast("int").alias("at")))).otherwise(F.array().cast("array<struct<term:string,at:int>>"))
+        shown = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.struct(F.substring(r["run"], i + 1, F.lit(n)).alias("term"), (r["at"] + i).cast("int").alias("at"), F.lit(channels).alias("channels")))
+        return F.when(last >= 0, shown).otherwise(F.array().cast("array<struct<term:string,at:int,channels:int>>"))
 
     def expand(r):
-        if channel == "exact":
-            return single(r)
-        many = grams(r, 1) if channel == "phrase" else F.concat(grams(r, 1), grams(r, 2))
-        return F.when(r["cjk"], many).otherwise(single(r))
+        many = F.concat(grams(r, 1, BIT["terms"] | BIT["phrase"]), grams(r, 2, BIT["terms"]), single(r, BIT["exact"]))
+        return F.when(r["cjk"], many).otherwise(single(r, sum(BIT.values())))
 
     out = F.flatten(F.transform(runs(text), expand))
     return F.filter(out, lambda t: F.octet_length(t["term"]) <= MAX_TERM_BYTES)
 
 
+def tokens(text: Column, channel: str) -> Column:
+    """array<struct<term, at>> of one channel."""
+    if channel not in CHANNELS:
+        raise ValueError(f"no channel {channel}")
+    own = F.filter(channel_tokens(text), lambda t: t["channels"].bitwiseAND(F.lit(BIT[channel])) > 0)
+    return F.transform(own, lambda t: F.struct(t["term"], t["at"]))
+
+
 def tokenised(segments: DataFrame, channel: str, text: str = "text") -> DataFrame:
     """segments with one row for each token: term and at, in place of the text."""
     kept = [c for c in segments.columns if c != text]

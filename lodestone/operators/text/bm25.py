@@ -68,16 +68,9 @@ def search(segments: DataFrame, request: Request) -> DataFrame:
     """Matching documents: doc, score, best_field, place of the first hit; best first by score, then doc.
 
     Every distinct term has to be in some selected field.  A phrase also has to stand in one segment of one field;
-    exact takes one token.  Only postings of the query's terms are grouped: the filter sits below the shuffle.
+    exact takes one token.  This reads and tokenises the domain's texts; StoredIndex reads postings instead.
     """
-    spark = segments.sparkSession
-    terms = query_terms(spark, request.text, request.channel)
-    if not terms:
-        raise SearchError("the query has no tokens")
-    if request.channel == "exact" and len(terms) != 1:
-        raise SearchError("an exact search takes one token")
-    unique = sorted({t for t, _ in terms})
-    order = {f: i for i, f in enumerate(request.fields)}
+    terms, unique = wanted(segments.sparkSession, request)
     chosen = segments.where((F.col("domain") == request.domain) & F.col("field").isin(*request.fields))
     all_tokens = tokenised(chosen, request.channel)
     # One pass over the tokens: lengths and term counts of each document and field together.
@@ -85,6 +78,23 @@ def search(segments: DataFrame, request: Request) -> DataFrame:
     hits = F.collect_list(F.when(F.col("term").isin(*unique), F.struct("segment", "at", "term"))).alias("hits")
     by_doc = all_tokens.groupBy("field", "doc").agg(F.count(F.lit(1)).alias("len"), *counts, hits)
     totals = by_doc.groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("len").alias("total_len"), *[F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"df{i}") for i in range(len(unique))])
+    return ranked(by_doc, totals, terms, request)
+
+
+def wanted(spark, request: Request) -> tuple[list[tuple[str, int]], list[str]]:
+    """A request's tokens in order, and its distinct terms."""
+    terms = query_terms(spark, request.text, request.channel)
+    if not terms:
+        raise SearchError("the query has no tokens")
+    if request.channel == "exact" and len(terms) != 1:
+        raise SearchError("an exact search takes one token")
+    return terms, sorted({t for t, _ in terms})
+
+
+def ranked(by_doc: DataFrame, totals: DataFrame, terms: list[tuple[str, int]], request: Request) -> DataFrame:
+    """by_doc(field, doc, len, tf0..., hits), totals(field, n_docs, total_len, df0...) -> the documents found, best first."""
+    unique = sorted({t for t, _ in terms})
+    order = {f: i for i, f in enumerate(request.fields)}
     # At most 16 rows: one for each selected field.
     scored = by_doc.where(" or ".join(f"tf{i} > 0" for i in range(len(unique)))).join(F.broadcast(totals), "field")
     parts = [F.when(F.col(f"tf{i}") > 0, weight(F.col("n_docs"), F.col(f"df{i}"), F.col(f"tf{i}"), F.col("len"), F.col("total_len") / F.col("n_docs"))).otherwise(0.0) for i in range(len(unique))]

@@ -79,8 +79,10 @@ class FullTextIndex:
             segments = self.maintained.segments()
             current = self.segments(graph).groupBy("doc").agg(_revision().alias("now"))
             held = segments.groupBy("doc").agg(_revision().alias("then"))
-            fresh = current.join(held, "doc").where("now = then").select("doc")
-            segments = segments.join(fresh, "doc", "left_semi")
+            stale = held.join(current, (held["doc"] == current["doc"]) & (held["then"] == current["now"]), "left_anti").select("doc")
+            if stale.isEmpty() and self.maintained.postings.generation() >= 0:
+                return self.maintained.postings.search(request), segments
+            segments = segments.join(stale, "doc", "left_anti")
         else:
             segments = self.segments(graph, options.get("labels"))
         return bm25.search(segments, request), segments

@@ -12,7 +12,9 @@ from lodestone.operators.text.analyzer import tokenised
 from lodestone.operators.text.bm25 import Request
 from lodestone.operators.text.index import FullTextIndex
 from lodestone.operators.text.scan import scan_search
+from lodestone.operators.text.stored import StoredIndex
 from lodestone.session import Session
+from lodestone.sources.scratch import shared_place
 
 DOMAIN = "en"
 
@@ -41,9 +43,24 @@ def t_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25.field_statistics(bm25.lengths(segments(spark, sf_dir), "terms"))
 
 
+#: Indexes by context, table and the table's files, so that a table is indexed once and again when it changes.
+_STORED: dict[tuple, StoredIndex] = {}
+
+
+def stored_index(spark: SparkSession, sf_dir: str) -> StoredIndex:
+    """The stored index of the documents, built when it is first asked for."""
+    files = tuple(sorted(documents(spark, sf_dir).inputFiles()))
+    key = (spark.sparkContext.applicationId, sf_dir, files)
+    if key not in _STORED:
+        index = StoredIndex(spark, shared_place(spark, "documents-index"))
+        index.write(segments(spark, sf_dir))
+        _STORED[key] = index
+    return _STORED[key]
+
+
 def _search(spark: SparkSession, sf_dir: str, text: str, **options) -> DataFrame:
     request = Request(text, DOMAIN, options.pop("fields", ("text", "source")), **options)
-    return bm25.search(segments(spark, sf_dir), request)
+    return stored_index(spark, sf_dir).search(request)
 
 
 def t_bm25_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +93,7 @@ def rrf_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def t_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = segments(spark, sf_dir)
-    hits = bm25.search(own, Request("license", DOMAIN, ("text",), limit=50))
+    hits = _search(spark, sf_dir, "license", fields=("text",), limit=50)
     return bm25.with_evidence(hits, own).select("doc", "best_field", "byte_offset", "line_number", F.contains(F.lower("snippet"), F.lit("license")).alias("shows"))
 
 

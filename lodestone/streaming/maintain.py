@@ -2,7 +2,7 @@
 
 Changes are appended to a journal of Parquet files, each row with a source sequence.  A streaming query takes pending
 files in micro-batches; its checkpoint is the cursor.  Every batch writes an immutable generation of the changed
-documents' segments, and a reader sees for each document its latest generation.  A batch that is replayed after a
+documents' segments and of their postings, and a reader sees for each document its latest generation.  A batch that is replayed after a
 failure writes the same generation again, so the result doesn't change.
 """
 
@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.operators.text.stored import StoredIndex
+
 CHANGES = "doc bigint, domain string, field string, segment int, text string, deleted boolean, seq bigint"
 
 
@@ -31,6 +33,7 @@ class Maintainer:
         if not 1 <= batch_files <= 4096:
             raise ValueError("a batch has 1 to 4096 files")
         self.spark, self.folder, self.batch_files, self.paused = spark, folder.rstrip("/"), batch_files, False
+        self.postings = StoredIndex(spark, f"{self.folder}/postings")
         spark.createDataFrame([], CHANGES).write.mode("append").parquet(f"{self.folder}/journal")
         spark.createDataFrame([], CHANGES + ", batch bigint").write.mode("append").parquet(f"{self.folder}/index/generation=0")
 
@@ -54,7 +57,10 @@ class Maintainer:
     def _take(self, batch: DataFrame, number: int) -> None:
         latest = batch.groupBy("doc").agg(F.max("seq").alias("last"))
         kept = batch.join(latest, "doc").where("seq = last").drop("last")
-        kept.withColumn("batch", F.lit(number).cast("bigint")).write.mode("overwrite").parquet(f"{self.folder}/index/generation={number + 1}")
+        place = f"{self.folder}/index/generation={number + 1}"
+        kept.withColumn("batch", F.lit(number).cast("bigint")).write.mode("overwrite").parquet(place)
+        done = self.spark.read.schema(CHANGES).parquet(place)
+        self.postings.write(done.where("not deleted"), done.where("deleted").select("doc").distinct())
 
     def _stream(self):
         source = self.spark.readStream.schema(CHANGES).option("maxFilesPerTrigger", self.batch_files).parquet(f"{self.folder}/journal")
