@@ -7,9 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone import queries_graph, queries_other, queries_sql, queries_text
+from lodestone import queries_graph, queries_other, queries_sql, queries_store, queries_text
 
-MODULES = (queries_sql, queries_graph, queries_text, queries_other)
+MODULES = (queries_sql, queries_graph, queries_text, queries_other, queries_store)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -312,6 +312,7 @@ class Compiler:
                     break
             if k >= edge.low:
                 found.append(now)
+        found = found or [now]  # the walk ended before the least length: no rows
         out = found[0]
         for more in found[1:]:
             out = out.unionAll(more)

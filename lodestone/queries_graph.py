@@ -227,6 +227,62 @@ def g_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.query("MATCH (x) OPTIONAL MATCH (x)-[e]->(y) RETURN id(x) AS x, id(e) AS e, id(y) AS y")
 
 
+def _after(text: str, read: str):
+    """A writing query over the whole star graph, then a reading one."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        g, _ = star_graph(spark, sf_dir).write(text)
+        return g.query(read)
+
+    return run
+
+
+# name: (writing query, reading query, oracle)
+WRITES: dict[str, tuple[str, str, str]] = {
+    "g_delete_edges": (
+        "MATCH (o:Order)-[e:CONTAINS]->(p:Part) WHERE e.qty > 45 DELETE e",
+        "MATCH (o:Order)-[e]->(x) RETURN type(e) AS t, count(*) AS n",
+        "SELECT 'CONTAINS' AS t, count(*) AS n FROM lineitem WHERE (l_orderkey, l_linenumber) NOT IN (SELECT (l_orderkey, l_linenumber) FROM lineitem WHERE l_quantity > 45) UNION ALL SELECT 'SHIPPED_BY', count(*) FROM lineitem",
+    ),
+    "g_detach_delete": (
+        "MATCH (p:Part) WHERE p.size > 25 DETACH DELETE p",
+        "MATCH (p:Part) OPTIONAL MATCH (p)<-[e:CONTAINS]-() RETURN p.name AS part, count(e) AS n",
+        "SELECT p_name AS part, count(l_orderkey) AS n FROM part LEFT JOIN lineitem ON l_partkey = p_partkey WHERE p_size <= 25 GROUP BY p_name",
+    ),
+    "g_merge_nodes": (
+        "MATCH (c:Customer) MERGE (m:Segment {name: c.segment}) ON CREATE SET m.status = 'new' ON MATCH SET m.status = 'met'",
+        "MATCH (m:Segment) RETURN m.name AS name, m.status AS status",
+        "SELECT c_mktsegment AS name, CASE WHEN count(*) > 1 THEN 'met' ELSE 'new' END AS status FROM customer GROUP BY c_mktsegment",
+    ),
+    "g_merge_paths": (
+        "MATCH (c:Customer) WHERE c.balance > 5000 MERGE (c)-[:IN_SEGMENT]->(m:Segment {name: c.segment})",
+        "MATCH (c:Customer)-[e:IN_SEGMENT]->(m:Segment) RETURN c.name AS customer, m.name AS segment, id(c) > 0 AS known",
+        "SELECT c_name AS customer, c_mktsegment AS segment, true AS known FROM customer WHERE c_acctbal > 5000",
+    ),
+    "g_set_remove": (
+        "MATCH (c:Customer) WHERE c.balance < 0 SET c.segment = 'DEBT', c:Debtor REMOVE c.name",
+        "MATCH (c:Debtor) RETURN c.segment AS segment, c.name IS NULL AS nameless, count(*) AS n, sum(c.balance) < 0 AS below",
+        "SELECT 'DEBT' AS segment, true AS nameless, count(*) AS n, true AS below FROM customer WHERE c_acctbal < 0 HAVING count(*) > 0",
+    ),
+    "g_create_edges": (
+        "MATCH (s:Supplier)-[:IN_NATION]->(n:Nation)-[:IN_REGION]->(r:Region) CREATE (s)-[:SERVES {line: 7}]->(r)",
+        "MATCH (s:Supplier)-[e:SERVES]->(r:Region) RETURN s.name AS supplier, r.name AS region, e.line AS line",
+        "SELECT s_name AS supplier, r_name AS region, 7 AS line FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey",
+    ),
+}
+
+STATEMENTS["g_arithmetic"] = (
+    "MATCH (p:Part) RETURN p.name AS part, p.size * 2 + 1 - 3 AS a, -p.size AS b, p.size / 4 = p.size * 0.25 AS c",
+    "SELECT p_name AS part, p_size * 2 - 2 AS a, -p_size AS b, true AS c FROM part",
+)
+STATEMENTS["g_reduce"] = (
+    "MATCH (n:Nation)-[:IN_REGION]->(r:Region) WITH r, collect(size(n.name)) AS sizes RETURN r.name AS region, reduce(s = 0, x IN sizes | s + x * x) AS total",
+    "SELECT r_name AS region, sum(length(n_name) * length(n_name)) AS total FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name",
+)
+STATEMENTS["g_varlen_five"] = (
+    "MATCH (o:Order)-[:SHIPPED_BY]->(s:Supplier) WHERE o.total > 450000 WITH DISTINCT s MATCH (s)-[path:IN_NATION|IN_REGION*1..5]->(x) RETURN s.name AS s, x.name AS x, size(path) AS hops",
+    "WITH t AS (SELECT DISTINCT s_name, s_nationkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey WHERE o_totalprice > 450000) SELECT s_name AS s, n_name AS x, 1 AS hops FROM t JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT s_name, r_name, 2 FROM t JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey",
+)
 QUERIES = {name: _statement(text) for name, (text, _) in STATEMENTS.items()}
 QUERIES |= {f.__name__: f for f in (g_table_join, g_create_set, g_delete)}
 ORACLE_SQL = {name: oracle for name, (_, oracle) in STATEMENTS.items()} | {
@@ -234,3 +290,5 @@ ORACLE_SQL = {name: oracle for name, (_, oracle) in STATEMENTS.items()} | {
     "g_create_set": "SELECT '1' AS k, '2' AS hits, '5' AS w, 'two' AS name, true AS removed",
     "g_delete": "SELECT * FROM (VALUES (1, NULL::BIGINT, NULL::BIGINT), (3, NULL, NULL)) t(x, e, y)",
 }
+QUERIES |= {name: _after(text, read) for name, (text, read, _) in WRITES.items()}
+ORACLE_SQL |= {name: oracle for name, (_, _, oracle) in WRITES.items()}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators import memory, vector
+from lodestone.sources.scratch import shared_place
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,10 +30,21 @@ def v_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def v_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inverted lists; with all cells probed the answer is exact, which the SQL checks."""
-    index = vector.InvertedLists(_vectors(spark, sf_dir), cells=8)
+    index = vector.InvertedLists(_vectors(spark, sf_dir), shared_place(spark, "lists"), cells=8)
     return index.search(_first(spark, sf_dir), 10, probes=8).select("vec_id", F.round("distance", 6).alias("distance"))
 
 
+def v_ivf_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall at 10 of the index at its fitted number of probes, over every row whose id is divisible by 50."""
+    vectors = _vectors(spark, sf_dir)
+    index = vector.InvertedLists(vectors, shared_place(spark, "lists"))
+    asked = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
+    exact = index.neighbours(asked, 10, len(index.centres)).select("query", "vec_id")
+    found = index.neighbours(asked, 10).select("query", "vec_id", F.lit(1).alias("met"))
+    out = exact.join(found, ["query", "vec_id"], "left").agg(F.count_distinct("query").alias("n_queries"), (F.count("met") / F.count(F.lit(1)) >= 0.9).alias("enough"))
+    return out.withColumn("fewer_cells", F.lit(index.probes < len(index.centres)))
+
+
 def memories(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Orders as memories, customers as sources, lines as derivations."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
@@ -78,7 +90,7 @@ def ev_session(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"v_l2_topk": _topk("l2"), "v_cosine_topk": _topk("cosine"), "v_ip_topk": _topk("ip")}
-QUERIES |= {f.__name__: f for f in (v_filtered, v_ivf, mem_visible, mem_as_of, mem_revoked, ev_tumbling, ev_session)}
+QUERIES |= {f.__name__: f for f in (v_filtered, v_ivf, v_ivf_recall, mem_visible, mem_as_of, mem_revoked, ev_tumbling, ev_session)}
 
 _V = "CAST(e.embedding AS DOUBLE[])"
 _Q = "(SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)"
@@ -94,6 +106,7 @@ ORACLE_SQL = {
     "v_ip_topk": _nearest(f"-list_inner_product({_V}, {_Q})"),
     "v_filtered": _nearest(f"list_distance({_V}, {_Q})", 5, "label = 3"),
     "v_ivf": _nearest(f"list_distance({_V}, {_Q})"),
+    "v_ivf_recall": "SELECT count(*) AS n_queries, true AS enough, true AS fewer_cells FROM embeddings WHERE vec_id % 50 = 0",
     "mem_visible": "SELECT o_orderkey AS memory_id FROM orders WHERE o_orderstatus NOT IN ('P', 'F') AND (o_orderkey % 3 <> 0 OR o_orderdate > TIMESTAMP '1995-06-01') AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)",
     "mem_as_of": "SELECT l_orderkey AS memory_id, max(l_shipdate) AS recorded_at FROM lineitem WHERE l_shipdate <= TIMESTAMP '1996-01-01' GROUP BY l_orderkey",
     "mem_revoked": "SELECT 1000002 AS id UNION ALL SELECT n_nationkey + 2000000 FROM nation WHERE n_regionkey = 2 UNION ALL SELECT c_custkey + 3000000 FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 2",

@@ -243,6 +243,22 @@ STATEMENTS: dict[str, tuple[str, str, dict]] = {
         "SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier",
         {},
     ),
+    "division": (
+        "SELECT n_nationkey, CAST(CAST(n_nationkey / 8 AS VARCHAR2(60)) AS NUMBER) AS q, n_nationkey / 8 > 1.5 AS more FROM nation",
+        "SELECT n_nationkey, CAST(n_nationkey / 8.0 AS DECIMAL(38,10)) AS q, n_nationkey / 8.0 > 1.5 AS more FROM nation",
+        {},
+    ),
+    "left_join_anti_some": (
+        "SELECT c.c_custkey FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey AND o.o_totalprice > 250000 WHERE o.o_orderkey IS NULL",
+        "SELECT c.c_custkey FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey AND o.o_totalprice > 250000 WHERE o.o_orderkey IS NULL",
+        {},
+    ),
+    "except_some": (
+        "SELECT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey FROM supplier WHERE s_nationkey > 9",
+        "SELECT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey FROM supplier WHERE s_nationkey > 9",
+        {},
+    ),
+    "star_expansion": ("SELECT * FROM region r JOIN nation n ON n.n_regionkey = r.r_regionkey", "SELECT * FROM region r JOIN nation n ON n.n_regionkey = r.r_regionkey", {}),
     "setop_tail": (
         "SELECT n_nationkey AS k FROM nation UNION SELECT r_regionkey FROM region INTERSECT SELECT n_regionkey FROM nation ORDER BY k DESC LIMIT 9 OFFSET 2",
         "SELECT n_nationkey AS k FROM nation UNION SELECT r_regionkey FROM region INTERSECT SELECT n_regionkey FROM nation ORDER BY k DESC LIMIT 9 OFFSET 2",
@@ -291,7 +307,7 @@ def transaction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def show_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return session(spark, sf_dir).sql("SHOW TABLES").where("table_kind = 'view'").select("table_name", "table_kind")
+    return session(spark, sf_dir).sql("SHOW TABLES").select("table_name", "table_kind")
 
 
 QUERIES = {name: _statement(text, params) for name, (text, _, params) in STATEMENTS.items()}
@@ -302,5 +318,5 @@ ORACLE_SQL = {name: oracle for name, (_, oracle, _) in STATEMENTS.items()} | {
     "update_rows": "SELECT CAST(o_orderkey AS DECIMAL(38,0)) AS id, CASE WHEN o_totalprice > 200000 THEN 'big' ELSE o_orderstatus END AS status, CAST(CAST(o_totalprice AS DECIMAL(20,6)) * CASE WHEN o_totalprice > 200000 THEN 2 ELSE 1 END AS DECIMAL(38,10)) AS price FROM orders",
     "delete_rows": "SELECT CAST(o_orderkey AS DECIMAL(38,0)) AS id, o_orderstatus AS status FROM orders WHERE o_orderstatus <> 'O'",
     "transaction": "SELECT count(*) AS n, CAST(min(o_orderkey) AS DECIMAL(38,0)) AS lo FROM orders WHERE o_orderkey >= 100",
-    "show_tables": f"SELECT unnest([{', '.join(repr(t) for t in TABLES)}]) AS table_name, 'view' AS table_kind",
+    "show_tables": f"SELECT unnest([{', '.join(repr(t) for t in TABLES)}]) AS table_name, 'view' AS table_kind UNION ALL SELECT unnest(['attachment$', 'col$', 'file$', 'ind$', 'obj$', 'recovery$']), 'dictionary'",
 }

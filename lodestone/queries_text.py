@@ -103,6 +103,35 @@ def t_grep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matches(pages, "</article>", "page_id", "html").select("page_id", "match_no", "line_number", "byte_offset")
 
 
+def t_cjk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of CJK characters between others, in the channel that takes single characters and pairs."""
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    mixed = nations.select("n_nationkey", F.concat("n_name", F.lit(" 茶水壶 "), F.col("n_nationkey").cast("string"), F.lit(" 한국")).alias("text"))
+    return tokenised(mixed, "terms")
+
+
+def t_maintained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index that a journal feeds, read eventually after WAIT: all documents, in whatever state the graph is."""
+    s = Session(spark, shared_place(spark, "store"))
+    s.register_graph("kb", document_graph(spark, sf_dir))
+    s.execute("CREATE FULLTEXT GRAPH INDEX held ON kb NODES LABEL (\"Document\") (text, name)")
+    status = s.sql("ALTER FULLTEXT GRAPH INDEX held ON kb WAIT").first()["status"]
+    out = s.sql("""SEARCH FULLTEXT GRAPH INDEX held ON kb FOR 'license' OPTIONS '{"db_type": "en", "fields": ["text"], "limit": 50, "consistency": "eventual"}'""")
+    return out.select("entity_id", F.round("score", 6).alias("score"), "consistency", "covered_source_seq", F.lit(status).alias("status"))
+
+
+def t_grep_attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A literal in attachments: the nations of each region as one file, in two chunks."""
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    bodies = nations.groupBy("n_regionkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: x["n_name"]), "\n").alias("body"))
+    half = (F.char_length("body") / 2).cast("int")
+    parts = F.array(F.struct(F.lit(0).alias("ordinal"), F.substring("body", F.lit(1), half).alias("d")), F.struct(F.lit(1).alias("ordinal"), F.substring(F.col("body"), half + 1, F.char_length("body")).alias("d")))
+    data = bodies.select(F.concat(F.lit("file"), "n_regionkey").alias("attachment_id"), F.lit("s").alias("session_id"), F.lit("txt").alias("format"), F.explode(parts).alias("p"))
+    s = Session(spark)
+    s.register("attachment$data", data.select("attachment_id", "session_id", "format", "p.ordinal", F.encode("p.d", "UTF-8").alias("data")))
+    return s.sql("SELECT attachment_id, match_no, line_number, byte_offset FROM attachment_grep('NATION_1')")
+
+
 def document_graph(spark: SparkSession, sf_dir: str) -> Graph:
     """Documents as nodes (db_type: language), sources as nodes, FROM edges."""
     docs = documents(spark, sf_dir)
@@ -144,7 +173,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.round_robin(words.union(scan), 20).join(labels, F.col("doc") == F.col("doc_id"), "left").select("doc", "rank", "stream", "quality")
 
 
-QUERIES = {f.__name__: f for f in (t_tokens, t_postings_df, t_statistics, t_bm25_terms, t_exact, t_phrase, t_search_scan, t_round_robin, rrf_hybrid, t_snippet, t_grep, t_procedure, t_search_statement, t_search_nodes)}
+QUERIES = {f.__name__: f for f in (t_tokens, t_postings_df, t_statistics, t_bm25_terms, t_exact, t_phrase, t_search_scan, t_round_robin, rrf_hybrid, t_snippet, t_grep, t_cjk, t_maintained, t_grep_attachments, t_procedure, t_search_statement, t_search_nodes)}
 
 _TOKENS = r"""
     segs AS (SELECT doc_id AS doc, lang AS domain, 'text' AS field, text FROM documents WHERE text IS NOT NULL UNION ALL SELECT doc_id, lang, 'source', source FROM documents WHERE source IS NOT NULL),
@@ -194,6 +223,10 @@ ORACLE_SQL = {
     "t_snippet": _licensed("doc, 'text' AS best_field, octet_length(encode(before)) AS byte_offset, length(before) - length(replace(before, chr(10), '')) + 1 AS line_number, true AS shows"),
     "t_search_statement": _licensed("doc AS entity_id, 'text' AS best_field, length(before) - length(replace(before, chr(10), '')) + 1 AS line_number, octet_length(encode(before)) AS byte_offset, 'en' AS db_type, 'terms' AS channel, 'strict' AS consistency"),
     "t_procedure": f"WITH {_TOKENS} SELECT source, count(*) AS n FROM documents WHERE lang = 'en' AND doc_id IN (SELECT a.doc FROM toks a JOIN toks b ON a.doc = b.doc AND b.pos = a.pos + 1 JOIN toks c ON a.doc = c.doc AND c.pos = a.pos + 2 WHERE a.field = 'text' AND b.field = 'text' AND c.field = 'text' AND a.term = 'all' AND b.term = 'rights' AND c.term = 'reserved') GROUP BY source",
+    "t_cjk": """SELECT n_nationkey, unnest([lower(n_name), '茶', '水', '壶', '茶水', '水壶', CAST(n_nationkey AS VARCHAR), '한', '국', '한국']) AS term, unnest([0, 1, 2, 3, 1, 2, 4, 5, 6, 5]) AS "at" FROM nation""",
+    "t_maintained": f"SELECT doc AS entity_id, score, 'eventual' AS consistency, 1 AS covered_source_seq, 'READY' AS status FROM ({_bm25(['license'], ['text'], 50)})",
+    "t_grep_attachments": """WITH lines AS (SELECT n_regionkey AS r, n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS line_number, coalesce(sum(length(n_name) + 1) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM nation)
+        SELECT 'file' || r AS attachment_id, row_number() OVER (PARTITION BY r ORDER BY line_number) - 1 AS match_no, line_number, CAST(place AS BIGINT) AS byte_offset FROM lines WHERE starts_with(n_name, 'NATION_1')""",
     "t_search_nodes": "SELECT name, row_number() OVER (ORDER BY r DESC, id) AS rank, 'bounded_scan' AS mode FROM (SELECT DISTINCT source AS name, CASE WHEN source = 'src1' THEN 2 ELSE 1 END AS r, CAST(substr(source, 4) AS BIGINT) AS id FROM documents WHERE contains(source, 'src1'))",
     "t_phrase": f"WITH {_TOKENS}, hit AS (SELECT DISTINCT a.doc FROM toks a JOIN toks b ON a.doc = b.doc AND b.pos = a.pos + 1 JOIN toks c ON a.doc = c.doc AND c.pos = a.pos + 2 WHERE a.field = 'text' AND b.field = 'text' AND c.field = 'text' AND a.domain = 'en' AND a.term = 'all' AND b.term = 'rights' AND c.term = 'reserved') SELECT doc, round(score, 6) AS score FROM (" + _bm25(["all", "reserved", "rights"], ["text"], 1_000_000, "doc, score") + ") JOIN hit USING (doc) ORDER BY score DESC, doc LIMIT 1000",
     "t_grep": """SELECT page_id, k - 1 AS match_no, length(before) - length(replace(before, chr(10), '')) + 1 AS line_number, octet_length(encode(before)) AS byte_offset

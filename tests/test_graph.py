@@ -39,6 +39,11 @@ def test_patterns(harbour):
     assert one(q("MATCH (x:Lighthouse) RETURN count(*) AS n, collect(x.name) AS c")) == (0, [])
 
 
+def test_walks_that_end_early(harbour):
+    assert harbour.query("MATCH (v {berth: 'roads'})-[:UNLOADS*6..7]->(x) RETURN x.name AS n").count() == 0
+    assert harbour.query("MATCH (v {berth: 12})-[path:UNLOADS|FEEDS|SUPPLIES*4..6]->(x) RETURN size(path) AS n").count() == 2
+
+
 def test_lists_and_exists(harbour):
     q = harbour.query
     assert one(q("RETURN [w IN ['tug', 'x', 'barge'] WHERE size(w) > 2 | w] AS l")) == (["tug", "barge"],)
