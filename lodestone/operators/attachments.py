@@ -15,10 +15,28 @@ class GrepError(ValueError):
     pass
 
 
+#: The columns of the directory, with their types.
+DIRECTORY = (
+    ("attachment_id", "string"), ("user_id", "bigint"), ("workspace_id", "bigint"), ("session_id", "string"), ("turn_id", "string"), ("turn_seq", "bigint"), ("filename", "string"), ("file_type", "string"),
+    ("media_type", "string"), ("purpose", "string"), ("origin", "string"), ("byte_len", "bigint"), ("sha256", "string"), ("created_ms", "bigint"), ("searchable", "boolean"), ("search_mode", "string"),
+)
+
+
 def directory(files: DataFrame, chunks: DataFrame) -> DataFrame:
-    """files with the number of chunks, bytes, and whether they can be searched."""
-    sizes = chunks.groupBy("attachment_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum(F.octet_length("data")).alias("n_bytes"))
-    return files.join(sizes, "attachment_id", "left").withColumn("searchable", F.lower("format").isin(*TEXT_FORMATS))
+    """The sixteen columns for each file: what files has of them, else null; bytes and digests are those of the chunks.
+
+    Files whose type is text are searchable, as literal bytes.
+    """
+    body = F.array_sort(F.collect_list(F.struct("ordinal", "data")))
+    joined = F.aggregate(body, F.lit(b""), lambda a, c: F.concat(a, c["data"]))
+    sizes = chunks.groupBy("attachment_id").agg(F.sum(F.octet_length("data")).alias("held_bytes"), F.sha2(joined, 256).alias("held_sha256"), F.max("format").alias("held_format"), F.max("session_id").alias("held_session"))
+    rows = files.join(sizes, "attachment_id", "left")
+    known = {c.lower(): c for c in files.columns}
+    kind = F.coalesce(*[F.col(known[c]) for c in ("file_type", "format") if c in known], F.col("held_format"))
+    text = F.coalesce(F.lower(kind).isin(*TEXT_FORMATS), F.lit(False))
+    made = {"file_type": kind, "byte_len": F.coalesce("held_bytes", F.lit(0)), "sha256": F.col("held_sha256"), "searchable": text, "search_mode": F.when(text, "literal")}
+    made["session_id"] = F.coalesce(*[F.col(known[c]) for c in ("session_id",) if c in known], F.col("held_session"))
+    return rows.select(*[(made.get(n, F.col(known[n]) if n in known else F.lit(None))).cast(t).alias(n) for n, t in DIRECTORY])
 
 
 def matches(bodies: DataFrame, pattern: str, key: str, body: str = "body") -> DataFrame:
@@ -53,8 +71,14 @@ def _quoted(text: str) -> str:
     return "".join("\\" + c if c in r"\.[]{}()*+-?^$|&~#" else c for c in text)
 
 
-def grep(chunks: DataFrame, pattern: str, session: str | None = None, attachment: str | None = None) -> DataFrame:
-    """chunks(attachment_id, session_id, format, ordinal, data): matches of one snapshot, or an error beyond the limits."""
+def grep(chunks: DataFrame, pattern: str, session: str | None = None, attachment: str | None = None, files: DataFrame | None = None, snapshot: int = 0) -> DataFrame:
+    """chunks(attachment_id, session_id, format, ordinal, data): matches of one snapshot, or an error beyond the limits.
+
+    The directory's columns (from files, or from the chunks alone), then match_no, line_number, byte_offset, snippet
+    and scan_snapshot.
+    """
+    if not 1 <= len(pattern.encode()) <= 512 or "\0" in pattern:
+        raise GrepError("a pattern has 1 to 512 bytes and no NUL")
     chosen = chunks.where(F.lower("format").isin(*TEXT_FORMATS))
     if session is not None:
         chosen = chosen.where(F.col("session_id") == session)
@@ -67,4 +91,5 @@ def grep(chunks: DataFrame, pattern: str, session: str | None = None, attachment
     found = matches(bodies, pattern, "attachment_id")
     if found.limit(MAX_HITS + 1).count() > MAX_HITS:
         raise GrepError(f"more than {MAX_HITS} hits")
-    return found
+    of = directory(files if files is not None else chosen.select("attachment_id").distinct(), chosen)
+    return of.join(found, "attachment_id").withColumn("scan_snapshot", F.lit(snapshot).cast("bigint"))

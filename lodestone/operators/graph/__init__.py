@@ -23,6 +23,29 @@ from lodestone.sources.scratch import cut
 LIMITS = {"max_rows": 10_000, "max_depth": 16, "max_millis": 60_000, "max_expansions": 100_000, "max_nodes": 100_000, "max_edges": 500_000, "max_text_bytes": 100 << 20}
 
 
+#: The columns of a profile.
+PROFILED = (
+    "access string, index_name string, seeks bigint, entries_read bigint, candidates bigint, rows_returned bigint, graph_nodes_loaded bigint, graph_edges_loaded bigint, fulltext_source_checks bigint, "
+    "fulltext_documents_loaded bigint, fulltext_statistics_records_loaded bigint, edge_expansions bigint, work_units bigint, elapsed_ms bigint"
+)
+
+
+def _operators(plan):
+    """(name, output rows, is a scan) of every operator of an executed plan."""
+    name = plan.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        yield from _operators(plan.executedPlan())
+        return
+    if name.endswith("QueryStageExec"):
+        yield from _operators(plan.plan())
+        return
+    metrics, children = plan.metrics(), plan.children()
+    made = metrics.apply("numOutputRows").value() if metrics.contains("numOutputRows") else 0
+    yield name, max(0, made), children.size() == 0
+    for k in range(children.size()):
+        yield from _operators(children.apply(k))
+
+
 def _kind(of: T.DataType):
     if isinstance(of, T.ArrayType):
         return "list", _kind(of.elementType)
@@ -142,12 +165,18 @@ class Graph:
         return rows
 
     def profile(self, rows: DataFrame) -> DataFrame:
-        """One row: how the query runs and how long it took."""
-        begun = time.time()
-        count = rows.count()
-        plan = rows._jdf.queryExecution().executedPlan().toString()
-        row = (count, plan.count("Join"), plan.count("Exchange"), plan.count("Scan"), int(1000 * (time.time() - begun)), plan)
-        return self.spark.createDataFrame([row], "n_rows bigint, n_joins int, n_exchanges int, n_scans int, elapsed_ms bigint, plan string")
+        """One row: how the query runs, what its operators put out, and how long it took.
+
+        entries_read counts the rows that scans give, work_units those of all operators; Spark keeps no counters of
+        seeks or of loaded documents, so these are null.
+        """
+        begun, run = time.time(), rows._jdf.queryExecution()
+        count = run.toRdd().count()
+        took, read, work, joined = int(1000 * (time.time() - begun)), 0, 0, 0
+        for name, made, leaf in _operators(run.executedPlan()):
+            read, work, joined = read + made * leaf, work + made, joined + made * ("Join" in name)
+        row = ("scan", None, None, read, joined, count, None, None, None, None, None, joined, work, took)
+        return self.spark.createDataFrame([row], PROFILED)
 
     # Writing
 

@@ -81,6 +81,9 @@ class StoredIndex:
     def statistics(self) -> DataFrame:
         return self.spark.read.schema(STATISTICS).parquet(f"{self.folder}/statistics/after-{self.generation():06d}")
 
+    def statistics_rows(self) -> int:
+        return self.statistics().count() if self.generation() >= 0 else 0
+
     def postings(self) -> DataFrame:
         return self._current(self._read("postings", POSTINGS))
 

@@ -105,7 +105,7 @@ def s_show_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _stored(spark, sf_dir)
     s.execute("CREATE UNIQUE GRAPH INDEX by_name ON atlas NODES LABEL \"Nation\" (name)")
     again = Session(spark, s.store.folder)
-    return again.sql("SHOW GRAPHS").select("graph_name").crossJoin(again.sql("SHOW GRAPH INDEXES ON atlas").select("index_name", "label", "is_unique"))
+    return again.sql("SHOW GRAPHS").select("graph_name").crossJoin(again.sql("SHOW GRAPH INDEXES ON atlas").select("index_name", "label_type", "is_unique"))
 
 
 def s_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,7 +132,7 @@ def s_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def s_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = session(spark, sf_dir)
     s.register_graph("star", star_graph(spark, sf_dir))
-    return s.sql("PROFILE CYPHER star 'MATCH (c:Customer)-[:PLACED]->(o:Order) RETURN id(o) AS o'").select("n_rows", (F.col("elapsed_ms") >= 0).alias("timed"))
+    return s.sql("PROFILE CYPHER star 'MATCH (c:Customer)-[:PLACED]->(o:Order) RETURN id(o) AS o'").select("rows_returned", "access", (F.col("elapsed_ms") >= 0).alias("timed"), (F.col("entries_read") >= F.col("rows_returned")).alias("read"))
 
 
 QUERIES = {f.__name__: f for f in (s_graph_transaction, s_isolation, s_dictionary, s_files, s_describe, s_constraints, s_rejected, s_show_graphs, s_snapshot, s_budgets, s_profile)}
@@ -145,8 +145,8 @@ ORACLE_SQL = {
     "s_describe": "SELECT * FROM (VALUES ('id', 'number'), ('status', 'text'), ('price', 'number')) t(column_name, kind)",
     "s_constraints": "SELECT rule, refused, n FROM (VALUES ('null', true), ('length', true), ('unique', true), ('kind', true), ('fine', false)) t(rule, refused), (SELECT count(*) + 1 AS n FROM orders)",
     "s_rejected": "SELECT * FROM (VALUES ('grouping', true), ('like', true), ('over', true), ('subquery', true), ('function', true), ('kinds', true), ('right', true), ('parameter', true), ('fine', false)) t(what, refused)",
-    "s_show_graphs": "SELECT 'atlas' AS graph_name, 'by_name' AS index_name, 'Nation' AS label, true AS is_unique",
+    "s_show_graphs": "SELECT 'atlas' AS graph_name, 'by_name' AS index_name, 'Nation' AS label_type, true AS is_unique",
     "s_snapshot": "SELECT 'IN_REGION' AS t, count(*) AS n FROM nation UNION ALL SELECT 'IN_NATION', (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) UNION ALL SELECT 'PLACED', count(*) FROM orders UNION ALL SELECT 'CONTAINS', count(*) FROM lineitem UNION ALL SELECT 'SHIPPED_BY', count(*) FROM lineitem",
     "s_budgets": "SELECT b AS budget, m - k AS allowed, CASE WHEN k = 0 THEN (SELECT count(*) FROM nation) END AS n FROM (VALUES ('max_rows', 25), ('max_expansions', 25), ('max_nodes', 30), ('max_edges', 25)) t(b, m), (VALUES (0), (1)) u(k)",
-    "s_profile": "SELECT count(*) AS n_rows, true AS timed FROM orders",
+    "s_profile": "SELECT count(*) AS rows_returned, 'scan' AS access, true AS timed, true AS read FROM orders",
 }

@@ -128,8 +128,9 @@ def t_grep_attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = F.array(F.struct(F.lit(0).alias("ordinal"), F.substring("body", F.lit(1), half).alias("d")), F.struct(F.lit(1).alias("ordinal"), F.substring(F.col("body"), half + 1, F.char_length("body")).alias("d")))
     data = bodies.select(F.concat(F.lit("file"), "n_regionkey").alias("attachment_id"), F.lit("s").alias("session_id"), F.lit("txt").alias("format"), F.explode(parts).alias("p"))
     s = Session(spark)
+    s.register("attachment$files", bodies.select(F.concat(F.lit("file"), "n_regionkey").alias("attachment_id"), F.lit(7).alias("user_id"), F.concat(F.lit("region "), "n_regionkey").alias("filename")))
     s.register("attachment$data", data.select("attachment_id", "session_id", "format", "p.ordinal", F.encode("p.d", "UTF-8").alias("data")))
-    return s.sql("SELECT attachment_id, match_no, line_number, byte_offset FROM attachment_grep('NATION_1')")
+    return s.sql("SELECT attachment_id, filename, user_id, byte_len, searchable, match_no, line_number, byte_offset, scan_snapshot FROM attachment_grep('NATION_1')")
 
 
 def document_graph(spark: SparkSession, sf_dir: str) -> Graph:
@@ -226,7 +227,7 @@ ORACLE_SQL = {
     "t_cjk": """SELECT n_nationkey, unnest([lower(n_name), '茶', '水', '壶', '茶水', '水壶', CAST(n_nationkey AS VARCHAR), '한', '국', '한국']) AS term, unnest([0, 1, 2, 3, 1, 2, 4, 5, 6, 5]) AS "at" FROM nation""",
     "t_maintained": f"SELECT doc AS entity_id, score, 'eventual' AS consistency, 1 AS covered_source_seq, 'READY' AS status FROM ({_bm25(['license'], ['text'], 50)})",
     "t_grep_attachments": """WITH lines AS (SELECT n_regionkey AS r, n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS line_number, coalesce(sum(length(n_name) + 1) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM nation)
-        SELECT 'file' || r AS attachment_id, row_number() OVER (PARTITION BY r ORDER BY line_number) - 1 AS match_no, line_number, CAST(place AS BIGINT) AS byte_offset FROM lines WHERE starts_with(n_name, 'NATION_1')""",
+        SELECT 'file' || r AS attachment_id, 'region ' || r AS filename, 7 AS user_id, (SELECT sum(length(n_name) + 1) - 1 FROM nation WHERE n_regionkey = r) AS byte_len, true AS searchable, 0 AS scan_snapshot, row_number() OVER (PARTITION BY r ORDER BY line_number) - 1 AS match_no, line_number, CAST(place AS BIGINT) AS byte_offset FROM lines WHERE starts_with(n_name, 'NATION_1')""",
     "t_search_nodes": "SELECT name, row_number() OVER (ORDER BY r DESC, id) AS rank, 'bounded_scan' AS mode FROM (SELECT DISTINCT source AS name, CASE WHEN source = 'src1' THEN 2 ELSE 1 END AS r, CAST(substr(source, 4) AS BIGINT) AS id FROM documents WHERE contains(source, 'src1'))",
     "t_phrase": f"WITH {_TOKENS}, hit AS (SELECT DISTINCT a.doc FROM toks a JOIN toks b ON a.doc = b.doc AND b.pos = a.pos + 1 JOIN toks c ON a.doc = c.doc AND c.pos = a.pos + 2 WHERE a.field = 'text' AND b.field = 'text' AND c.field = 'text' AND a.domain = 'en' AND a.term = 'all' AND b.term = 'rights' AND c.term = 'reserved') SELECT doc, round(score, 6) AS score FROM (" + _bm25(["all", "reserved", "rights"], ["text"], 1_000_000, "doc, score") + ") JOIN hit USING (doc) ORDER BY score DESC, doc LIMIT 1000",
     "t_grep": """SELECT page_id, k - 1 AS match_no, length(before) - length(replace(before, chr(10), '')) + 1 AS line_number, octet_length(encode(before)) AS byte_offset

@@ -26,6 +26,7 @@ class Report:
     covered_seq: int
     batches: int
     elapsed_ms: int
+    documents: int = 0  # that the batches took in
 
 
 class Maintainer:
@@ -89,7 +90,8 @@ class Maintainer:
         if not done:
             query.stop()
         covered = self.covered()
-        return Report("READY" if done and covered >= target else "TIMEOUT", target, covered, len(query.recentProgress), int(1000 * (time.time() - begun)))
+        took = sum(p["numInputRows"] for p in query.recentProgress)
+        return Report("READY" if done and covered >= target else "TIMEOUT", target, covered, len(query.recentProgress), int(1000 * (time.time() - begun)), took)
 
     # Reading
 
@@ -99,6 +101,9 @@ class Maintainer:
     def covered(self) -> int:
         return self._index().agg(F.max("seq")).first()[0] or 0
 
+    def documents(self) -> int:
+        return self.segments().select("doc").distinct().count()
+
     def segments(self) -> DataFrame:
         """The latest indexed state of every document."""
         index = self._index()

@@ -235,4 +235,4 @@ def test_snapshot(spark, harbour, tmp_path):
 
 
 def test_profile(harbour):
-    assert harbour.profile(harbour.query("MATCH (a)-[e]->(b) RETURN id(a) AS a")).first()["n_rows"] == 5
+    assert harbour.profile(harbour.query("MATCH (a)-[e]->(b) RETURN id(a) AS a")).first()["rows_returned"] == 5

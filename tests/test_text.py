@@ -174,7 +174,7 @@ def test_index_statements(spark, tmp_path, sample):
     assert s.sql("ALTER FULLTEXT GRAPH INDEX t ON kb WAIT").first()["status"] == "PAUSED"
     s.execute("ALTER FULLTEXT GRAPH INDEX t ON kb RESUME; ALTER FULLTEXT GRAPH INDEX t ON kb SYNC")
     row = s.sql("SHOW FULLTEXT GRAPH INDEXES ON kb").first()
-    assert (row["covered_seq"], row["source_seq"]) == (2, 2)
+    assert (row["covered_source_seq"], row["source_seq"], row["status"], len(row)) == (2, 2, "READY", 20)
     s.execute("DROP FULLTEXT GRAPH INDEX t ON kb; DROP GRAPH INDEX u ON kb")
     assert s.sql("SHOW FULLTEXT GRAPH INDEXES ON kb").count() == 0
 
