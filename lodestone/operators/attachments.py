@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from lodestone.sources.scratch import cut
 
 #: Formats that are searched as text, bytes in a chunk, and limits beyond which no partial answer is given.
 TEXT_FORMATS = ("txt", "md", "log", "csv", "json", "xml", "yaml", "yml", "html", "htm", "sql", "ini", "conf", "toml")
@@ -42,29 +45,24 @@ def directory(files: DataFrame, chunks: DataFrame) -> DataFrame:
 def matches(bodies: DataFrame, pattern: str, key: str, body: str = "body") -> DataFrame:
     """key, match_no, line_number (from 1), byte_offset (from 0), snippet: every place where pattern's bytes stand, overlaps not counted.
 
-    Each body is split at the pattern, so offsets are running sums of the parts before a match.
+    Each body is split at the pattern, and offsets are running sums of the parts before a match: the work is in
+    proportion to the body, however many matches it has.
     """
     if not pattern:
         raise GrepError("the pattern is empty")
-    size = len(pattern.encode())
-    parts = F.split(F.col(body), F.lit(_quoted(pattern)), -1)
-    rows = bodies.where(F.contains(F.col(body), F.lit(pattern))).withColumn("parts", parts)
-    # Offsets before match i: the bytes of the first i + 1 parts and of the i patterns between them.
-    grown = F.transform("parts", lambda p: F.struct(F.octet_length(p).cast("long").alias("b"), (F.char_length(p) - F.char_length(F.replace(p, F.lit("\n"), F.lit("")))).cast("long").alias("l")))
-    start = F.struct(F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("l"), F.array().cast("array<struct<b:bigint,l:bigint>>").alias("out"))
-    lines = pattern.count("\n")
-
-    def step(t, p):
-        b, line = t["b"] + p["b"], t["l"] + p["l"]
-        return F.struct((b + size).alias("b"), (line + lines).alias("l"), F.array_append(t["out"], F.struct(b.alias("b"), line.alias("l"))).alias("out"))
-
-    places = F.aggregate(grown, start, step, lambda t: F.slice(t["out"], F.lit(1), F.size(t["out"]) - 1))
-    rows = rows.select(key, body, F.posexplode(places).alias("match_no", "m"))
-    raw = F.encode(F.col(body), "UTF-8")
-    low = F.greatest(F.col("m.b") - AROUND, F.lit(0))
-    high = F.least(F.col("m.b") + size + AROUND, F.octet_length(body))
-    shown = F.regexp_replace(F.make_valid_utf8(F.substring(raw, (low + 1).cast("int"), (high - low).cast("int")).cast("string")), "^�+|�+$", "")
-    return rows.select(key, "match_no", (F.col("m.l") + 1).alias("line_number"), F.col("m.b").alias("byte_offset"), shown.alias("snippet"))
+    size, lines = len(pattern.encode()), pattern.count("\n")
+    rows = cut(bodies.where(F.contains(F.col(body), F.lit(pattern))).select(F.col(key), F.col(body).alias("body"), F.monotonically_increasing_id().alias("row_no")), "grep")
+    parts = rows.select("row_no", F.posexplode(F.split(F.col("body"), F.lit(_quoted(pattern)), -1)).alias("match_no", "part"), F.octet_length("body").alias("whole"))
+    breaks = F.char_length("part") - F.char_length(F.replace("part", F.lit("\n"), F.lit("")))
+    parts = parts.select("row_no", "match_no", "whole", F.octet_length("part").cast("long").alias("b"), breaks.cast("long").alias("l"))
+    before = W.partitionBy("row_no").orderBy("match_no")
+    places = parts.select("row_no", "match_no", "whole", (F.sum("b").over(before) + F.col("match_no") * size).alias("byte_offset"), (F.sum("l").over(before) + F.col("match_no") * lines + 1).alias("line_number"))
+    places = places.where(F.col("byte_offset") < F.col("whole")).drop("whole")  # the last part has no match behind it
+    out = places.join(rows, "row_no")
+    low = F.greatest(F.col("byte_offset") - AROUND, F.lit(0))
+    high = F.least(F.col("byte_offset") + size + AROUND, F.octet_length("body"))
+    shown = F.regexp_replace(F.make_valid_utf8(F.substring(F.encode("body", "UTF-8"), (low + 1).cast("int"), (high - low).cast("int")).cast("string")), "^\ufffd+|\ufffd+$", "")
+    return out.select(key, "match_no", "line_number", "byte_offset", shown.alias("snippet"))
 
 
 def _quoted(text: str) -> str:

@@ -17,18 +17,20 @@ MAX_TERM_BYTES = 512
 CHANNELS = ("terms", "phrase", "exact")
 
 
-def runs(text: Column) -> Column:
-    """array<struct<run, cjk, at>>: lower-cased runs with their first position."""
-    found = F.transform(F.regexp_extract_all(F.lower(text), F.lit(RUN), F.lit(0)), lambda r: F.struct(r.alias("run"), r.rlike(f"^[{CJK}]").alias("cjk"), F.char_length(r).alias("n")))
-    # Positions: a CJK run takes as many as it has characters.
-    start = F.struct(F.array().cast("array<struct<run:string,cjk:boolean,at:int>>").alias("out"), F.lit(0).alias("at"))
+#: Stands before a CJK character that follows another one directly.
+_JOINED = "\u0001"
 
-    def step(total, r):
-        return F.struct(F.array_append(total["out"], F.struct(r["run"].alias("run"), r["cjk"].alias("cjk"), total["at"].alias("at"))).alias("out"), (total["at"] + F.when(r["cjk"], r["n"]).otherwise(1)).alias("at"))
 
-    plain = F.transform(found, lambda r, i: F.struct(r["run"].alias("run"), r["cjk"].alias("cjk"), i.cast("int").alias("at")))
-    # Without CJK a run's place is its position, and the fold (quadratic in the number of runs) isn't needed.
-    return F.when(~F.exists(found, lambda r: r["cjk"]), plain).otherwise(F.aggregate(found, start, step, lambda t: t["out"]))
+def _steps(text: Column) -> Column:
+    """array<struct<own, after, at>>: one element for each position, a single CJK character or a whole other run.
+
+    own and after (the next element) begin with _JOINED where they belong to the run before them.
+    """
+    marked = F.regexp_replace(F.replace(F.lower(text), F.lit(_JOINED), F.lit(" ")), f"(?<=[{CJK}])(?=[{CJK}])", _JOINED)
+    own = F.regexp_extract_all(marked, F.lit(rf"{_JOINED}?[{CJK}]|[\p{{L}}\p{{N}}\p{{M}}_&&[^{CJK}]]+"), F.lit(0))
+    # Neighbours are zipped, so that no element looks back into the array and a text costs no more than its length.
+    pairs = F.arrays_zip(own.alias("own"), F.slice(own, F.lit(2), F.greatest(F.size(own), F.lit(1))).alias("after"))
+    return F.transform(pairs, lambda p, i: F.struct(p["own"].alias("own"), p["after"].alias("after"), i.cast("int").alias("at")))
 
 
 #: The bit of each channel in a token's set of channels.
@@ -38,34 +40,37 @@ BIT = {c: 1 << k for k, c in enumerate(CHANNELS)}
 def channel_tokens(text: Column) -> Column:
     """array<struct<term, at, channels>> of all channels: a token that several share stands once, with their bits."""
 
-    def single(r, channels):
-        return F.array(F.struct(r["run"].alias("term"), r["at"].alias("at"), F.lit(channels).alias("channels")))
-
-    def grams(r, n, channels):
-        last = F.char_length(r["run"]) - n
-        shown = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.struct(F.substring(r["run"], i + 1, F.lit(n)).alias("term"), (r["at"] + i).cast("int").alias("at"), F.lit(channels).alias("channels")))
-        return F.when(last >= 0, shown).otherwise(F.array().cast("array<struct<term:string,at:int,channels:int>>"))
+    def token(term, at, channels):
+        return F.struct(term.alias("term"), at.alias("at"), channels.cast("int").alias("channels"))
 
-    def expand(r):
-        many = F.concat(grams(r, 1, BIT["terms"] | BIT["phrase"]), grams(r, 2, BIT["terms"]), single(r, BIT["exact"]))
-        return F.when(r["cjk"], many).otherwise(single(r, sum(BIT.values())))
+    def plain(x):
+        return F.replace(x, F.lit(_JOINED), F.lit(""))
 
-    out = F.flatten(F.transform(runs(text), expand))
-    return F.filter(out, lambda t: F.octet_length(t["term"]) <= MAX_TERM_BYTES)
+    every, singles = F.lit(sum(BIT.values())), F.lit(BIT["terms"] | BIT["phrase"])
+    steps = _steps(text)
+    single = F.transform(steps, lambda s: token(plain(s["own"]), s["at"], F.when(s["own"].rlike(f"[{CJK}]"), singles).otherwise(every)))
+    double = F.transform(F.filter(steps, lambda s: F.startswith(F.coalesce(s["after"], F.lit("")), F.lit(_JOINED))), lambda s: token(plain(F.concat(s["own"], s["after"])), s["at"], F.lit(BIT["terms"])))
+    # Whole CJK runs, whose places are those of the elements that begin them.
+    starts = F.filter(steps, lambda s: s["own"].rlike(f"^[{CJK}]"))
+    zipped = F.arrays_zip(F.regexp_extract_all(F.lower(text), F.lit(f"[{CJK}]+"), F.lit(0)).alias("run"), starts.alias("start"))
+    whole = F.transform(zipped, lambda z: token(z["run"], z["start"]["at"], F.lit(BIT["exact"])))
+    return F.filter(F.concat(single, double, whole), lambda t: F.octet_length(t["term"]) <= MAX_TERM_BYTES)
 
 
 def tokens(text: Column, channel: str) -> Column:
-    """array<struct<term, at>> of one channel."""
+    """array<struct<term, at>> of one channel, by place."""
     if channel not in CHANNELS:
         raise ValueError(f"no channel {channel}")
     own = F.filter(channel_tokens(text), lambda t: t["channels"].bitwiseAND(F.lit(BIT[channel])) > 0)
-    return F.transform(own, lambda t: F.struct(t["term"], t["at"]))
+    placed = F.array_sort(F.transform(own, lambda t: F.struct(t["at"].alias("at"), t["term"].alias("term"))))
+    return F.transform(placed, lambda t: F.struct(t["term"].alias("term"), t["at"].alias("at")))
 
 
 def tokenised(segments: DataFrame, channel: str, text: str = "text") -> DataFrame:
     """segments with one row for each token: term and at, in place of the text."""
     kept = [c for c in segments.columns if c != text]
-    return segments.select(*kept, F.explode(tokens(F.col(text), channel)).alias("t")).select(*kept, "t.term", "t.at")
+    own = F.col("t.channels").bitwiseAND(F.lit(BIT[channel])) > 0
+    return segments.select(*kept, F.explode(channel_tokens(F.col(text))).alias("t")).where(own).select(*kept, "t.term", "t.at")
 
 
 def query_terms(spark, text: str, channel: str) -> list[tuple[str, int]]:

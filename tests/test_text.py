@@ -24,7 +24,9 @@ def test_channels(spark):
     text = "Oat_Milk 茶水壶 x"
     assert analysed(spark, text, "exact") == [("oat_milk", 0), ("茶水壶", 1), ("x", 4)]
     assert analysed(spark, text, "phrase") == [("oat_milk", 0), ("茶", 1), ("水", 2), ("壶", 3), ("x", 4)]
-    assert analysed(spark, text, "terms") == [("oat_milk", 0), ("茶", 1), ("水", 2), ("壶", 3), ("茶水", 1), ("水壶", 2), ("x", 4)]
+    assert analysed(spark, text, "terms") == [("oat_milk", 0), ("茶", 1), ("茶水", 1), ("水", 2), ("水壶", 2), ("壶", 3), ("x", 4)]
+    assert analysed(spark, "茶 水\u0001壶木", "terms") == [("茶", 0), ("水", 1), ("壶", 2), ("壶木", 2), ("木", 3)]
+    assert analysed(spark, "茶水" * 3000, "terms")[-3:] == [("茶", 5998), ("茶水", 5998), ("水", 5999)]
     assert analysed(spark, "a" * 600 + " b", "terms") == [("b", 1)]
     assert analysed(spark, "", "terms") == []
     assert analysed(spark, "ab中c", "exact") == [("ab", 0), ("中", 1), ("c", 2)]
