@@ -34,8 +34,8 @@ from lodestone.llm.common import U64, Rolling, materialize, mix64, ship, shuffle
 
 #: Bytes of text whose windows are anchored at once, and that make one suffix array (more where buckets are many).
 PIECE, BATCH, LARGEST_BATCH = 1 << 19, 6 << 20, 64 << 20
-#: Bytes of text whose entries make a bucket, and the limits to the number of buckets.
-BUCKET_BYTES, BUCKETS = 16 << 20, (96, 200_000)
+#: Bytes of text for a task (a task takes SHARE buckets, one after another, so tasks are near equal), and most tasks.
+TASK_BYTES, SHARE, TASKS = 32 << 20, 8, 25_000
 
 
 @dataclass(frozen=True)
@@ -304,12 +304,12 @@ def _scan(runs: DataFrame, cfg: Repeats, buckets: int, stored: DataFrame | None
 
 
 def _by_bucket(rows: DataFrame, buckets: int):
-    """Buckets are sized for a task each; a given number keeps adaptive execution from joining them into large ones."""
-    return rows.repartition(buckets, "bucket").groupBy("bucket")
+    """SHARE buckets for a task; a given number keeps adaptive execution from joining them into large ones."""
+    return rows.repartition(max(1, buckets // SHARE), "bucket").groupBy("bucket")
 
 
 def bucket_count(spark: SparkSession, n_bytes: int) -> int:
-    return max(BUCKETS[0], shuffle_partitions(spark), min(BUCKETS[1], -(-n_bytes // BUCKET_BYTES)))
+    return SHARE * max(shuffle_partitions(spark), min(TASKS, -(-n_bytes // TASK_BYTES)))
 
 
 # The windows of an edge: w (of the window's bytes) and their places.
@@ -498,8 +498,8 @@ class SuffixIndex:
     version before.  One writer at a time.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, cfg: Repeats = Repeats(), buckets: int = BUCKETS[0]):
-        """buckets holds for the life of the index: one for each 16 MB or so of the text that it is to reach."""
+    def __init__(self, spark: SparkSession, folder: str, cfg: Repeats = Repeats(), buckets: int = 96):
+        """buckets holds for the life of the index: SHARE for each 32 MB or so of the text that it is to reach."""
         self.spark, self.folder, self.cfg = spark, folder.rstrip("/"), cfg
         path = spark._jvm.org.apache.hadoop.fs.Path(self.folder)
         self._fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
