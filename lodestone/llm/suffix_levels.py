@@ -34,6 +34,8 @@ from lodestone.llm.common import U64, Rolling, materialize, mix64, ship, shuffle
 
 #: Bytes of text whose windows are anchored at once, and that make one suffix array (more where buckets are many).
 PIECE, BATCH, LARGEST_BATCH = 1 << 19, 6 << 20, 64 << 20
+#: Bytes of text whose windows are hashed one by one at once.
+WINDOWED = 2 << 20
 #: Bytes of text for a task (a task takes SHARE buckets, one after another, so tasks are near equal), and most tasks.
 TASK_BYTES, SHARE, TASKS = 32 << 20, 8, 25_000
 
@@ -347,36 +349,43 @@ def _edge_texts(joined: DataFrame, cfg: Repeats, buckets: int) -> DataFrame:
     kinds = (("head", np.uint64), ("batch", np.int32), ("doc", np.int64), ("tag", np.uint32), ("lo", np.int64), ("n", np.int32))
 
     def run(batches):
-        for batch in batches:
-            data, offsets = utf8(batch.column("text"))
-            edges = batch.column("edges")
-            values = edges.flatten()
-            many = np.diff(np.asarray(edges.offsets)) if len(edges) else np.zeros(0, np.int64)
-            who = np.repeat(np.arange(batch.num_rows), many)
-            lo, n = (np.asarray(values.field(k)).astype(np.int64) for k in (0, 1))
-            head, hot = np.asarray(values.field(2)).view(np.uint64), values.field(3).to_numpy(zero_copy_only=False).astype(bool)
-            number_, doc, tag = np.asarray(batch.column("batch"))[who], np.asarray(batch.column("doc"))[who], np.asarray(batch.column("tag")).astype(np.uint32)[who]
-            start, size = offsets[who] + lo, n + cfg.width - 1
-            number = ((head >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
-            single = _empty(_WINDOW)
-            if hot.any():
-                places = np.repeat(start[hot] - np.concatenate([[0], np.cumsum(n[hot])[:-1]]), n[hot]) + np.arange(int(n[hot].sum()))
-                single = {"w": np.concatenate([_window_hashes(data[s : s + z], np.arange(m), cfg) for s, z, m in zip(start[hot], size[hot], n[hot], strict=True)]), "batch": np.repeat(number_[hot], n[hot]), "doc": np.repeat(doc[hot], n[hot]), "tag": np.repeat(tag[hot], n[hot]), "lo": places - np.repeat(offsets[who][hot], n[hot])}
-            single, settled = _first_windows(single)
-            settled = _to_spans(settled)
-            by_window = (mix64(single["w"]) % U64(buckets)).astype(np.int64)
-            numbers, texts, places, singles, done = [], [], [], [], []
-            for b in range(buckets):
-                own = np.flatnonzero((number == b) & ~hot)
-                alone = by_window == b
-                if not len(own) and not alone.any() and (b or not len(settled["lo"])):
-                    continue
-                numbers.append(b)
-                texts.append(b"".join(data[s : s + z].tobytes() for s, z in zip(start[own], size[own], strict=True)))
-                places.append(pack({"head": head[own], "batch": number_[own], "doc": doc[own], "tag": tag[own], "lo": lo[own], "n": n[own].astype(np.int32)}, kinds))
-                singles.append(pack(_take(single, alone), _WINDOW))
-                done.append(pack(settled if not b else _empty(_SPAN), _SPAN))
-            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), *[pa.array(x, pa.binary()) for x in (texts, places, singles, done)]], ["bucket", "texts", "places", "singles", "done"])
+        for whole in batches:
+            # Windows take some forty times the bytes of their text, so few texts are taken at once.
+            for first, last in slices(utf8(whole.column("text"))[1], WINDOWED):
+                yield dealt_out(whole.slice(first, last - first))
+
+    def dealt_out(batch):
+        data, offsets = utf8(batch.column("text"))
+        edges = batch.column("edges")
+        values = edges.flatten()
+        many = np.diff(np.asarray(edges.offsets)) if len(edges) else np.zeros(0, np.int64)
+        who = np.repeat(np.arange(batch.num_rows), many)
+        lo, n = (np.asarray(values.field(k)).astype(np.int64) for k in (0, 1))
+        head, hot = np.asarray(values.field(2)).view(np.uint64), values.field(3).to_numpy(zero_copy_only=False).astype(bool)
+        number_, doc, tag = np.asarray(batch.column("batch"))[who], np.asarray(batch.column("doc"))[who], np.asarray(batch.column("tag")).astype(np.uint32)[who]
+        start, size = offsets[who] + lo, n + cfg.width - 1
+        number = ((head >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
+        single = _empty(_WINDOW)
+        if hot.any():
+            places = np.repeat(start[hot] - np.concatenate([[0], np.cumsum(n[hot])[:-1]]), n[hot]) + np.arange(int(n[hot].sum()))
+            single = {"w": np.concatenate([_window_hashes(data[s : s + z], np.arange(m), cfg) for s, z, m in zip(start[hot], size[hot], n[hot], strict=True)]), "batch": np.repeat(number_[hot], n[hot]), "doc": np.repeat(doc[hot], n[hot]), "tag": np.repeat(tag[hot], n[hot]), "lo": places - np.repeat(offsets[who][hot], n[hot])}
+        single, settled = _first_windows(single)
+        settled = _to_spans(settled)
+        by_window = (mix64(single["w"]) % U64(buckets)).astype(np.int64)
+        plain = np.flatnonzero(~hot)
+        plain = plain[np.argsort(number[plain], kind="stable")]
+        order = np.argsort(by_window, kind="stable")
+        single, by_window, number = _take(single, order), by_window[order], number[plain]
+        numbers = np.union1d(np.union1d(number, by_window), np.zeros(1 if len(settled["lo"]) else 0, np.int64)).astype(np.int64)
+        of_plain, of_single = ([np.searchsorted(x, numbers, side) for side in ("left", "right")] for x in (number, by_window))
+        texts, places, singles, done = [], [], [], []
+        for k, b in enumerate(numbers):
+            own = plain[of_plain[0][k] : of_plain[1][k]]
+            texts.append(b"".join(data[s : s + z].tobytes() for s, z in zip(start[own], size[own], strict=True)))
+            places.append(pack({"head": head[own], "batch": number_[own], "doc": doc[own], "tag": tag[own], "lo": lo[own], "n": n[own].astype(np.int32)}, kinds))
+            singles.append(pack(_take(single, slice(of_single[0][k], of_single[1][k])), _WINDOW))
+            done.append(pack(settled if not b else _empty(_SPAN), _SPAN))
+        return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), *[pa.array(x, pa.binary()) for x in (texts, places, singles, done)]], ["bucket", "texts", "places", "singles", "done"])
 
     def bucket(table: pa.Table) -> pa.Table:
         parts, spans = [_empty(_WINDOW)], [_empty(_SPAN)]
