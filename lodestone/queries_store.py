@@ -135,9 +135,31 @@ def s_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.sql("PROFILE CYPHER star 'MATCH (c:Customer)-[:PLACED]->(o:Order) RETURN id(o) AS o'").select("rows_returned", "access", (F.col("elapsed_ms") >= 0).alias("timed"), (F.col("entries_read") >= F.col("rows_returned")).alias("read"))
 
 
-QUERIES = {f.__name__: f for f in (s_graph_transaction, s_isolation, s_dictionary, s_files, s_describe, s_constraints, s_rejected, s_show_graphs, s_snapshot, s_budgets, s_profile)}
+def s_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON paths: a value, whether there is one, and a changed document."""
+    s = session(spark, sf_dir)
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    shown = F.struct(F.struct(F.col("n_name").alias("name"), F.array("n_regionkey", "n_nationkey").alias("keys")).alias("nation"))
+    s.register("docs", nation.select("n_nationkey", F.to_json(shown).alias("doc")))
+    return s.sql("SELECT n_nationkey, json_get(doc, 'nation.name') AS name, json_get(doc, 'nation.keys[1]') AS key, json_exists(doc, 'nation.keys[2]') AS third, json_get(json_set(doc, 'nation.seen', n_nationkey), 'nation.seen') AS seen, json_exists(json_set(doc, 'nation.keys', NULL), 'nation.keys') AS kept FROM docs")
+
+
+def s_attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The directory of attachments: every page as a file in chunks of 8 KiB."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.concat(F.lit("page"), "page_id").alias("attachment_id"), F.encode("html", "UTF-8").alias("body"), "url")
+    starts = F.sequence(F.lit(0), F.greatest(F.octet_length("body") - 1, F.lit(0)), F.lit(8192))
+    chunks = pages.select("attachment_id", F.lit("s").alias("session_id"), F.lit("html").alias("format"), "body", F.posexplode(starts).alias("ordinal", "at"))
+    s = Session(spark)
+    s.register("attachment$files", pages.select("attachment_id", F.col("url").alias("filename"), F.lit("text/html").alias("media_type")))
+    s.register("attachment$data", chunks.select("attachment_id", "session_id", "format", "ordinal", F.substring(F.col("body"), F.col("at") + 1, F.lit(8192)).alias("data")))
+    return s.sql("SELECT attachment_id, session_id, filename, file_type, media_type, byte_len, sha256, searchable, search_mode, user_id IS NULL AS nobody FROM attachment$")
+
+
+QUERIES = {f.__name__: f for f in (s_json, s_attachments, s_graph_transaction, s_isolation, s_dictionary, s_files, s_describe, s_constraints, s_rejected, s_show_graphs, s_snapshot, s_budgets, s_profile)}
 
 ORACLE_SQL = {
+    "s_json": "SELECT n_nationkey, n_name AS name, CAST(n_nationkey AS VARCHAR) AS key, false AS third, CAST(n_nationkey AS VARCHAR) AS seen, true AS kept FROM nation",
+    "s_attachments": "SELECT 'page' || page_id AS attachment_id, 's' AS session_id, url AS filename, 'html' AS file_type, 'text/html' AS media_type, octet_length(encode(html)) AS byte_len, sha256(html) AS sha256, true AS searchable, 'literal' AS search_mode, true AS nobody FROM pages WHERE html IS NOT NULL",
     "s_graph_transaction": "SELECT n_name AS name, 'true' AS seen FROM nation",
     "s_isolation": "SELECT count(*) AS n, 'inside' AS who FROM orders WHERE o_orderstatus <> 'F' UNION ALL SELECT count(*), 'outside' FROM orders UNION ALL SELECT count(*), 'later' FROM orders WHERE o_orderstatus <> 'F'",
     "s_dictionary": "SELECT * FROM (VALUES ('held', 'id', 'integer'), ('held', 'status', 'varchar2'), ('held', 'price', 'number'), ('held', 'table', 'table'), ('atlas', 'graph', 'graph'), ('held_id', 'held', 'id')) t(name, part, what)",

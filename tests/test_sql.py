@@ -191,3 +191,57 @@ def test_attachments(spark):
     got = rows(s.sql("SELECT attachment_id, line_number, byte_offset FROM attachment_grep('needle')"))
     assert got == [("f1", 1, 4), ("f1", 2, 17), ("f1", 3, 29)]
     assert s.sql("SELECT * FROM attachment_grep('needle', 's2')").count() == 0
+
+
+def test_json_functions(spark):
+    s = Session(spark)
+    s.register("d", spark.createDataFrame([(1, '{"a": {"b": [1, null, "x"]}, "n": null}'), (2, "not json"), (3, None), (4, '{"a": 5}')], "k int, doc string"))
+    got = rows(s.sql("SELECT k, json_get(doc, 'a.b[2]') AS g, json_get(doc, 'n') AS n, json_exists(doc, 'n') AS e, json_exists(doc, 'a.b[1]') AS f FROM d"))
+    assert got == [(1, "x", None, True, True), (2, None, None, False, False), (3, None, None, None, None), (4, None, None, False, False)]
+    import json
+
+    set_ = dict(s.sql("SELECT k, json_set(doc, 'a.c', 7) AS t FROM d").collect())
+    assert json.loads(set_[1]) == {"a": {"b": [1, None, "x"], "c": 7}, "n": None} and json.loads(set_[4]) == {"a": {"c": 7}} and set_[3] is None
+    for bad in ("SELECT json_get(doc, 'a..b') AS x FROM d", "SELECT json_get(doc, '*') AS x FROM d", "SELECT json_get(k, 'a') AS x FROM d", "SELECT json_set(doc, 'a[0]', 1) AS x FROM d"):
+        with pytest.raises(SqlError):
+            s.sql(bad)
+
+
+def test_changes_rewrite_parts_with_hits(spark, tmp_path):
+    s = Session(spark, tmp_path.as_uri())
+    s.execute("CREATE TABLE t (id INTEGER NOT NULL, x VARCHAR2(4)); CREATE UNIQUE INDEX u ON t (id)")
+    for k in (1, 2, 3):
+        s.execute(f"INSERT INTO t VALUES ({k}, 'a'), ({k + 10}, 'b')")
+    before = s.catalogue["tables"]["t"]["places"]
+    assert s.execute("UPDATE t SET x = 'c' WHERE id = 2")[0].affected == 1
+    after = s.catalogue["tables"]["t"]["places"]
+    assert len(after) == 3 and len(set(before) & set(after)) == 2
+    assert s.execute("DELETE FROM t WHERE id > 100")[0].affected == 0 and s.catalogue["tables"]["t"]["places"] == after
+    with pytest.raises(SqlError, match="unique"):
+        s.execute("UPDATE t SET id = 11 WHERE id = 2")
+    assert s.execute("DELETE FROM t WHERE x = 'b'")[0].affected == 3
+    assert rows(s.sql("SELECT id, x FROM t")) == [(1, "a"), (2, "c"), (3, "a")]
+
+
+def test_client(spark, tmp_path):
+    from lodestone import client
+
+    with client.connect(spark, tmp_path.as_uri()) as c:
+        cur = c.cursor()
+        cur.execute("CREATE TABLE t (id INTEGER, x VARCHAR2(9))")
+        cur.executemany("INSERT INTO t VALUES (:id, :x)", [{"id": k, "x": f"r{k}"} for k in range(4)])
+        assert cur.rowcount == 4
+        assert client.connect(spark, tmp_path.as_uri()).cursor().execute("SELECT count(*) AS n FROM t").fetchone() == (0,)
+        c.commit()
+        cur.execute("SELECT id, x FROM t WHERE id >= :low ORDER BY id", {"low": 1})
+        assert [d[0] for d in cur.description] == ["id", "x"] and cur.fetchone()[1] == "r1" and len(cur.fetchmany(1)) == 1 and [r[1] for r in cur] == ["r3"] and cur.fetchone() is None
+        cur.execute("DELETE FROM t")
+        c.rollback()
+        assert cur.execute("SELECT count(*) AS n FROM t").fetchall() == [(4,)]
+        with pytest.raises(client.ProgrammingError):
+            cur.execute("SELECT nothing FROM t")
+        with pytest.raises(client.ProgrammingError):
+            cur.execute("INSERT INTO t VALUES (9, 'x')").fetchone()
+        c.rollback()
+    with pytest.raises(client.ProgrammingError):
+        c.cursor()
