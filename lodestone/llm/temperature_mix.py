@@ -90,13 +90,15 @@ def mix(docs: DataFrame, repetition: float | None = 2.0, entropy: float | None =
 
     Every row appears once for each whole pass over its source, and once more if the partial pass reaches it.  Null
     sources form a source of their own; texts that are null or empty have no tokens and follow the passes.  Rows
-    that repeat a key are kept.  Columns of docs with the names added here are replaced.  Blocks (hashes of the
+    that repeat a key are kept; rows without a key are dealt by their text.  Columns of docs with the names added here are replaced.  Blocks (hashes of the
     key) split the largest source into `blocks` parts, and only blocks at a budget's edge are counted row by row.
     """
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("copy", "mix_block", "mix_order")])
     named = F.when(F.col(source).isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col(source).cast("string")))
-    block = F.pmod(F.xxhash64(F.col(key)), F.lit(blocks)).cast("int")
-    place = _permuted(F.col(key), seed=seed)
+    # Rows without a key are told apart by their text, so that they are no block of their own.
+    block = F.pmod(F.when(F.col(key).isNull(), F.xxhash64(text)).otherwise(F.xxhash64(key)), F.lit(blocks)).cast("int")
+    known = F.coalesce(F.col(key).cast("string"), F.concat(F.lit("~"), F.xxhash64(text).cast("string")))
+    place = _permuted(known, seed=seed)
     slim = materialize(docs.select(named.alias("mix_source"), block.alias("mix_block"), place.alias("place"), token_count(text).alias("n")), "mix")
     sums = materialize(slim.groupBy("mix_source", "mix_block").agg(F.sum("n").alias("tokens")), "mix-sums")
     plan = weights(materialize(sums.groupBy(F.col("mix_source").alias("source")).agg(F.sum("tokens").alias("tokens")), "mix-totals"), repetition, entropy, budget)
@@ -119,4 +121,4 @@ def mix(docs: DataFrame, repetition: float | None = 2.0, entropy: float | None =
     rows = docs.withColumns({of: named, at: block}).join(dealt, [of, at])
     times = F.col(passes) + (place <= F.col(cut)).cast("int")
     rows = rows.withColumn("copy", F.explode(F.filter(F.sequence(F.lit(0), F.col(passes)), lambda i: i < times)))
-    return rows.select(*docs.columns, "copy", F.col(at).alias("mix_block"), _permuted(F.col(key), F.col("copy"), seed=seed).alias("mix_order"))
+    return rows.select(*docs.columns, "copy", F.col(at).alias("mix_block"), _permuted(known, F.col("copy"), seed=seed).alias("mix_order"))

@@ -520,6 +520,15 @@ def test_mixing_against_brute_force(spark):
     assert got == want
 
 
+def test_mixing_without_keys(spark):
+    """Rows without a key are dealt one by one, not all or none."""
+    draw = random.Random(29)
+    rows = [(None, prose(draw, 10), None, "b", 0) for _ in range(60)] + [(k, prose(draw, 10), None, "a", 0) for k in range(100)]
+    got = Counter(r["text"] for r in temperature_mix.mix(spark.createDataFrame(rows, SCHEMA), repetition=1.5, blocks=8).collect())
+    own = [got[r[1]] for r in rows[:60]]
+    assert set(own) == {1, 2} and 85 <= sum(own) <= 90 and all(got[r[1]] == 1 for r in rows[60:])
+
+
 def test_mixing_many_sources(spark):
     """The entropy target over thousands of sources, against a bisection over all of them."""
     sizes = [(f"s{k}", 1 + (k * k) % 9973) for k in range(3000)]
