@@ -17,6 +17,8 @@ from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -171,6 +173,13 @@ class Describer:
         """corners x (tests / 64): all bits."""
         return np.packbits(bits, axis=1).view(np.int64)
 
+    def masks(self) -> np.ndarray:
+        """tables x (tests / 64): the bits of each table's subset, as words() places them."""
+        bits = np.zeros((len(self.subsets), self.s.tests), bool)
+        for own, sub in zip(bits, self.subsets, strict=True):
+            own[sub] = True
+        return self.words(bits)
+
 
 _CORNER = "array<struct<x:float,y:float,angle:float,scale:float,keys:array<bigint>,bits:array<bigint>>>"
 
@@ -225,6 +234,21 @@ def _entries(described: DataFrame, owner: str, prefix: str, settings: Settings)
     return keyed.withColumn("code", F.shiftleft("key", 7) + F.col("tbl")).drop("tbl", "key")
 
 
+def corner_pairs(asked: DataFrame, stored: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """Corners of asked (query, corners) and of stored (digest, corners) that share a key and differ in few bits.
+
+    A pair whose keys agree in several tables is one row: only the first of these tables reports it.
+    """
+    left, right = _entries(asked, "query", "q", settings), _entries(stored, "digest", "m", settings)
+    differ = [F.col(f"qb{i}").bitwiseXOR(F.col(f"mb{i}")) for i in range(settings.tests // 64)]
+    met = (left["code"] == right["code"]) & (sum((F.bit_count(d) for d in differ), F.lit(0)) <= settings.distance)
+    for tbl, mask in enumerate(Describer(settings).masks()[:-1]):
+        # Keys agree where no bit of the table's subset differs.
+        inside = [d.bitwiseAND(F.lit(int(m)).cast("bigint")) != 0 for d, m in zip(differ, mask, strict=True)]
+        met &= (left["code"].bitwiseAND(F.lit(127)) <= tbl) | reduce(or_, inside)
+    return left.join(right, met).drop("code")
+
+
 def find_copies(media: DataFrame, queries: DataFrame, settings: Settings = Settings(), key: str = "media_id", image: str = "image") -> DataFrame:
     """Rows of two kinds: `member`, one for each row of media, and `match`, one for each query and class that it copies.
 
@@ -238,9 +262,7 @@ def find_copies(media: DataFrame, queries: DataFrame, settings: Settings = Setti
     stored = described.where("digest is not null").groupBy("digest").agg(F.first("corners").alias("corners"))
     asked = describe(queries, settings.asked_scales, settings, key, image).select(F.col(key).alias("query_id"), "digest", "corners").where("digest is not null")
     asked = asked.groupBy("query_id", F.col("digest").alias("query_digest")).agg(F.first("corners").alias("corners"))
-    left, right = _entries(asked.select(F.struct("query_id", "query_digest").alias("query"), "corners"), "query", "q", settings), _entries(stored, "digest", "m", settings)
-    apart = sum((F.bit_count(F.col(f"qb{i}").bitwiseXOR(F.col(f"mb{i}"))) for i in range(settings.tests // 64)), F.lit(0))
-    pairs = left.join(right, (left["code"] == right["code"]) & (apart <= settings.distance)).drop("code")
+    pairs = corner_pairs(asked.select(F.struct("query_id", "query_digest").alias("query"), "corners"), stored, settings)
     turn = F.pmod(F.col("mangle") - F.col("qangle"), F.lit(2 * np.pi))
     size = F.col("mscale") / F.col("qscale")
     x = F.col("mx") - size * (F.cos(turn) * F.col("qx") - F.sin(turn) * F.col("qy"))

@@ -268,6 +268,31 @@ def test_image_copies_against_brute_force(spark):
     assert len(got & want) >= 0.9 * len(want) and (900, 900) in got
 
 
+def test_image_copies_pairs_of_corners_once(spark):
+    """In a group of near copies, corners that meet in several tables are one row, and no pair is lost."""
+    draw, s = np.random.default_rng(6), image_copies.Settings(tables=3)
+    base = draw.normal(size=64)
+    images = image_copies.drawn(np.stack([base + draw.normal(0, 0.08, 64) for _ in range(8)] + [draw.normal(size=64) for _ in range(3)]), image_copies.textures(64, image_copies.SIDE))
+    shape = "media_id bigint, image binary"
+    stored = spark.createDataFrame([(i, image_copies.encode_pgm(p)) for i, p in enumerate(images)], shape)
+    asked = spark.createDataFrame([(i, image_copies.encode_pgm(image_copies.edited(images[i], 50 * i))) for i in (0, 1, 3, 9)], shape)
+    stored = image_copies.describe(stored, s.stored_scales, s).select(F.col("media_id").alias("digest"), "corners")
+    asked = image_copies.describe(asked, s.asked_scales, s).select(F.col("media_id").alias("query"), "corners")
+    want, met = set(), 0
+    others = [(r["digest"], r["corners"]) for r in stored.collect()]
+    unpacked = {d: (np.array([c["keys"] for c in corners]), np.unpackbits(np.array([c["bits"] for c in corners]).view(np.uint8), axis=1)) for d, corners in others}
+    for r in asked.collect():
+        for qn, c in enumerate(r["corners"]):
+            bits = np.unpackbits(np.array(c["bits"]).view(np.uint8))
+            for d, (keys, far) in unpacked.items():
+                shared = (keys == np.array(c["keys"])).sum(1) * ((far != bits).sum(1) <= s.distance)
+                want |= {(r["query"], d, qn, int(mn)) for mn in np.flatnonzero(shared)}
+                met += int(shared.sum())
+    got = Counter(image_copies.corner_pairs(asked, stored, s).select("query", "digest", "qn", "mn").collect())
+    assert got == Counter(want) and met > 1.1 * len(want)
+    assert len({(q, d) for q, d, _, _ in want if q < 8 and d < 8}) >= 20  # the group's links
+
+
 def test_image_copies_resized_turned_noisy(spark):
     """Recall of edits that change every pixel, on maps of 128 pixels."""
     side, draw = 128, np.random.default_rng(4)
