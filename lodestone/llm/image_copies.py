@@ -3,8 +3,9 @@
 Corners are taken at several scales; each gets an orientation (intensity centroid) and a binary descriptor of
 orientation-normalised intensity tests.  Descriptors meet in Hamming tables: each table keys a descriptor by a fixed
 subset of its bits, and an equi-join on (table, key) brings candidates together, of which those stay whose whole
-descriptors differ in few bits.  Matches of two images then vote for a rotation, a scale and a shift; enough votes for
-one transform, from corners spread over the image, make a copy.
+descriptors differ in few bits.  Two images that meet in a few corners are then compared whole, every corner with every
+other, and the matches vote for a rotation, a scale and a shift; enough votes for one transform, from corners spread over
+the image, make a copy.
 
 Every corner counts: an image has as many as its area holds, and none is dropped for being weak.  Stored images are
 described at three sizes from full to half and queries, which are fewer, at thirteen, so that copies from half to
@@ -16,7 +17,7 @@ Images are binary grey maps (PGM, "P5"), the one media format that needs no deco
 from __future__ import annotations
 
 import hashlib
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 from operator import or_
 
@@ -40,6 +41,9 @@ class Settings:
     radius: int = 10
     blur: int = 1  # of what the tests compare, beyond the smoothing of the image
     inliers: int = 4
+    meetings: int = 2  # corners of a query that must meet an image's in the tables before the two are compared whole
+    compared: int = 1 << 26  # pairs of corners up to which images are compared whole; beyond, by `large_tables` tables
+    large_tables: int = 16
     least_response: float = 1e-4  # of intensities in [0, 1]; flat patches have no corners
     stack_bytes: int = 4 << 20  # pixels that are described at once
 
@@ -181,6 +185,102 @@ class Describer:
         return self.words(bits)
 
 
+def packed_type(settings: Settings) -> np.dtype:
+    """A corner as the images' comparison reads it."""
+    return np.dtype([("x", "<f4"), ("y", "<f4"), ("angle", "<f4"), ("scale", "<f4"), ("bits", "<u8", (settings.tests // 64,))])
+
+
+class Comparer:
+    """Compares two images' corners, packed."""
+
+    def __init__(self, s: Settings):
+        self.s, self.type = s, packed_type(s)
+        self.describer = Describer(replace(s, tables=s.large_tables))
+        self.block = 1 << 17  # pairs of corners at once
+        self.halves = np.stack(np.meshgrid(*[[0.0, 0.5]] * 3, indexing="ij"), -1).reshape(-1, 3)
+
+    def __call__(self, asked: bytes, stored: bytes) -> tuple[int, float, float, float] | None:
+        """inliers, mean sine and cosine of the turn, and mean size of the best transform; None if it has too few."""
+        q, m = np.frombuffer(asked, self.type), np.frombuffer(stored, self.type)
+        place, n = np.unique(np.column_stack([m["x"] // 4, m["y"] // 4]), axis=0, return_inverse=True)[1].ravel(), max(1, len(m))
+        bins, sums, held, places = [], [], [], []
+        for qn, mn in self._near(q, m):
+            every, turn, size = self._votes(q[qn], m[mn])
+            own, which = np.unique(every, return_inverse=True)
+            # No corner of q is in two blocks, so their counts add up.
+            corners = np.bincount(np.unique(which * len(q) + np.tile(qn, len(self.halves))) // len(q), minlength=len(own))
+            weights = [np.bincount(which, np.tile(w, len(self.halves)), len(own)) for w in (np.ones(len(qn)), np.sin(turn), np.cos(turn), size)]
+            at = np.unique(which * n + np.tile(place[mn], len(self.halves)))
+            bins.append(own)
+            sums.append(np.stack([corners, *weights], 1))
+            held.append(own[at // n])
+            places.append(at % n)
+        if not bins:
+            return None
+        own, which = np.unique(np.concatenate(bins), return_inverse=True)
+        total = np.zeros((len(own), 5))
+        np.add.at(total, which, np.concatenate(sums))
+        spread = np.bincount(np.unique(np.searchsorted(own, np.concatenate(held)) * n + np.concatenate(places)) // n, minlength=len(own))
+        inliers = np.minimum(total[:, 0].astype(np.int64), spread)
+        best = len(own) - 1 - int(np.argmax(inliers[::-1]))  # of equal ones, the last bin
+        if inliers[best] < self.s.inliers:
+            return None
+        _, votes, sin, cos, size = total[best]
+        return int(inliers[best]), sin / votes, cos / votes, size / votes
+
+    def _near(self, q: np.ndarray, m: np.ndarray):
+        """Blocks of (corner of q, corner of m) whose descriptors differ in few bits, each of other corners of q."""
+        if len(q) * len(m) > self.s.compared:
+            yield from self._near_by_tables(q, m)
+            return
+        step = max(1, self.block // max(1, len(m)))
+        for at in range(0, len(q), step):
+            apart = np.zeros((len(q[at : at + step]), len(m)), np.uint16)
+            for w in range(q["bits"].shape[1]):
+                apart += np.bitwise_count(q["bits"][at : at + step, None, w] ^ m["bits"][None, :, w])
+            qn, mn = np.nonzero(apart <= self.s.distance)
+            if len(qn):
+                yield qn + at, mn
+
+    def _near_by_tables(self, q: np.ndarray, m: np.ndarray):
+        asked, stored = (np.concatenate([self.describer.keys(np.unpackbits(np.ascontiguousarray(x["bits"][at : at + 4096]).view(np.uint8), axis=1).astype(bool)) for at in range(0, len(x), 4096)]) for x in (q, m))
+        order = np.argsort(stored, axis=0, kind="stable")
+        first, last = (np.stack([np.searchsorted(stored[order[:, t], t], asked[:, t], side) for t in range(self.s.large_tables)], 1) for side in ("left", "right"))
+        until = np.concatenate([[0], np.cumsum((last - first).sum(1))])
+        at = 0
+        while at < len(q):
+            # As many corners as meet a block of others; one that meets more stands alone.
+            end = max(at + 1, int(np.searchsorted(until, until[at] + self.block, "right")) - 1)
+            found = []
+            for t in range(self.s.large_tables):
+                count = (last - first)[at:end, t]
+                qn = np.repeat(np.arange(at, end), count)
+                mn = order[np.repeat(first[at:end, t] - np.cumsum(count) + count, count) + np.arange(len(qn)), t]
+                near = np.bitwise_count(q["bits"][qn] ^ m["bits"][mn]).sum(1) <= self.s.distance
+                qn, mn = qn[near], mn[near]
+                new = ~(asked[qn, :t] == stored[mn, :t]).any(1)  # once, by the first table
+                found.append((qn[new], mn[new]))
+            qn, mn = (np.concatenate(x) for x in zip(*found, strict=True))
+            if len(qn):
+                yield qn, mn
+            at = end
+
+    def _votes(self, q: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bins of each vote as numbers, one for each choice of halves (they overlap by half, so no cluster is cut by a border), turn and size."""
+        turn = np.mod(m["angle"].astype(float) - q["angle"], 2 * np.pi)
+        size = m["scale"].astype(float) / q["scale"]
+        x = m["x"] - size * (np.cos(turn) * q["x"] - np.sin(turn) * q["y"])
+        y = m["y"] - size * (np.sin(turn) * q["x"] + np.cos(turn) * q["y"])
+        bt, bs = turn / (2 * np.pi / 12), np.floor(np.log2(size) * 2 + 0.5) + 32
+        bins = []
+        for k, (h1, h2, h3) in enumerate(self.halves):
+            number = np.zeros(len(q), np.int64)
+            for part, bits in ((np.mod(np.floor(bt + h1), 12), 4), (bs, 7), (np.floor(x / 24 + h2) + (1 << 20), 21), (np.floor(y / 24 + h3) + (1 << 20), 21), (np.full(len(q), k), 3)):
+                number = (number << bits) + part.astype(np.int64)
+            bins.append(number)
+        return np.concatenate(bins), turn, size
+
+
 _CORNER = "array<struct<x:float,y:float,angle:float,scale:float,keys:array<bigint>,bits:array<bigint>>>"
 
 
@@ -191,7 +291,7 @@ def _lists(values: np.ndarray) -> pa.Array:
 
 
 def describe(media: DataFrame, scales: tuple[float, ...], settings: Settings = Settings(), key: str = "media_id", image: str = "image") -> DataFrame:
-    """Per row: key, digest (128 bits, of the image) and corners. What doesn't decode, null too, has a null digest and no corners."""
+    """Per row: key, digest (128 bits, of the image), corners, and these packed. What doesn't decode, null too, has a null digest and no corners."""
     ship(media.sparkSession)
 
     def run(batches):
@@ -218,12 +318,18 @@ def describe(media: DataFrame, scales: tuple[float, ...], settings: Settings = S
         d = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
         d = {k: v[np.argsort(d["row"], kind="stable")] for k, v in d.items()}
         fields = [pa.array(d[f].astype(np.float32)) for f in ("x", "y", "angle", "scale")] + [_lists(describer.keys(d["bits"])), _lists(describer.words(d["bits"]))]
+        bounds = np.searchsorted(d["row"], np.arange(len(raw) + 1))
         corners = pa.StructArray.from_arrays(fields, ["x", "y", "angle", "scale", "keys", "bits"])
-        corners = pa.ListArray.from_arrays(pa.array(np.searchsorted(d["row"], np.arange(len(raw) + 1)).astype(np.int32)), corners)
+        corners = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), corners)
+        packed = np.zeros(len(d["row"]), packed_type(settings))
+        for f in ("x", "y", "angle", "scale"):
+            packed[f] = d[f]
+        packed["bits"] = describer.words(d["bits"]).view(np.uint64)
+        packed = [packed[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         digests = [hashlib.blake2b(x, digest_size=16).digest() if p is not None else None for x, p in zip(raw, pixels, strict=True)]
-        return pa.RecordBatch.from_arrays([keys, pa.array(digests, pa.binary()), corners], [key, "digest", "corners"])
+        return pa.RecordBatch.from_arrays([keys, pa.array(digests, pa.binary()), corners, pa.array(packed, pa.binary())], [key, "digest", "corners", "packed"])
 
-    return media.select(key, image).mapInArrow(run, f"`{key}` {media.schema[key].dataType.simpleString()}, digest binary, corners {_CORNER}")
+    return media.select(key, image).mapInArrow(run, f"`{key}` {media.schema[key].dataType.simpleString()}, digest binary, corners {_CORNER}, packed binary")
 
 
 def _entries(described: DataFrame, owner: str, prefix: str, settings: Settings) -> DataFrame:
@@ -249,6 +355,22 @@ def corner_pairs(asked: DataFrame, stored: DataFrame, settings: Settings = Setti
     return left.join(right, met).drop("code")
 
 
+def compare(pairs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """Rows of query, digest, asked and stored (packed corners) that are copies: query, digest and the best transform."""
+    ship(pairs.sparkSession)
+
+    def run(batches):
+        comparer = Comparer(settings)
+        for batch in batches:
+            found = [comparer(a.as_py(), b.as_py()) for a, b in zip(batch.column("asked"), batch.column("stored"), strict=True)]
+            rows = pa.array([k for k, f in enumerate(found) if f], pa.int64())
+            best = zip(*[f for f in found if f], strict=True) if len(rows) else [[]] * 4
+            values = [pa.array(list(v), t) for v, t in zip(best, (pa.int64(), *[pa.float64()] * 3), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("query").take(rows), batch.column("digest").take(rows), *values], ["query", "digest", "inliers", "ts", "tc", "size"])
+
+    return pairs.select("query", "digest", "asked", "stored").mapInArrow(run, "query binary, digest binary, inliers bigint, ts double, tc double, size double")
+
+
 def find_copies(media: DataFrame, queries: DataFrame, settings: Settings = Settings(), key: str = "media_id", image: str = "image") -> DataFrame:
     """Rows of two kinds: `member`, one for each row of media, and `match`, one for each query and class that it copies.
 
@@ -258,33 +380,21 @@ def find_copies(media: DataFrame, queries: DataFrame, settings: Settings = Setti
     repeat a key are members; classes whose keys are all null have a null class_id.  Other columns are ignored.
     """
     described = materialize(describe(media, settings.stored_scales, settings, key, image), "media")
-    classes = described.where("digest is not null").groupBy("digest").agg(F.min(key).alias("class_id"))
-    stored = described.where("digest is not null").groupBy("digest").agg(F.first("corners").alias("corners"))
-    asked = describe(queries, settings.asked_scales, settings, key, image).select(F.col(key).alias("query_id"), "digest", "corners").where("digest is not null")
-    asked = asked.groupBy("query_id", F.col("digest").alias("query_digest")).agg(F.first("corners").alias("corners"))
-    pairs = corner_pairs(asked.select(F.struct("query_id", "query_digest").alias("query"), "corners"), stored, settings)
-    turn = F.pmod(F.col("mangle") - F.col("qangle"), F.lit(2 * np.pi))
-    size = F.col("mscale") / F.col("qscale")
-    x = F.col("mx") - size * (F.cos(turn) * F.col("qx") - F.sin(turn) * F.col("qy"))
-    y = F.col("my") - size * (F.sin(turn) * F.col("qx") + F.cos(turn) * F.col("qy"))
-    vote = F.struct("qn", "mn", *[c.cast("float").alias(n) for c, n in ((turn, "turn"), (size, "size"), (x, "sx"), (y, "sy"), (F.col("mx"), "mx"), (F.col("my"), "my"))])
-    # At most corners x corners votes for a pair of images; most pairs have too few to go on.
-    votes = pairs.select("query", "digest", vote.alias("v")).groupBy("query", "digest").agg(F.collect_set("v").alias("votes"))
-    votes = votes.where(F.size(F.array_distinct(F.col("votes.qn"))) >= settings.inliers).select("query", "digest", F.explode("votes").alias("v")).select("query", "digest", "v.*")
-    # Bins overlap by half, so no cluster is cut by a border.
-    binned = votes
-    for half in ("h1", "h2", "h3"):
-        binned = binned.withColumn(half, F.explode(F.array(F.lit(0.0), F.lit(0.5))))
-    place = F.struct(F.floor(F.col("mx") / 4), F.floor(F.col("my") / 4))
-    binned = binned.groupBy(
-        "query", "digest", "h1", "h2", "h3", F.pmod(F.floor(F.col("turn") / (2 * np.pi / 12) + F.col("h1")), F.lit(12)).alias("bt"), F.round(F.log2("size") * 2).alias("bs"),
-        F.floor(F.col("sx") / 24 + F.col("h2")).alias("bx"), F.floor(F.col("sy") / 24 + F.col("h3")).alias("by"),
-    ).agg(F.least(F.count_distinct("qn"), F.count_distinct(place)).alias("inliers"), F.avg(F.sin("turn")).alias("ts"), F.avg(F.cos("turn")).alias("tc"), F.avg("size").alias("size"))
-    best = binned.where(F.col("inliers") >= settings.inliers).groupBy("query", "digest").agg(F.max_by(F.struct("inliers", "ts", "tc", "size"), F.struct("inliers", "bt", "bs", "bx", "by")).alias("b"))
-    out = best.join(classes.select("digest", "class_id"), "digest")
-    rotation = F.pmod(F.round(F.degrees(F.atan2("b.ts", "b.tc"))), F.lit(360)).cast("int")
+    asked = materialize(describe(queries, settings.asked_scales, settings, key, image).where("digest is not null"), "asked")
+    decoded = described.where("digest is not null")
+    classes = decoded.groupBy("digest").agg(F.min(key).alias("class_id"))
+    # Equal images are compared once, on either side.
+    pairs = corner_pairs(asked.groupBy(F.col("digest").alias("query")).agg(F.first("corners").alias("corners")), decoded.groupBy("digest").agg(F.first("corners").alias("corners")), settings)
+    met = materialize(pairs.groupBy("query", "digest").agg(F.count_distinct("qn").alias("n")).where(F.col("n") >= settings.meetings).select("query", "digest", F.pmod(F.xxhash64("digest"), F.lit(16)).alias("slice")), "met")
+    whole = decoded.select("digest", "packed").join(met.select("digest").distinct(), "digest", "left_semi").groupBy("digest").agg(F.first("packed").alias("stored"))
+    sought = asked.groupBy(F.col("digest").alias("query")).agg(F.first("packed").alias("asked"))
+    # A query that meets many images is dealt over slices of them.
+    sought = met.select("query", "slice").distinct().join(sought, "query")
+    best = compare(met.join(whole, "digest").join(sought, ["query", "slice"]), settings)
+    out = asked.select(F.col(key).alias("query_id"), F.col("digest").alias("query")).distinct().join(best, "query").join(classes, "digest")
+    rotation = F.pmod(F.round(F.degrees(F.atan2("ts", "tc"))), F.lit(360)).cast("int")
     kind = media.schema[key].dataType.simpleString()
-    matches = out.select(F.lit("match").alias("kind"), F.col("query.query_id").cast(kind).alias("media_id"), "class_id", F.col("b.inliers").cast("long").alias("inliers"), rotation.alias("rotation"), F.round("b.size", 2).alias("scale"))
+    matches = out.select(F.lit("match").alias("kind"), F.col("query_id").cast(kind).alias("media_id"), "class_id", "inliers", rotation.alias("rotation"), F.round("size", 2).alias("scale"))
     members = described.select(key, "digest").join(classes.select("digest", "class_id"), "digest", "left")
     return members.select(F.lit("member").alias("kind"), F.col(key).alias("media_id"), "class_id", *[F.lit(None).cast(t).alias(n) for n, t in (("inliers", "long"), ("rotation", "int"), ("scale", "double"))]).union(matches)
 

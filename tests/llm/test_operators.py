@@ -1,6 +1,7 @@
 """Each operator against a brute-force version on small tables, and its edge cases."""
 
 import base64
+import dataclasses
 import hashlib
 import json
 import math
@@ -293,6 +294,47 @@ def test_image_copies_pairs_of_corners_once(spark):
     assert len({(q, d) for q, d, _, _ in want if q < 8 and d < 8}) >= 20  # the group's links
 
 
+def test_image_copies_in_a_group_of_near_copies(spark):
+    """Every query of a group of near copies is linked with nearly all of them, as brute force does, and with no other."""
+    draw = np.random.default_rng(12)
+    base = draw.normal(size=64)
+    vectors = [(i, (base + draw.normal(0, 0.13, 64)).tolist()) for i in range(60)] + [(i, draw.normal(size=64).tolist()) for i in range(60, 90)]
+    df = spark.createDataFrame([*vectors, (None, vectors[0][1])], "vec_id bigint, embedding array<double>")
+    media = image_copies.draw_media(df.where("vec_id is not null"))
+    asked = image_copies.draw_media(df.where("vec_id % 6 = 0 or vec_id is null"), edit=True)
+    got = {(r["media_id"], r["class_id"]) for r in image_copies.find_copies(media, asked).collect() if r["kind"] == "match"}
+    group = {(q, m) for q in [None, *range(0, 60, 6)] for m in range(60)}
+    alone = {(q, q) for q in range(60, 90, 6)}
+    assert len(got & group) >= 0.95 * len(group) and len(got & alone) >= 4 and got <= group | alone
+
+
+def test_image_copies_compared_whole():
+    """Large images are compared by tables, in blocks: the same transforms as with every corner against every other."""
+    s, side = image_copies.Settings(), 160
+    images = image_copies.drawn(np.random.default_rng(2).normal(size=(4, 64)), image_copies.textures(64, side), side)
+    describer = image_copies.Describer(s)
+
+    def packed(pixels, scales):
+        d = describer(pixels[None], scales)
+        out = np.zeros(len(d["x"]), image_copies.packed_type(s))
+        for f in ("x", "y", "angle", "scale"):
+            out[f] = d[f]
+        out["bits"] = describer.words(d["bits"]).view(np.uint64)
+        return out.tobytes()
+
+    stored = [packed(p, s.stored_scales) for p in images]
+    asked = [packed(image_copies.edited(p, 50 * i), s.asked_scales) for i, p in enumerate(images)]
+    whole, blocks, tables = image_copies.Comparer(s), image_copies.Comparer(s), image_copies.Comparer(dataclasses.replace(s, compared=0))
+    blocks.block = tables.block = 3000
+    for i, q in enumerate(asked):
+        for j, m in enumerate(stored):
+            want, got, near = whole(q, m), blocks(q, m), tables(q, m)
+            assert (want is None) == (got is None) == (near is None) == (i != j)
+            if want:
+                assert got == pytest.approx(want) and 0.7 * want[0] <= near[0] <= want[0]
+    assert whole(b"", stored[0]) is whole(asked[0], b"") is tables(b"", b"") is None
+
+
 def test_image_copies_resized_turned_noisy(spark):
     """Recall of edits that change every pixel, on maps of 128 pixels."""
     side, draw = 128, np.random.default_rng(4)
