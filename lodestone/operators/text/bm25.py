@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.operators.text.analyzer import query_terms, tokenised
+from lodestone.operators.text.analyzer import own_tokens, query_terms, tokenised
 
 K1, B = 1.2, 0.75
 SNIPPET_BEFORE, SNIPPET_AFTER, SNIPPET_MOST = 96, 128, 256
@@ -44,7 +44,9 @@ def postings(segments: DataFrame, channel: str) -> DataFrame:
 
 def lengths(segments: DataFrame, channel: str) -> DataFrame:
     """(domain, field, doc) -> len, the number of tokens; documents without one don't count."""
-    return tokenised(segments, channel).groupBy("domain", "field", "doc").agg(F.count(F.lit(1)).alias("len"))
+    # Tokens are counted where the texts are; only counts move.
+    counted = segments.select("domain", "field", "doc", F.size(own_tokens(F.col("text"), channel)).alias("n"))
+    return counted.groupBy("domain", "field", "doc").agg(F.sum("n").alias("len")).where("len > 0")
 
 
 def field_statistics(by_doc: DataFrame) -> DataFrame:
@@ -53,7 +55,19 @@ def field_statistics(by_doc: DataFrame) -> DataFrame:
 
 def document_frequencies(segments: DataFrame, channel: str) -> DataFrame:
     """(domain, field, term) -> df."""
-    return tokenised(segments, channel).groupBy("domain", "field", "term").agg(F.count_distinct("doc").alias("df"))
+    terms = F.array_distinct(F.transform(own_tokens(F.col("text"), channel), lambda t: t["term"]))
+    # A document's distinct terms are brought together first, so that each counts once and counts add up before they move.
+    by_doc = segments.where("doc is not null").select("domain", "field", "doc", terms.alias("terms")).groupBy("domain", "field", "doc").agg(F.collect_list("terms").alias("terms"))
+    each = by_doc.select("domain", "field", F.explode_outer(F.array_distinct(F.flatten("terms"))).alias("term")).where("term is not null")
+    return each.groupBy("domain", "field", "term").agg(F.count(F.lit(1)).alias("df"))
+
+
+def document_tokens(segments: DataFrame, channel: str) -> DataFrame:
+    """doc -> n_tokens, n_terms (distinct), last_at, of documents with a token."""
+    by_segment = segments.select("doc", own_tokens(F.col("text"), channel).alias("t"))
+    counted = by_segment.select("doc", F.size("t").alias("n"), F.array_distinct(F.transform("t", lambda t: t["term"])).alias("terms"), F.array_max(F.transform("t", lambda t: t["at"])).alias("last"))
+    found = counted.groupBy("doc").agg(F.sum("n").alias("n_tokens"), F.size(F.array_distinct(F.flatten(F.collect_list("terms")))).cast("bigint").alias("n_terms"), F.max("last").alias("last_at"))
+    return found.where("n_tokens > 0")
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -72,15 +86,21 @@ def search(segments: DataFrame, request: Request) -> DataFrame:
     """
     terms, unique = wanted(segments.sparkSession, request)
     chosen = segments.where((F.col("domain") == request.domain) & F.col("field").isin(*request.fields))
-    all_tokens = tokenised(chosen, request.channel)
-    # One pass over the tokens: lengths and term counts of each document and field together.
-    counts = [F.count(F.when(F.col("term") == t, 1)).alias(f"tf{i}") for i, t in enumerate(unique)]
-    hits = F.collect_list(F.when(F.col("term").isin(*unique), F.struct("segment", "at", "term"))).alias("hits")
-    by_doc = all_tokens.groupBy("field", "doc").agg(F.count(F.lit(1)).alias("len"), *counts, hits)
+    # One pass over the texts, which gives lengths and hits; tokens that aren't asked for don't become rows.
+    by_segment = chosen.select("field", "doc", "segment", own_tokens(F.col("text"), request.channel).alias("t"))
+    met = F.transform(F.filter("t", lambda t: t["term"].isin(*unique)), lambda t: F.struct(F.col("segment").alias("segment"), t["at"].alias("at"), t["term"].alias("term")))
+    found = by_segment.select("field", "doc", F.size("t").alias("n"), met.alias("met"))
+    by_doc = found.groupBy("field", "doc").agg(F.sum("n").alias("len"), F.flatten(F.collect_list("met")).alias("hits")).where("len > 0")
+    by_doc = by_doc.select("field", "doc", "len", "hits", *[_times(t).alias(f"tf{i}") for i, t in enumerate(unique)])
     totals = by_doc.groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("len").alias("total_len"), *[F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"df{i}") for i in range(len(unique))])
     return ranked(by_doc, totals, terms, request)
 
 
+def _times(term: str) -> Column:
+    """How often a term is among the hits."""
+    return F.size(F.filter("hits", lambda h: h["term"] == term)).cast("bigint")
+
+
 def wanted(spark, request: Request) -> tuple[list[tuple[str, int]], list[str]]:
     """A request's tokens in order, and its distinct terms."""
     terms = query_terms(spark, request.text, request.channel)

@@ -31,8 +31,7 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def t_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = tokenised(segments(spark, sf_dir).where("field = 'text'"), "terms")
-    return found.groupBy("doc").agg(F.count(F.lit(1)).alias("n_tokens"), F.count_distinct("term").alias("n_terms"), F.max("at").alias("last_at"))
+    return bm25.document_tokens(segments(spark, sf_dir).where("field = 'text'"), "terms")
 
 
 def t_postings_df(spark: SparkSession, sf_dir: str) -> DataFrame:

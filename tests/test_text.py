@@ -218,3 +218,15 @@ def test_phrase_counts_have_no_limit(spark, tmp_path):
     docs = spark.range(1300).selectExpr("id AS doc_id", "concat('all rights reserved ', id) AS text", "'en' AS lang", "concat('src', id % 2) AS source")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     assert rows(t_procedure(spark, str(tmp_path))) == [("src0", 650), ("src1", 650)]
+
+
+def test_tokens_take_one_pass(spark):
+    """The text's runs are drawn once for each kind of text, and a plain explode's filter doesn't draw them again."""
+    from lodestone.operators.text.analyzer import tokenised
+
+    texts = spark.createDataFrame([(1, "x", "a", 0, "Red fox red"), (1, "x", "a", 1, "fox 茶水"), (2, "x", "a", 0, ""), (2, "x", "b", 0, None)], "doc bigint, domain string, field string, segment int, text string")
+    plan = tokenised(texts, "terms")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") <= 3
+    assert rows(bm25.lengths(texts, "terms")) == [("x", "a", 1, 7)]
+    assert rows(bm25.document_frequencies(texts, "phrase")) == [("x", "a", t, 1) for t in ("fox", "red", "水", "茶")]
+    assert rows(bm25.document_tokens(texts, "terms")) == [(1, 7, 5, 2)]
