@@ -18,6 +18,45 @@ POSTINGS = "domain string, term string, doc bigint, field string, channels int,
 LENGTHS = "domain string, field string, doc bigint, terms bigint, phrase bigint, exact bigint, generation int"
 CHANGES = "doc bigint, generation int"
 STATISTICS = "domain string, field string, channel string, n_docs bigint, total_len bigint"
+GROUPED = "domain string, term string, doc bigint, field string, channels int, tf bigint, places array<struct<segment:int,at:int>>"
+#: Bytes of tokens in an Arrow batch to a Python worker, but for one document; rows in a batch back.
+ARROW_BYTES, ROWS_BACK = 16 << 20, 1 << 16
+
+
+def _grouping():
+    """Rows of (domain, field, doc, tokens) -> a posting for each term and set of channels of a row.
+
+    A closure, so that workers get it by value and need no copy of this package.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column("tokens")
+            flat = lists.flatten()
+            if not len(flat):
+                continue
+            term, at, channels, segment = flat.flatten()
+            encoded = term.dictionary_encode()
+            row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            key = (row * len(encoded.dictionary) + encoded.indices.to_numpy()) * 8 + channels.to_numpy()
+            place = (segment.to_numpy().astype(np.int64) << 32) + at.to_numpy()
+            order = np.lexsort((place, key))
+            key = key[order]
+            starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            ends = np.append(starts[1:], len(key))
+            for k in range(0, len(starts), ROWS_BACK):
+                first, last = starts[k : k + ROWS_BACK], ends[k : k + ROWS_BACK]
+                held, one = order[first[0] : last[-1]], order[first]
+                places = pa.StructArray.from_arrays([segment.take(pa.array(held)), at.take(pa.array(held))], ["segment", "at"])
+                offsets = pa.array(np.append(first, last[-1]) - first[0], pa.int32())
+                of_row = {n: batch.column(n).take(pa.array(row[one])) for n in ("domain", "doc", "field")}
+                terms = encoded.dictionary.take(encoded.indices.take(pa.array(one)))
+                columns = [of_row["domain"], terms, of_row["doc"], of_row["field"], channels.take(pa.array(one)), pa.array(last - first, pa.int64()), pa.ListArray.from_arrays(offsets, places)]
+                yield pa.RecordBatch.from_arrays(columns, ["domain", "term", "doc", "field", "channels", "tf", "places"])
+
+    return run
 
 
 class StoredIndex:
@@ -53,8 +92,11 @@ class StoredIndex:
     def write(self, segments: DataFrame, deleted: DataFrame | None = None) -> int:
         """The next generation: the whole new state of some documents (all, at first), and the ids of deleted ones."""
         number = self.generation() + 1
-        tokens = segments.select("doc", "domain", "field", F.col("segment").cast("int").alias("segment"), F.explode(channel_tokens(F.col("text"))).alias("t"))
-        rows = tokens.groupBy("domain", "t.term", "doc", "field", "t.channels").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list(F.struct("segment", "t.at"))).alias("places"))
+        # A document's segments come together before they are taken apart, so that its postings are whole where they arise.
+        docs = segments.where("text is not null").groupBy("domain", "doc", "field").agg(F.collect_list(F.struct(F.col("segment").cast("int").alias("segment"), "text")).alias("parts"))
+        placed = F.transform("parts", lambda p: F.transform(channel_tokens(p["text"]), lambda t: F.struct(t["term"].alias("term"), t["at"].alias("at"), t["channels"].alias("channels"), p["segment"].alias("segment"))))
+        self.spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+        rows = docs.select("domain", F.col("doc").cast("bigint").alias("doc"), "field", F.flatten(placed).alias("tokens")).mapInArrow(_grouping(), GROUPED)
         rows = rows.withColumn("generation", F.lit(number))
         place = f"generation-{number:06d}"
         draft = f"{self.folder}/draft/{place}"
