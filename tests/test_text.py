@@ -230,3 +230,12 @@ def test_tokens_take_one_pass(spark):
     assert rows(bm25.lengths(texts, "terms")) == [("x", "a", 1, 7)]
     assert rows(bm25.document_frequencies(texts, "phrase")) == [("x", "a", t, 1) for t in ("fox", "red", "水", "茶")]
     assert rows(bm25.document_tokens(texts, "terms")) == [(1, 7, 5, 2)]
+
+
+def test_a_timeout_leaves_the_batches_running(spark, tmp_path):
+    m = Maintainer(spark, tmp_path.as_uri())
+    m.record(spark.createDataFrame([(d, "x", "a", 0, f"red fox {d}") for d in range(9)], "doc bigint, domain string, field string, segment int, text string"))
+    first = m.wait(0.01)
+    assert first.status == "TIMEOUT" and m._running is not None and m._running.isActive
+    assert next(r for r in iter(lambda: m.wait(20), None) if r.status != "TIMEOUT").covered_seq == 1
+    assert m.postings.generation() == 0
