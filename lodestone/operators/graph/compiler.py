@@ -40,6 +40,7 @@ class Compiler:
         self.numbers = itertools.count()
         self.carried: list[str] = []  # columns of the rows that a correlated query belongs to
         self.outer: DataFrame | None = None
+        self.weight: str | None = None  # the column that says how many bindings a row stands for
         self.expanded: list[DataFrame] | None = None  # the rows of each MATCH, where a budget asks for them
 
     def fresh(self, stem: str) -> str:
@@ -53,9 +54,19 @@ class Compiler:
     def run(self, query: L.GraphQuery, start: State | None = None) -> State:
         start = start or State(None)
         state = State(start.df, dict(start.scope))
+        counted = False
         for k, clause in enumerate(query.clauses):
             if isinstance(clause, L.Project) and clause.final and k != len(query.clauses) - 1:
                 raise GraphError("RETURN is the last clause")
+            if counted:
+                self.weight, counted = "bindings", False
+                state = self.project(clause, state)
+                self.weight = None
+                continue
+            after = query.clauses[k + 1] if k + 1 < len(query.clauses) else None
+            if isinstance(clause, L.Match) and isinstance(after, L.Project) and (arms := self.counted_arms(clause, after, state)):
+                state, counted = arms, True
+                continue
             state = self.clause(clause, state)
         last = query.clauses[-1]
         if not (isinstance(last, L.Project) and last.final) and not isinstance(last, L.Procedure):
@@ -122,6 +133,82 @@ class Compiler:
             state = self.filtered(state, clause.where)
         return state
 
+    def counted_arms(self, clause: L.Match, after: L.Project, state: State) -> State | None:
+        """A MATCH whose bindings are only counted by one of its nodes: that node's rows, each with its `bindings`.
+
+        Without the node the pattern falls into arms. Each arm is counted by the node and the counts are multiplied,
+        so that the pairs of arms are never rows. Two arms of one edge each may meet in the same edge, which a MATCH
+        doesn't repeat; those pairs are counted and taken off. None where the pattern or what follows asks for more.
+        """
+        shown, tests = [e for e, _ in after.items] + [e for e, _ in after.order], _conjuncts(clause.where) if clause.where is not None else []
+        if clause.optional or state.df is not None or state.scope or self.outer is not None or self.carried or self.budgets or self.expanded is not None or after.star:
+            return None
+        if not any(L.has_aggregate(e) for e, _ in after.items) or any(_find(e, L.Exists) for e in [*shown, *tests]) or after.where is not None and _find(after.where, L.Exists):
+            return None
+        if any(not f.star for e in shown for f in _find(e, L.Fn) if f.name in L.AGGREGATES):
+            return None
+        keys = set().union(*[L.free(e) for e, _ in after.items])
+        parts = [p for pattern in clause.patterns for p in (*pattern.nodes, *pattern.edges)]
+        named = {p.var for p in parts if p.var}
+        if len(keys) != 1 or any(L.free(e) - keys & named for e in shown) or any(p.var or p.shortest or not p.edges for p in clause.patterns) or any(L.free(x) for p in parts for _, x in p.props):
+            return None
+        hub, nodes, links = next(iter(keys)), {}, []
+        for pattern in clause.patterns:
+            if any(e.high is not None for e in pattern.edges):
+                return None
+            names = []
+            for n in pattern.nodes:
+                name = n.var or self.fresh("unnamed")
+                old = nodes.get(name)
+                nodes[name] = L.NodePattern(name, tuple(dict.fromkeys((old.labels if old else ()) + n.labels)), (old.props if old else ()) + n.props)
+                names.append(name)
+            links += [(a, replace(e, var=e.var or self.fresh("unnamed")), b) for a, e, b in zip(names, pattern.edges, names[1:])]
+        edge_names = [e.var for _, e, _ in links]
+        if hub not in nodes or len(set(edge_names)) < len(edge_names) or set(edge_names) & set(nodes):
+            return None
+        arms, todo = [], list(links)
+        while todo:
+            first = next((x for x in todo if hub in (x[0], x[2])), None)
+            if first is None or first[0] == first[2]:
+                return None
+            todo.remove(first)
+            arm, met = [first], {first[0], first[2]} - {hub}
+            while more := next((x for x in todo if {x[0], x[2]} & met), None):
+                todo.remove(more)
+                arm.append(more)
+                met |= {more[0], more[2]} - {hub}
+            arms.append((arm, met | {e.var for _, e, _ in arm}))
+        if len(arms) < 2:
+            return None
+        wheres = [[] for _ in arms]
+        for test in tests:
+            home = next((i for i, (_, own) in enumerate(arms) if L.free(test) <= own | {hub}), None)
+            if home is None:
+                return None
+            wheres[home].append(test)
+        shared = any(not a.types or not b.types or set(a.types) & set(b.types) for i, (x, _) in enumerate(arms) for y, _ in arms[i + 1 :] for _, a, _ in x for _, b, _ in y)
+        if shared and (len(arms) > 2 or any(len(arm) > 1 for arm, _ in arms)):
+            return None
+        found = []
+        for (arm, _), own in zip(arms, wheres):
+            test = None
+            for t in own:
+                test = t if test is None else L.Op("and", test, t)
+            found.append(self.match(L.Match([L.PathPattern(None, (nodes[a], nodes[b]), (e,)) for a, e, b in arm], test), State(None)))
+        prefix = self.fresh(hub)
+        df, product = self.node_scan(prefix), F.lit(1).cast("bigint")
+        for state in found:
+            at, n = self.fresh("hub"), self.fresh("n")
+            df = df.join(state.df.groupBy(state.scope[hub].get("id").alias(at)).agg(F.count(F.lit(1)).alias(n)), F.col(f"{prefix}__id") == F.col(at))
+            product = product * F.col(n)
+        if shared:
+            at, n = self.fresh("hub"), self.fresh("n")
+            ends = [x.df.select(x.scope[hub].get("id").alias(at), x.scope[arm[0][1].var].get("id").alias("edge")) for x, (arm, _) in zip(found, arms)]
+            df = df.join(ends[0].join(ends[1], [at, "edge"]).groupBy(at).agg(F.count(F.lit(1)).alias(n)), F.col(f"{prefix}__id") == F.col(at), "left")
+            product = product - F.coalesce(F.col(n), F.lit(0))
+        df = df.withColumn("bindings", product).where("bindings > 0")
+        return State(df, {hub: self.flat(prefix, self.graph.node_schema, hub)})
+
     def filtered(self, state: State, test) -> State:
         """Rows where test is true; EXISTS in conjunctions becomes a semi or anti join."""
         plain = []
@@ -661,7 +748,8 @@ class Compiler:
     def aggregate(self, e: L.Fn, scope: dict) -> tuple[Column, Value, Column | None]:
         """Column, shape of the value, and the value for no rows."""
         if e.star:
-            return F.count(F.lit(1)), Value("num"), F.lit(0).cast("bigint")
+            count = F.count(F.lit(1)) if self.weight is None else F.coalesce(F.sum(self.weight), F.lit(0))
+            return count, Value("num"), F.lit(0).cast("bigint")
         if L.has_aggregate(e.args[0]):
             raise GraphError("aggregates don't nest")
         v = self.value(e.args[0], scope)

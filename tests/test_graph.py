@@ -236,3 +236,15 @@ def test_snapshot(spark, harbour, tmp_path):
 
 def test_profile(harbour):
     assert harbour.profile(harbour.query("MATCH (a)-[e]->(b) RETURN id(a) AS a")).first()["rows_returned"] == 5
+
+
+def test_arms_are_counted_without_their_pairs(spark):
+    """Counts by a node that parts the pattern: against the bindings themselves, with edges that both arms could take."""
+    nodes = [(k, ["H"] if k < 4 else ["A", "B"] if k % 2 else ["A"], {"name": f"n{k % 3}"}) for k in range(1, 20)]
+    links = [(k, k + 4, 1 + k % 3, "T" if k % 4 else "U", {"w": k}) for k in range(15)] + [(90, 1, 2, "T", {"w": 1}), (91, 2, 2, "T", {"w": 1})]
+    g = Graph.from_json(spark, nodes, links)
+    for pattern in ("(a:A)-[:T]->(h:H), (b:B)-[:T]->(h)", "(a:A)-[:T]->(h:H)<-[:U]-(b)", "(a)-[x]-(h:H), (h)-[y:T]-(b)", "(a)-[x:T]->(h)<-[y:T]-(b) WHERE x.w <> 3 AND b.name <> 'n1'", "(a:A)-[x:T]->(h:H), (b:B)-[y:T]->(h) WHERE x.w <> y.w"):
+        whole = g.query(f"MATCH {pattern} WITH h, id(a) AS a, id(b) AS b RETURN h.name AS name, count(*) AS n")
+        assert rows(g.query(f"MATCH {pattern} RETURN h.name AS name, count(*) AS n")) == rows(whole)
+    plan = g.query("MATCH (a:A)-[:T]->(h:H), (b:B)-[:T]->(h) RETURN h.name AS name, count(*) AS n")._jdf.queryExecution().optimizedPlan().toString()
+    assert "bindings" in plan
